@@ -8,6 +8,7 @@ from operator import and_, or_
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from scanframe.functions.rows import let
 from scanframe.functions.text import newlines
 
 # \s and \w as explicit classes, so that they cover the same characters everywhere.
@@ -40,11 +41,6 @@ def gap_sizes(content: Column, pattern: str, flags: str) -> Column:
     return F.transform(gaps, lambda g: F.struct(F.length(g).alias("len"), newlines(g).alias("nl")))
 
 
-def _let(value: Column, body) -> Column:
-    """Bind ``value`` once and use it several times in ``body``."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def _add(acc: Column, piece: Column) -> Column:
     return F.struct((acc["len"] + piece["len"]).alias("len"), (acc["nl"] + piece["nl"]).alias("nl"))
 
@@ -90,12 +86,12 @@ def positions(texts: Column, gaps: Column) -> Column:
                             (o["nl"] + head["nl"] + x["gap_nl"] + 1).alias("line"),
                         )
 
-                    return _let(inside, span)
+                    return let(inside, span)
 
                 return F.transform(p, one)
 
-            return _let(before, from_before)
+            return let(before, from_before)
 
-        return _let(block_sums, from_sums)
+        return let(block_sums, from_sums)
 
-    return _let(pieces, from_pieces)
+    return let(pieces, from_pieces)

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from scanframe import rules as R
 from scanframe.functions import text
 from scanframe.functions.cluster import materialize
+from scanframe.functions.rows import let
 from scanframe.operators import prepare
 
 SHIFT = 30
@@ -43,9 +44,9 @@ def flow_facts(names: str = "qualified") -> Column:
         plain = F.exists(f["args"], lambda a: a["name"].isNotNull())
         return assign | ((f["kind"] == "call") & plain & _mentions(_called(f, names)[0], R.SINKS))
 
-    def keep(f: Column) -> Column:
+    def keep(f: Column, lines: Column) -> Column:
         tested, context = _called(f, names)
-        line_text = text.strip(F.coalesce(F.get(F.col("_lines"), f["line"] - 1), F.lit("")))
+        line_text = text.strip(F.coalesce(F.get(lines, f["line"] - 1), F.lit("")))
         role = (
             F.when(f["kind"] == "call", "sink")
             .when(_mentions(tested, R.TAINT_SOURCES), "user_input")
@@ -58,9 +59,10 @@ def flow_facts(names: str = "qualified") -> Column:
             F.transform(f["args"], lambda a: a["name"]).alias("arg_names"),
             F.flatten(F.transform(f["args"], lambda a: a["vars"])).alias("vars"))
 
+    kept = let(F.col("_lines"), lambda lines: F.transform(
+        F.filter(F.col("_facts"), wanted), lambda f: keep(f, lines)))
     return F.filter(
-        F.transform(F.filter(F.col("_facts"), wanted), keep),
-        lambda e: (e["role"] != "assignment") | (F.size(e["vars"]) > 0))
+        kept, lambda e: (e["role"] != "assignment") | (F.size(e["vars"]) > 0))
 
 
 def flow_stage(files: DataFrame, names: str = "qualified") -> DataFrame:

@@ -10,9 +10,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scanframe.functions import regex, text
+from scanframe.functions.rows import let, unnest
 from scanframe.operators.prepare import (
     match_column,
-    needle_array,
+    present,
     with_lines,
     with_matches,
     with_needles,
@@ -32,18 +33,20 @@ def hit(finder: str, rule_id: Column, kind: Column, line: Column, snippet: Colum
 def line_hits() -> Column:
     """Needles per line; needs ``_needles`` and ``_lines``. One hit per (line, rule)."""
 
-    def on_line(line: Column, i: Column) -> Column:
-        return F.transform(
-            F.filter(F.col("_needles"), lambda r: F.contains(F.lower(line), r["needle"])),
-            lambda r: hit("line", r["rule_id"], r["literal"], i + 1, text.strip(line)))
+    def in_file(needles: Column) -> Column:
+        def on_line(line: Column, i: Column) -> Column:
+            found = let(F.lower(line), lambda low: F.filter(needles, lambda r: F.contains(low, r["needle"])))
+            return F.transform(found, lambda r: hit("line", r["rule_id"], r["literal"], i + 1, text.strip(line)))
 
-    return F.when(F.size("_needles") > 0, F.flatten(F.transform(F.col("_lines"), on_line)))
+        return F.when(F.size(needles) > 0, F.flatten(F.transform(F.col("_lines"), on_line)))
 
+    return let(F.col("_needles"), in_file)
 
-def literal_hits(needles: Column) -> Column:
+
+def literal_hits(rules: list[Rule]) -> Column:
     """At most one hit per (file, rule), reported at line 1."""
     return F.transform(
-        F.filter(needles, lambda r: F.contains(F.col("_low"), r["needle"])),
+        present(rules),
         lambda r: hit("literal", r["rule_id"], r["literal"], F.lit(1), r["literal"]))
 
 
@@ -79,7 +82,7 @@ def scan_lines(files: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
     """Line literal scan of a files table."""
     rules = rule_rows("basic") if rules is None else rules
     df = with_lines(with_needles(with_text(files), rules))
-    return df.select("path", "project", F.inline(line_hits()))
+    return unnest(df, ["path", "project"], line_hits(), "rule_id")
 
 
 def match_literals(df: DataFrame, text_col: str = "content", rules: list[Rule] | None = None) -> DataFrame:
@@ -88,9 +91,8 @@ def match_literals(df: DataFrame, text_col: str = "content", rules: list[Rule] |
     keep = [c for c in df.columns if c != text_col]
     if not rules:
         return df.where(F.lit(False)).select(*keep, F.lit("").alias("rule_id"), F.lit("").alias("matched"))
-    found = F.filter(needle_array(rules), lambda r: F.contains(F.col("_low"), r["needle"]))
-    return with_text(df, text_col).select(*keep, F.explode(found).alias("r")).select(
-        *keep, F.col("r.rule_id").alias("rule_id"), F.col("r.literal").alias("matched"))
+    return unnest(with_text(df, text_col), keep, present(rules), "rule_id").select(
+        *keep, "rule_id", F.col("literal").alias("matched"))
 
 
 def match_regexes(df: DataFrame, text_col: str = "content", rules: list[Rule] | None = None) -> DataFrame:
@@ -102,12 +104,10 @@ def match_regexes(df: DataFrame, text_col: str = "content", rules: list[Rule] |
             *keep, F.lit("").alias("rule_id"), F.lit("").alias("matched"), F.lit(0).alias("match_start"),
             F.lit(0).alias("match_end"), F.lit(0).alias("line_start"))
     df = with_matches(with_text(df, text_col), rules)
-    return df.select(*keep, F.explode(match_groups(rules)).alias("g")).select(
-        *keep, F.col("g.rule_id").alias("rule_id"),
-        F.explode(regex.positions(F.col("g.texts"), F.col("g.gaps"))).alias("p"),
-    ).select(
-        *keep, "rule_id", F.col("p.matched").alias("matched"), F.col("p.start").alias("match_start"),
-        F.col("p.end").alias("match_end"), F.col("p.line").alias("line_start"))
+    groups = unnest(df, keep, match_groups(rules), "rule_id")
+    return unnest(groups, [*keep, "rule_id"], regex.positions(F.col("texts"), F.col("gaps")), "line").select(
+        *keep, "rule_id", "matched", F.col("start").alias("match_start"), F.col("end").alias("match_end"),
+        F.col("line").alias("line_start"))
 
 
 def scan_text(
@@ -129,13 +129,13 @@ def scan_text(
     parts = [F.from_json(F.lit("[]"), empty)]
     if literal:
         parts.append(F.transform(
-            F.filter(needle_array(literal), lambda r: F.contains(F.col("_low"), r["needle"])),
+            present(literal),
             lambda r: F.struct(r["rule_id"].alias("rule_id"), r["literal"].alias("matched"),
                                F.lit(None).cast("int").alias("start"), F.lit(None).cast("int").alias("end"),
                                F.lit(None).cast("int").alias("line"))))
     if regexes:
         parts.append(spans(match_groups(regexes)))
-    found = src.select("filename", F.inline(F.concat(*parts)))
+    found = unnest(src, ["filename"], F.concat(*parts), "rule_id")
     about = rules_frame(df.sparkSession, rules).select(
         "rule_id", "category", "subcategory", "severity", "description", "remediation", "cwe_ids")
     return found.join(F.broadcast(about), "rule_id").select(

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from scanframe.functions import regex, text
 from scanframe.functions.pyfacts import python_facts
+from scanframe.functions.rows import let
 from scanframe.rules import Rule
 
 # Working columns: _text, _low (lower case), _fold (case-blind), _lines, _facts, _m<i>.
@@ -23,7 +24,13 @@ def with_lines(files: DataFrame) -> DataFrame:
 
 def with_needles(files: DataFrame, rules: list[Rule], name: str = "_needles") -> DataFrame:
     """Rules whose needle occurs anywhere in the file: the only ones its lines are tested for."""
-    return files.withColumn(name, F.filter(needle_array(rules), lambda r: F.contains(F.col("_low"), r["needle"])))
+    return files.withColumn(name, present(rules))
+
+
+def present(rules: list[Rule]):
+    """Literal rules whose needle occurs in the file."""
+    needles = needle_array(rules)
+    return let(F.col("_low"), lambda low: F.filter(needles, lambda r: F.contains(low, r["needle"])))
 
 
 def needle_array(rules: list[Rule]):

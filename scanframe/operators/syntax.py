@@ -10,14 +10,15 @@ from pyspark.sql import functions as F
 
 from scanframe import rules as R
 from scanframe.functions import regex
+from scanframe.functions.rows import let, unnest
 from scanframe.operators import prepare
 from scanframe.operators.patterns import hit, match_groups, spans
 
 
-def around(line: Column, before: int, after: int) -> Column:
+def around(lines: Column, line: Column, before: int, after: int) -> Column:
     """Lines ``line - before .. line + after`` of the file, clipped at both ends."""
     first = F.greatest(line - before, F.lit(1))
-    return F.slice(F.col("_lines"), first, line + after - first + 1)
+    return F.slice(lines, first, line + after - first + 1)
 
 
 def _detail(kind: str, fn, cls, variables, chain, score, context, line) -> Column:
@@ -34,15 +35,21 @@ def _plain_args(f: Column) -> Column:
     return F.filter(F.transform(f["args"], lambda a: a["name"]), lambda n: n.isNotNull())
 
 
-def _py_detail(f: Column, kind: str, variables: Column) -> Column:
-    return _detail(kind, f["fn"], f["cls"], variables, f["chain"], R.PY_SCORES[kind], around(f["line"], 1, 1), f["line"])
 
 
 def python_details(sql_formatting: bool = False) -> Column:
     """Findings from ``_facts``. ``sql_formatting`` adds the opt-in check of ``%`` in SQL calls."""
+    return let(F.col("_lines"), lambda lines: _python_details(lines, sql_formatting))
+
+
+def _python_details(lines: Column, sql_formatting: bool) -> Column:
     facts = F.col("_facts")
     none = F.array().cast("array<string>")
 
+    def _py_detail(f: Column, kind: str, variables: Column) -> Column:
+        context = around(lines, f["line"], 1, 1)
+        return _detail(kind, f["fn"], f["cls"], variables, f["chain"], R.PY_SCORES[kind], context, f["line"])
+
     def pick(condition, make):
         return F.transform(F.filter(facts, condition), make)
 
@@ -68,7 +75,7 @@ def python_details(sql_formatting: bool = False) -> Column:
             lambda f: (f["kind"] == "call") & attr(f).isin(R.SQL_CALLS) & F.contains(f["qual"], F.lit("."))
             & (F.size(hot(f)) > 0),
             lambda f: _detail("SQLInjection", attr(f), F.lit(None), F.get(hot(f), F.lit(0))["vars"], F.array(attr(f)),
-                              R.PY_SCORES["SQLInjection"], around(f["line"], 2, 2), f["line"])))
+                              R.PY_SCORES["SQLInjection"], around(lines, f["line"], 2, 2), f["line"])))
     return F.concat(*parts)
 
 
@@ -77,10 +84,10 @@ def python_details(sql_formatting: bool = False) -> Column:
 _JAVA = R.rule_rows("java")
 
 
-def _nearest(line: Column, depth: int, pattern: str, group: int) -> Column:
+def _nearest(lines: Column, line: Column, depth: int, pattern: str, group: int) -> Column:
     """First capture at or above ``line`` among ``depth`` lines; line 1 is never looked at."""
     first = F.greatest(line - (depth - 1), F.lit(2))
-    window = F.slice(F.col("_lines"), first, F.greatest(line - first + 1, F.lit(0)))
+    window = F.slice(lines, first, F.greatest(line - first + 1, F.lit(0)))
     found = F.transform(window, lambda s: F.regexp_extract(s, regex.dialect(pattern, ""), group))
     return F.try_element_at(F.filter(found, lambda name: name != ""), F.lit(-1))
 
@@ -103,19 +110,19 @@ def java_details(span_array: Column) -> Column:
     score = F.create_map(*[F.lit(x) for kv in R.JAVA_SCORES.items() for x in kv])
     none = F.array().cast("array<string>")
 
-    def one(s: Column) -> Column:
+    def one(s: Column, lines: Column) -> Column:
         kind = F.try_element_at(node_type, s["rule_id"])
         return F.struct(
             kind.alias("node_type"),
-            _nearest(s["line"], 19, R.JAVA_METHOD, 2).alias("function_name"),
-            _nearest(s["line"], 49, R.JAVA_CLASS, 1).alias("class_name"),
+            _nearest(lines, s["line"], 19, R.JAVA_METHOD, 2).alias("function_name"),
+            _nearest(lines, s["line"], 49, R.JAVA_CLASS, 1).alias("class_name"),
             java_variables(s["matched"]).alias("variables_used"),
             none.alias("call_chain"),
             F.coalesce(F.try_element_at(score, kind), F.lit(R.DEFAULT_SCORE)).cast("int").alias("complexity_score"),
-            around(s["line"], 2, 2).alias("context_lines"),
+            around(lines, s["line"], 2, 2).alias("context_lines"),
             s["line"].cast("int").alias("line_number"))
 
-    return F.transform(span_array, one)
+    return let(F.col("_lines"), lambda lines: F.transform(span_array, lambda s: one(s, lines)))
 
 
 def detail_hits(finder: str, details: Column, prefix: str = "syntax.") -> Column:
@@ -135,22 +142,22 @@ def python_files(files: DataFrame) -> DataFrame:
 def fact_rows(files: DataFrame) -> DataFrame:
     """The fact table: one row per relevant syntax node of each Python file."""
     df = prepare.with_facts(prepare.with_text(python_files(files)))
-    return df.select("path", "project", F.inline("_facts"))
+    return unnest(df, ["path", "project"], F.col("_facts"), "kind")
 
 
 def scan_python(files: DataFrame, sql_formatting: bool = False) -> DataFrame:
     df = prepare.with_lines(prepare.with_facts(prepare.with_text(python_files(files))))
-    return df.select("path", "project", F.inline(python_details(sql_formatting)))
+    return unnest(df, ["path", "project"], python_details(sql_formatting), "node_type")
 
 
 def scan_java(files: DataFrame) -> DataFrame:
     df = prepare.with_text(files.where(F.col("lang") == "java"))
     df = prepare.with_matches(prepare.with_lines(df), _JAVA).withColumn("_spans", java_spans())
-    return df.select("path", "project", F.inline(java_details(F.col("_spans"))))
+    return unnest(df, ["path", "project"], java_details(F.col("_spans")), "node_type")
 
 
 def scan_syntax(files: DataFrame) -> DataFrame:
     """Both languages in one pass; files of any other language give nothing."""
     df = prepare.with_lines(prepare.with_facts(prepare.with_text(files.where(F.col("lang").isin("py", "java")))))
     df = prepare.with_matches(df, _JAVA, only=F.col("lang") == "java").withColumn("_spans", java_spans())
-    return df.select("path", "project", F.inline(F.concat(python_details(), java_details(F.col("_spans")))))
+    return unnest(df, ["path", "project"], F.concat(python_details(), java_details(F.col("_spans"))), "node_type")
