@@ -125,11 +125,11 @@ def snippet_sql() -> str:
 
 
 def files_sql(each: str, join: str) -> str:
-    """Files table. ``each`` maps over 1..n, ``join`` concatenates an array with a separator."""
-    body = join.format(array=each.format(n="n", body=snippet_sql()), sep="sep")
+    """Files table. ``each`` maps over 1..n, ``join`` puts an array together, one line each."""
+    body = join.format(array=each.format(n="n", body=snippet_sql()))
     return f"""
     SELECT {PATH_SQL} AS path, project, lang, ts,
-           concat({body}, CASE WHEN k % 3 = 0 THEN sep ELSE '' END) AS content
+           replace(concat({body}, CASE WHEN k % 3 = 0 THEN chr(10) ELSE '' END), chr(10), sep) AS content
     FROM ({BASE_SQL}) b"""
 
 
@@ -146,7 +146,7 @@ def code_files(spark: SparkSession, folder: str) -> DataFrame:
     n = spark.sparkContext.defaultParallelism
     if orders.rdd.getNumPartitions() < n:  # one small file would otherwise be one task
         orders = orders.repartition(n)
-    sql = files_sql("transform(sequence(1, {n}), i -> {body})", "array_join({array}, {sep})")
+    sql = files_sql("transform(sequence(1, {n}), i -> {body})", "array_join({array}, chr(10))")
     return _run(spark, sql, orders=orders)
 
 
