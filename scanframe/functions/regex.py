@@ -1,10 +1,7 @@
-"""Regular expressions on whole texts: dialect, cheap pre-test, match positions."""
+"""Regular expressions on whole texts: dialect and match positions."""
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import and_, or_
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -23,22 +20,31 @@ def dialect(pattern: str, flags: str = "i") -> str:
     return prefix + pattern.replace(r"\s", SPACE).replace(r"\w", WORD)
 
 
-def may_match(folded: Column, needs) -> Column:
-    """Necessary condition for a match: one alternative of each list occurs in the text."""
-    return reduce(and_, [reduce(or_, [F.contains(folded, F.lit(n)) for n in alts]) for alts in needs], F.lit(True))
+# Expressions over many rules are SQL text: one call per plan instead of dozens per rule.
 
 
-def all_matches(content: Column, folded: Column, pattern: str, flags: str, needs) -> Column:
-    """Texts of all non-overlapping matches, null when the pre-test already rules them out."""
-    return F.when(
-        may_match(folded, needs), F.regexp_extract_all(content, F.lit(dialect(pattern, flags)), F.lit(0))
-    )
+def sql_string(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
 
+def _by_place(rules, value) -> str:
+    """CASE over the place ``k`` of a rule; patterns stay constants, so each is compiled once."""
+    return "CASE k " + " ".join(f"WHEN {i} THEN {value(sql_string(dialect(r.pattern, r.flags)))}" for i, r in rules) + " END"
 
-def gap_sizes(content: Column, pattern: str, flags: str) -> Column:
-    """Length and newline count of the text before each match (and after the last one)."""
-    gaps = F.split(content, dialect(pattern, flags), -1)
-    return F.transform(gaps, lambda g: F.struct(F.length(g).alias("len"), newlines(g).alias("nl")))
+
+def match_groups(places: str, rules: list) -> str:
+    """Rules that match ``_text``: array of (rule_id, texts, gaps).
+
+    ``places`` is an array of the places to try and ``rules`` lists (place, rule). ``gaps``
+    holds length and newline count of the text before each match and after the last one.
+    """
+    ids = "CASE k " + " ".join(f"WHEN {i} THEN '{r.rule_id}'" for i, r in rules) + " END"
+    texts = _by_place(rules, lambda p: f"regexp_extract_all(_text, {p}, 0)")
+    parts = _by_place(rules, lambda p: f"split(_text, {p}, -1)").replace("CASE k", "CASE h.k")
+    tried = f"filter(transform({places}, k -> named_struct('k', k, 'rule_id', {ids}, 'texts', {texts})), h -> size(h.texts) > 0)"
+    nl = "length(g) - length(replace(g, '\\n', ''))"
+    gaps = f"transform({parts}, g -> named_struct('len', length(g), 'nl', {nl}))"
+    return f"transform({tried}, h -> named_struct('rule_id', h.rule_id, 'texts', h.texts, 'gaps', {gaps}))"
 
 
 def _add(acc: Column, piece: Column) -> Column:

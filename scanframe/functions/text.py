@@ -47,12 +47,6 @@ def line_count(text: Column) -> Column:
     return newlines(text) + open_line.cast("int")
 
 
-def fold(text: Column) -> Column:
-    """Lower case, plus the few letters that a case-blind expression equates with i and s."""
-    odd = F.contains(text, F.lit("\u0130")) | F.contains(text, F.lit("\u0131")) | F.contains(text, F.lit("\u017f"))
-    return F.lower(F.when(odd, F.translate(text, "\u0130\u0131\u017f", "iis")).otherwise(text))
-
-
 def suffix(path: Column) -> Column:
     """File suffix with its dot: of the last path part, empty for ``.name`` and ``name``."""
     name = F.substring_index(path, "/", -1)

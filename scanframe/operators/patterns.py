@@ -11,14 +11,7 @@ from pyspark.sql import functions as F
 
 from scanframe.functions import regex, text
 from scanframe.functions.rows import let, unnest
-from scanframe.operators.prepare import (
-    match_column,
-    present,
-    with_lines,
-    with_matches,
-    with_needles,
-    with_text,
-)
+from scanframe.operators.prepare import Candidates, with_lines, with_text
 from scanframe.rules import Rule, owasp_rules, rule_rows, rules_frame
 
 HIT = "finder string, rule_id string, type string, line_number int, code_snippet string"
@@ -43,26 +36,13 @@ def line_hits() -> Column:
     return let(F.col("_needles"), in_file)
 
 
-def literal_hits(rules: list[Rule]) -> Column:
+def literal_hits(found: Column) -> Column:
     """At most one hit per (file, rule), reported at line 1."""
     return F.transform(
-        present(rules),
+        found,
         lambda r: hit("literal", r["rule_id"], r["literal"], F.lit(1), r["literal"]))
 
 
-def match_groups(rules: list[Rule]) -> Column:
-    """Rules that matched, each with its match texts and the gaps between them."""
-    groups = [
-        F.struct(
-            F.lit(r.rule_id).alias("rule_id"),
-            F.col(match_column(r)).alias("texts"),
-            F.when(F.size(match_column(r)) > 0,
-                   regex.gap_sizes(F.col("_text"), r.pattern, r.flags)).alias("gaps"))
-        for r in rules
-    ]
-    return F.filter(F.array(*groups), lambda g: F.size(g["texts"]) > 0)
-
-
 def spans(groups: Column) -> Column:
     """Array of (rule_id, matched, start, end, line) over all matching rules."""
     return F.flatten(F.transform(groups, lambda g: F.transform(
@@ -81,7 +61,8 @@ def regex_hits(span_array: Column) -> Column:
 def scan_lines(files: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
     """Line literal scan of a files table."""
     rules = rule_rows("basic") if rules is None else rules
-    df = with_lines(with_needles(with_text(files), rules))
+    may = Candidates(rules)
+    df = may.search(with_lines(with_text(files))).withColumn("_needles", may.literals(rules))
     return unnest(df, ["path", "project"], line_hits(), "rule_id")
 
 
@@ -91,7 +72,8 @@ def match_literals(df: DataFrame, text_col: str = "content", rules: list[Rule] |
     keep = [c for c in df.columns if c != text_col]
     if not rules:
         return df.where(F.lit(False)).select(*keep, F.lit("").alias("rule_id"), F.lit("").alias("matched"))
-    return unnest(with_text(df, text_col), keep, present(rules), "rule_id").select(
+    may = Candidates(rules)
+    return unnest(may.search(with_text(df, text_col)), keep, may.literals(rules), "rule_id").select(
         *keep, "rule_id", F.col("literal").alias("matched"))
 
 
@@ -103,8 +85,8 @@ def match_regexes(df: DataFrame, text_col: str = "content", rules: list[Rule] |
         return df.where(F.lit(False)).select(
             *keep, F.lit("").alias("rule_id"), F.lit("").alias("matched"), F.lit(0).alias("match_start"),
             F.lit(0).alias("match_end"), F.lit(0).alias("line_start"))
-    df = with_matches(with_text(df, text_col), rules)
-    groups = unnest(df, keep, match_groups(rules), "rule_id")
+    may = Candidates(rules)
+    groups = unnest(may.search(with_text(df, text_col)), keep, may.match_groups(rules), "rule_id")
     return unnest(groups, [*keep, "rule_id"], regex.positions(F.col("texts"), F.col("gaps")), "line").select(
         *keep, "rule_id", "matched", F.col("start").alias("match_start"), F.col("end").alias("match_end"),
         F.col("line").alias("line_start"))
@@ -124,17 +106,18 @@ def scan_text(
     src = df.select(name.alias("filename"), F.col(text_col).alias("content"))
     literal = [r for r in rules if r.kind == "literal"]
     regexes = [r for r in rules if r.kind == "regex"]
-    src = with_matches(with_text(src), regexes)
+    may = Candidates(rules)
+    src = may.search(with_text(src))
     empty = "array<struct<rule_id:string,matched:string,start:int,end:int,line:int>>"
     parts = [F.from_json(F.lit("[]"), empty)]
     if literal:
         parts.append(F.transform(
-            present(literal),
+            may.literals(literal),
             lambda r: F.struct(r["rule_id"].alias("rule_id"), r["literal"].alias("matched"),
                                F.lit(None).cast("int").alias("start"), F.lit(None).cast("int").alias("end"),
                                F.lit(None).cast("int").alias("line"))))
     if regexes:
-        parts.append(spans(match_groups(regexes)))
+        parts.append(spans(may.match_groups(regexes)))
     found = unnest(src, ["filename"], F.concat(*parts), "rule_id")
     about = rules_frame(df.sparkSession, rules).select(
         "rule_id", "category", "subcategory", "severity", "description", "remediation", "cwe_ids")

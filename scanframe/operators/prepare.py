@@ -2,58 +2,58 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import json
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scanframe.functions import regex, text
+from scanframe.functions.needles import prefilter
 from scanframe.functions.pyfacts import python_facts
-from scanframe.functions.rows import let
 from scanframe.rules import Rule
 
-# Working columns: _text, _low (lower case), _fold (case-blind), _lines, _facts, _m<i>.
+# Working columns: _text, _low (lower case), _may (rules that can hit), _needles (line rules
+# that can hit), _lines, _facts.
 
 
 def with_text(files: DataFrame, column: str = "content") -> DataFrame:
     body = text.unix_newlines(F.coalesce(F.col(column), F.lit("")))
-    return files.withColumn("_text", body).withColumn("_low", F.lower("_text")).withColumn("_fold", text.fold(F.col("_text")))
+    return files.withColumn("_text", body).withColumn("_low", F.lower("_text"))
 
 
 def with_lines(files: DataFrame) -> DataFrame:
     return files.withColumn("_lines", text.lines(F.col("_text")))
 
 
-def with_needles(files: DataFrame, rules: list[Rule], name: str = "_needles") -> DataFrame:
-    """Rules whose needle occurs anywhere in the file: the only ones its lines are tested for."""
-    return files.withColumn(name, present(rules))
-
-
-def present(rules: list[Rule]):
-    """Literal rules whose needle occurs in the file."""
-    needles = needle_array(rules)
-    return let(F.col("_low"), lambda low: F.filter(needles, lambda r: F.contains(low, r["needle"])))
-
-
-def needle_array(rules: list[Rule]):
-    return F.array(*[
-        F.struct(F.lit(r.rule_id).alias("rule_id"), F.lit(r.pattern.lower()).alias("needle"),
-                 F.lit(r.pattern).alias("literal"))
-        for r in rules
-    ])
+class Candidates:
+    """The rules of one pass, with one search of each text for the strings they depend on."""
 
+    def __init__(self, rules: list[Rule]):
+        literals = [r for r in rules if r.kind == "literal"]
+        self.strings = list(dict.fromkeys(r.pattern.lower() for r in literals))
+        self.regexes = [r for r in rules if r.kind == "regex"]
 
-def match_column(rule: Rule) -> str:
-    return "_m_" + rule.rule_id.replace(".", "_").replace("-", "_")
+    def search(self, files: DataFrame) -> DataFrame:
+        return files.withColumn("_may", prefilter(F.col("_low"), self.strings, [r.needs for r in self.regexes]))
 
+    def literals(self, rules: list[Rule]) -> Column:
+        """Literal rules whose needle occurs: array of (rule_id, needle, literal)."""
+        place = {s: i for i, s in enumerate(self.strings)}
+        rows = [
+            {"rule_id": r.rule_id, "needle": r.pattern.lower(), "literal": r.pattern, "place": place[r.pattern.lower()]}
+            for r in rules
+        ]
+        table = F.from_json(F.lit(json.dumps(rows)), "array<struct<rule_id:string,needle:string,literal:string,place:int>>")
+        return F.filter(table, lambda r: F.array_contains(F.col("_may.literals"), r["place"]))
 
-def with_matches(files: DataFrame, rules: list[Rule], only=None) -> DataFrame:
-    """One array of match texts per rule; ``only`` is an extra condition on the file."""
-    cols = {}
-    for r in rules:
-        found = regex.all_matches(F.col("_text"), F.col("_fold"), r.pattern, r.flags, r.needs)
-        cols[match_column(r)] = found if only is None else F.when(only, found)
-    return files.withColumns(cols) if cols else files
+    def match_groups(self, rules: list[Rule], only: str = "true") -> Column:
+        """Expressions that match, with their matches; ``only`` is an extra SQL condition."""
+        wanted = {r.rule_id for r in rules}
+        chosen = [(i, r) for i, r in enumerate(self.regexes) if r.rule_id in wanted]
+        mine = ", ".join(str(i) for i, _ in chosen)
+        places = f"CASE WHEN {only} THEN array_intersect(_may.regexes, array({mine})) ELSE array() END"
+        return F.expr(regex.match_groups(places, chosen))
 
 
-def with_facts(files: DataFrame, ok=None) -> DataFrame:
-    wanted = F.col("lang") == "py"
-    return files.withColumn("_facts", python_facts(F.when(wanted if ok is None else wanted & ok, F.col("_text"))))
+def with_facts(files: DataFrame, ok: str = "true") -> DataFrame:
+    return files.withColumn("_facts", python_facts(F.expr(f"CASE WHEN lang = 'py' AND {ok} THEN _text END")))

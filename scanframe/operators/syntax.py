@@ -12,7 +12,7 @@ from scanframe import rules as R
 from scanframe.functions import regex
 from scanframe.functions.rows import let, unnest
 from scanframe.operators import prepare
-from scanframe.operators.patterns import hit, match_groups, spans
+from scanframe.operators.patterns import hit, spans
 
 
 def around(lines: Column, line: Column, before: int, after: int) -> Column:
@@ -100,10 +100,6 @@ def java_variables(matched: Column) -> Column:
     return F.filter(names, lambda n: ~n.isin(R.JAVA_KEYWORDS))
 
 
-def java_spans() -> Column:
-    return spans(match_groups(_JAVA))
-
-
 def java_details(span_array: Column) -> Column:
     """Java findings from spans of the Java rules; needs ``_lines``."""
     node_type = F.create_map(*[F.lit(x) for r in _JAVA for x in (r.rule_id, r.subcategory)])
@@ -152,12 +148,14 @@ def scan_python(files: DataFrame, sql_formatting: bool = False) -> DataFrame:
 
 def scan_java(files: DataFrame) -> DataFrame:
     df = prepare.with_text(files.where(F.col("lang") == "java"))
-    df = prepare.with_matches(prepare.with_lines(df), _JAVA).withColumn("_spans", java_spans())
-    return unnest(df, ["path", "project"], java_details(F.col("_spans")), "node_type")
+    may = prepare.Candidates(_JAVA)
+    found = java_details(spans(may.match_groups(_JAVA)))
+    return unnest(may.search(prepare.with_lines(df)), ["path", "project"], found, "node_type")
 
 
 def scan_syntax(files: DataFrame) -> DataFrame:
     """Both languages in one pass; files of any other language give nothing."""
     df = prepare.with_lines(prepare.with_facts(prepare.with_text(files.where(F.col("lang").isin("py", "java")))))
-    df = prepare.with_matches(df, _JAVA, only=F.col("lang") == "java").withColumn("_spans", java_spans())
-    return unnest(df, ["path", "project"], F.concat(python_details(), java_details(F.col("_spans"))), "node_type")
+    may = prepare.Candidates(_JAVA)
+    java = java_details(spans(may.match_groups(_JAVA, "lang = 'java'")))
+    return unnest(may.search(df), ["path", "project"], F.concat(python_details(), java), "node_type")

@@ -48,28 +48,26 @@ def _stage(files: DataFrame, options: ScanOptions) -> DataFrame:
     basic, owasp, java = (options.rules(s) for s in ("basic", "owasp", "java"))
     literal = [r for r in owasp if r.kind == "literal"]
     regexes = [r for r in owasp if r.kind == "regex"]
-    ok = F.col("is_utf8") if "is_utf8" in files.columns else F.lit(True)
-    df = prepare.with_lines(prepare.with_text(files))
+    ok = "is_utf8" if "is_utf8" in files.columns else "true"
+    may = prepare.Candidates(basic + owasp + java)
+    df = may.search(prepare.with_lines(prepare.with_text(files)))
     parts: list[Column] = []
     if basic:
-        df = prepare.with_needles(df, basic)
+        df = df.withColumn("_needles", may.literals(basic))
         parts.append(F.coalesce(patterns.line_hits(), F.array().cast(f"array<struct<{_HIT}>>")))
     if literal:
-        parts.append(patterns.literal_hits(literal))
-    df = prepare.with_matches(df, regexes)
+        parts.append(patterns.literal_hits(may.literals(literal)))
     if regexes:
-        df = df.withColumn("_spans", patterns.spans(patterns.match_groups(regexes)))
-        parts.append(patterns.regex_hits(F.col("_spans")))
+        parts.append(patterns.regex_hits(patterns.spans(may.match_groups(regexes))))
     if options.enable_ast_analysis or options.enable_flow_analysis:
         df = prepare.with_facts(df, ok)
     if options.enable_ast_analysis:
-        df = prepare.with_matches(df, java, only=(F.col("lang") == "java") & ok)
         allowed = F.lit([r.subcategory for r in options.rules("syntax")])
         shown = lambda d: F.array_contains(allowed, d["node_type"])
         parts.append(syntax.detail_hits("py_syntax", F.filter(syntax.python_details(), shown)))
         if java:
-            df = df.withColumn("_java", syntax.spans(syntax.match_groups(java)))
-            parts.append(syntax.detail_hits("java_regex", F.filter(syntax.java_details(F.col("_java")), shown)))
+            found = syntax.java_details(patterns.spans(may.match_groups(java, f"lang = 'java' AND {ok}")))
+            parts.append(syntax.detail_hits("java_regex", F.filter(found, shown)))
     hits = F.concat(*parts) if parts else F.array().cast(f"array<struct<{_HIT}>>")
     out = df.withColumn("hits", hits).withColumn("n_lines", text.line_count(F.col("_text")))
     columns = ["path", "project", "lang", "n_lines", "hits"]
