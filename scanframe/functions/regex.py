@@ -11,6 +11,7 @@ from scanframe.functions.text import newlines
 # \s and \w as explicit classes, so that they cover the same characters everywhere.
 SPACE = r"[\t-\r\x1C-\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]"
 WORD = r"[\p{L}\p{N}_]"
+MARK = "\x01"  # texts that contain it themselves take the slower way
 BLOCK = 128  # matches per block of the two-level running sum
 
 
@@ -40,7 +41,10 @@ def match_groups(places: str, rules: list) -> str:
     """
     ids = "CASE k " + " ".join(f"WHEN {i} THEN '{r.rule_id}'" for i, r in rules) + " END"
     texts = _by_place(rules, lambda p: f"regexp_extract_all(_text, {p}, 0)")
-    parts = _by_place(rules, lambda p: f"split(_text, {p}, -1)").replace("CASE k", "CASE h.k")
+    # split() compiles its pattern for every row; replacing matches by a mark does not
+    marked = _by_place(rules, lambda p: f"regexp_replace(_text, {p}, '{MARK}')").replace("CASE k", "CASE h.k")
+    parted = _by_place(rules, lambda p: f"split(_text, {p}, -1)").replace("CASE k", "CASE h.k")
+    parts = f"CASE WHEN contains(_text, '{MARK}') THEN {parted} ELSE split({marked}, '{MARK}', -1) END"
     tried = f"filter(transform({places}, k -> named_struct('k', k, 'rule_id', {ids}, 'texts', {texts})), h -> size(h.texts) > 0)"
     nl = "length(g) - length(replace(g, '\\n', ''))"
     gaps = f"transform({parts}, g -> named_struct('len', length(g), 'nl', {nl}))"
