@@ -20,6 +20,16 @@ def shared_folder(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
+def _own_folder(spark: SparkSession) -> str:
+    return f"{shared_folder(spark).rstrip('/')}/scanframe-{spark.sparkContext.applicationId}"
+
+
+def release(spark: SparkSession) -> None:
+    """Remove the intermediate tables of this application; results built on them end with it."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_own_folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write a table to the shared folder and read it back.
 
@@ -27,6 +37,6 @@ def materialize(df: DataFrame) -> DataFrame:
     real size. Names are unique, so concurrent jobs never touch each other's tables.
     """
     spark = df.sparkSession
-    target = f"{shared_folder(spark).rstrip('/')}/scanframe-{uuid.uuid4().hex}"
+    target = f"{_own_folder(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(target)
     return spark.read.schema(df.schema).parquet(target)

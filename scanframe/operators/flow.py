@@ -71,6 +71,11 @@ def flow_stage(files: DataFrame, names: str = "qualified") -> DataFrame:
     return df.select("path", "project", flow_facts(names).alias("flow_facts"))
 
 
+def with_file_id(files: DataFrame) -> DataFrame:
+    """Row identity, so that files of equal path or content stay apart. Write the result before use."""
+    return files.withColumn("file_id", F.monotonically_increasing_id())
+
+
 @dataclass
 class FlowGraph:
     files: DataFrame  # file_id, path, project: every analysed file, clean ones too
@@ -213,10 +218,11 @@ def _findings(paths: DataFrame, nodes: DataFrame, files: DataFrame) -> DataFrame
 def analyze(stage: DataFrame, max_path_length: int | None = None) -> FlowGraph:
     """Graph and findings for a table of (path, project, flow_facts), one row per file.
 
-    ``file_id`` is assigned here and written with the facts, so equal paths or equal contents
-    stay separate files.
+    ``file_id`` must come from a written table (see ``with_file_id``); without one it is
+    assigned and written here.
     """
-    stage = materialize(stage.withColumn("file_id", F.monotonically_increasing_id()))
+    if "file_id" not in stage.columns:
+        stage = materialize(with_file_id(stage))
     files = stage.select("file_id", "path", "project")
     nodes, edges = _graph(_events(stage))
     tainted = materialize(_taint(nodes, edges))

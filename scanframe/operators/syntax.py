@@ -135,10 +135,10 @@ def python_files(files: DataFrame) -> DataFrame:
     return files.where(F.col("lang") == "py")
 
 
-def fact_rows(files: DataFrame) -> DataFrame:
+def fact_rows(files: DataFrame, keep=("path", "project")) -> DataFrame:
     """The fact table: one row per relevant syntax node of each Python file."""
     df = prepare.with_facts(prepare.with_text(python_files(files)))
-    return unnest(df, ["path", "project"], F.col("_facts"), "kind")
+    return unnest(df, list(keep), F.col("_facts"), "kind")
 
 
 def scan_python(files: DataFrame, sql_formatting: bool = False) -> DataFrame:

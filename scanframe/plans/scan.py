@@ -98,7 +98,7 @@ def hit_findings(stage: DataFrame, options: ScanOptions) -> DataFrame:
 def flow_findings(stage: DataFrame, options: ScanOptions) -> DataFrame:
     """Flow findings in the common shape: fixed category, line of the source node."""
     found = flow.analyze(
-        stage.where(F.size("flow_facts") > 0).select("path", "project", "flow_facts"),
+        stage.where(F.size("flow_facts") > 0).select("file_id", "path", "project", "flow_facts"),
         options.max_path_length).findings
     sev = F.col("risk_level")
     override = options.severity_overrides.get("A03_Injection")
@@ -127,7 +127,7 @@ def scan(files: DataFrame, options: ScanOptions | None = None) -> ScanResult:
     options = options or ScanOptions()
     stage = _stage(select_files(files, options), options)
     if options.enable_flow_analysis:
-        stage = materialize(stage)
+        stage = materialize(flow.with_file_id(stage))
     findings = hit_findings(stage, options)
     if options.enable_flow_analysis and "A03_Injection" not in options.disabled_categories:
         findings = findings.unionByName(flow_findings(stage, options))

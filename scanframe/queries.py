@@ -507,12 +507,12 @@ def flw17_control_nodes(spark, d):
 
 @query
 def flw18_unreachable(spark, d):
-    return control.unreachable_sinks(_facts(spark, d)).select("path", "line", "qual")
+    return control.unreachable_sinks(control.numbered_facts(_code(spark, d))).select("path", "line", "qual")
 
 
 @query
 def flw19_unguarded(spark, d):
-    return control.unguarded_sinks(_facts(spark, d)).select("path", "line", "qual")
+    return control.unguarded_sinks(control.numbered_facts(_code(spark, d))).select("path", "line", "qual")
 
 
 # --- combined scan ----------------------------------------------------------------------

@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import os
 import zipfile
+import zlib
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -14,19 +15,24 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from scanframe.functions import text
 
 SUFFIXES = (".py", ".java")
-PART_BYTES = 64 << 20
-PART_FILES = 2_000
+PART_FILES = 500  # names per task
 _RAW = "path string, size bigint, content binary"
-_ARROW = pa.schema([("path", pa.string()), ("size", pa.int64()), ("content", pa.large_binary())])
+_ARROW = pa.schema([("path", pa.string()), ("size", pa.int64()), ("content", pa.binary())])
 
 
-class FilesPartition(InputPartition):
-    def __init__(self, files: list[tuple[str, int]]):
-        self.files = files
+class FoldersPartition(InputPartition):
+    """Shares of folders: (folder, share, shares); a share is the names whose hash falls on it."""
+
+    def __init__(self, shares: list[tuple[str, int, int]]):
+        self.shares = shares
 
 
 class TreeReader(DataSourceReader):
-    """Lists names and sizes when the scan is planned, reads contents in the tasks."""
+    """Counts files per folder when the scan is planned; tasks list, stat and read them.
+
+    The planner keeps one entry per folder, never one per file, and a folder with very many
+    files is split into shares.
+    """
 
     def __init__(self, options: dict):
         self.root = options["path"]
@@ -38,39 +44,56 @@ class TreeReader(DataSourceReader):
     def _wanted(self, name: str) -> bool:
         return os.path.splitext(name)[1] in self.suffixes
 
-    def _listing(self):
+    def _folders(self):
+        """Folders below the root with the number of wanted names in each; links are not followed."""
+        todo = [self.root]
+        while todo:
+            folder, n = todo.pop(), 0
+            with os.scandir(folder) as entries:
+                for e in entries:
+                    if e.is_dir(follow_symlinks=False):
+                        todo.append(e.path)
+                    elif self._wanted(e.name):
+                        n += 1
+            if n:
+                yield folder, n
+
+    def partitions(self) -> list[FoldersPartition]:
         if os.path.isfile(self.root):  # a single file is taken whatever its suffix
-            yield self.root
-            return
-        for folder, _, names in os.walk(self.root):
-            for name in names:
-                full = os.path.join(folder, name)
-                if self._wanted(name) and os.path.isfile(full):
-                    yield full
-
-    def partitions(self) -> list[FilesPartition]:
+            return [FoldersPartition([(self.root, 0, 0)])]
         parts, current, total = [], [], 0
-        for full in self._listing():
-            try:
-                size = os.path.getsize(full)
-            except OSError:
-                size = 0
-            if self.max_bytes and size > self.max_bytes:
+        for folder, n in self._folders():
+            shares = -(-n // PART_FILES)
+            for share in range(shares):
+                size = -(-n // shares)
+                if current and total + size > PART_FILES:
+                    parts.append(FoldersPartition(current))
+                    current, total = [], 0
+                current.append((folder, share, shares))
+                total += size
+        return parts + [FoldersPartition(current)]
+
+    def _files(self, partition: FoldersPartition):
+        for folder, share, shares in partition.shares:
+            if not shares:
+                yield folder
                 continue
-            if current and (total + size > PART_BYTES or len(current) >= PART_FILES):
-                parts.append(FilesPartition(current))
-                current, total = [], 0
-            current.append((full, size))
-            total += size
-        return parts + [FilesPartition(current)]
-
-    def read(self, partition: FilesPartition):
-        for full, size in partition.files:
+            with os.scandir(folder) as entries:
+                for e in entries:
+                    mine = zlib.crc32(os.fsencode(e.name)) % shares == share
+                    if mine and self._wanted(e.name) and e.is_file():
+                        yield e.path
+
+    def read(self, partition: FoldersPartition):
+        for full in self._files(partition):
             try:
+                size = os.path.getsize(full)
+                if self.max_bytes and size > self.max_bytes:
+                    continue
                 with open(full, "rb") as f:
                     data = f.read()
             except OSError:  # still counted as a file
-                data = None
+                size, data = 0, None
             yield pa.RecordBatch.from_pydict({"path": [full], "size": [size], "content": [data]}, schema=_ARROW)
 
 
