@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -36,7 +37,13 @@ def materialize(df: DataFrame) -> DataFrame:
     Cuts lineage, survives executor loss, keeps column pruning and gives the optimizer the
     real size. Names are unique, so concurrent jobs never touch each other's tables.
     """
+    return counted(df)[0]
+
+
+def counted(df: DataFrame) -> tuple[DataFrame, int]:
+    """``materialize`` plus the number of rows, taken from the same write."""
     spark = df.sparkSession
     target = f"{_own_folder(spark)}/{uuid.uuid4().hex}"
-    df.write.parquet(target)
-    return spark.read.schema(df.schema).parquet(target)
+    seen = Observation()
+    df.observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(target)
+    return spark.read.schema(df.schema).parquet(target), seen.get["rows"]

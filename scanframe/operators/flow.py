@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from scanframe import rules as R
 from scanframe.functions import text
-from scanframe.functions.cluster import materialize
+from scanframe.functions.cluster import counted, materialize
 from scanframe.functions.rows import let
 from scanframe.operators import prepare
 
@@ -145,8 +145,8 @@ def _taint(nodes: DataFrame, edges: DataFrame) -> DataFrame:
             frontier.alias("f").join(step.alias("e"), (F.col("f.file_id") == F.col("e.file_id")) & (F.col("f.node") == F.col("e.src")))
             .select("e.file_id", F.col("e.dst").alias("node")).distinct())
         known = reduce(DataFrame.unionAll, rounds)
-        frontier = materialize(reached.join(known, ["file_id", "node"], "left_anti"))
-        if frontier.isEmpty():
+        frontier, n = counted(reached.join(known, ["file_id", "node"], "left_anti"))
+        if not n:
             return known
         rounds.append(frontier)
 
@@ -164,8 +164,8 @@ def _paths(tainted: DataFrame, edges: DataFrame, max_length: int | None) -> Data
             .groupBy("f.file_id", "f.src", F.col("e.next").alias("dst"))
             .agg(F.min(F.concat("f.route", F.array("e.next"))).alias("route")))
         known = reduce(DataFrame.unionAll, rounds).select("file_id", "src", "dst")
-        frontier = materialize(grown.join(known, ["file_id", "src", "dst"], "left_anti"))
-        if frontier.isEmpty():
+        frontier, n = counted(grown.join(known, ["file_id", "src", "dst"], "left_anti"))
+        if not n:
             break
         rounds.append(frontier)
         length += 1
