@@ -141,8 +141,8 @@ def match_rule_table(files: DataFrame, rules: DataFrame) -> DataFrame:
     n = wanted.count()
     if n > MAX_BROADCAST_RULES:
         parts = -(-n // MAX_BROADCAST_RULES) * 2
-        sliced = wanted.withColumn("_s", F.pmod(F.xxhash64("rule_id"), F.lit(parts)))
-        slices = [sliced.where(F.col("_s") == i).drop("_s") for i in range(parts)]
+        sliced = wanted.withColumn("_s", F.pmod(F.xxhash64("rule_id", "pattern"), F.lit(parts)))
+        slices = [F.broadcast(sliced.where(F.col("_s") == i).drop("_s")) for i in range(parts)]
     else:
         slices = [F.broadcast(wanted)]
     out = None

@@ -55,5 +55,11 @@ class Candidates:
         return F.expr(regex.match_groups(places, chosen))
 
 
-def with_facts(files: DataFrame, ok: str = "true") -> DataFrame:
-    return files.withColumn("_facts", python_facts(F.expr(f"CASE WHEN lang = 'py' AND {ok} THEN _text END")))
+def strict(files: DataFrame) -> str:
+    """SQL condition under which syntax analysis looks at a file: its bytes were valid UTF-8."""
+    return "is_utf8" if "is_utf8" in files.columns else "true"
+
+
+def with_facts(files: DataFrame) -> DataFrame:
+    condition = f"lang = 'py' AND {strict(files)}"
+    return files.withColumn("_facts", python_facts(F.expr(f"CASE WHEN {condition} THEN _text END")))

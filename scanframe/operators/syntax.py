@@ -149,7 +149,7 @@ def scan_python(files: DataFrame, sql_formatting: bool = False) -> DataFrame:
 def scan_java(files: DataFrame) -> DataFrame:
     df = prepare.with_text(files.where(F.col("lang") == "java"))
     may = prepare.Candidates(_JAVA)
-    found = java_details(spans(may.match_groups(_JAVA)))
+    found = java_details(spans(may.match_groups(_JAVA, prepare.strict(files))))
     return unnest(may.search(prepare.with_lines(df)), ["path", "project"], found, "node_type")
 
 
@@ -157,5 +157,5 @@ def scan_syntax(files: DataFrame) -> DataFrame:
     """Both languages in one pass; files of any other language give nothing."""
     df = prepare.with_lines(prepare.with_facts(prepare.with_text(files.where(F.col("lang").isin("py", "java")))))
     may = prepare.Candidates(_JAVA)
-    java = java_details(spans(may.match_groups(_JAVA, "lang = 'java'")))
+    java = java_details(spans(may.match_groups(_JAVA, f"lang = 'java' AND {prepare.strict(files)}")))
     return unnest(may.search(df), ["path", "project"], F.concat(python_details(), java), "node_type")

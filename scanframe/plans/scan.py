@@ -48,7 +48,6 @@ def _stage(files: DataFrame, options: ScanOptions) -> DataFrame:
     basic, owasp, java = (options.rules(s) for s in ("basic", "owasp", "java"))
     literal = [r for r in owasp if r.kind == "literal"]
     regexes = [r for r in owasp if r.kind == "regex"]
-    ok = "is_utf8" if "is_utf8" in files.columns else "true"
     may = prepare.Candidates(basic + owasp + java)
     df = may.search(prepare.with_lines(prepare.with_text(files)))
     parts: list[Column] = []
@@ -60,13 +59,13 @@ def _stage(files: DataFrame, options: ScanOptions) -> DataFrame:
     if regexes:
         parts.append(patterns.regex_hits(patterns.spans(may.match_groups(regexes))))
     if options.enable_ast_analysis or options.enable_flow_analysis:
-        df = prepare.with_facts(df, ok)
+        df = prepare.with_facts(df)
     if options.enable_ast_analysis:
         allowed = F.lit([r.subcategory for r in options.rules("syntax")])
         shown = lambda d: F.array_contains(allowed, d["node_type"])
         parts.append(syntax.detail_hits("py_syntax", F.filter(syntax.python_details(), shown)))
         if java:
-            found = syntax.java_details(patterns.spans(may.match_groups(java, f"lang = 'java' AND {ok}")))
+            found = syntax.java_details(patterns.spans(may.match_groups(java, f"lang = 'java' AND {prepare.strict(files)}")))
             parts.append(syntax.detail_hits("java_regex", F.filter(found, shown)))
     hits = F.concat(*parts) if parts else F.array().cast(f"array<struct<{_HIT}>>")
     out = df.withColumn("hits", hits).withColumn("n_lines", text.line_count(F.col("_text")))

@@ -84,6 +84,18 @@ def test_scan_of_a_tree(spark, folder, tmp_path):
     assert f"\n{result.findings.count()}. " in text
 
 
+def test_invalid_bytes_silence_syntax_only(spark):
+    from scanframe.operators import flow, syntax
+
+    raw = spark.createDataFrame(
+        [("p/a.py", b"eval(x)\xff"), ("p/A.java", b"new File(a + b)\xff"), ("p/b.py", b"eval(x)")], "path string, content binary")
+    files = tree.decode_files(raw, "p")
+    assert [r.path for r in syntax.scan_syntax(files).collect()] == ["p/b.py"]
+    assert syntax.scan_java(files).count() == 0
+    assert sorted(r.file_path for r in scan.scan(files).findings.where("finder = 'line'").collect()) == ["p/a.py", "p/b.py"]
+    assert flow.totals(flow.analyze_files(files)).first().files_analyzed == 2
+
+
 def test_archives(spark):
     buffer = io.BytesIO()
     with zipfile.ZipFile(buffer, "w") as z:
