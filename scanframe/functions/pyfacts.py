@@ -19,8 +19,6 @@ from pyspark.sql.pandas.types import to_arrow_type
 from scanframe.schemas import FACT
 
 _FACTS = T.ArrayType(FACT)
-_STOPS = {ast.Return: "return", ast.Raise: "raise", ast.Break: "break", ast.Continue: "continue"}
-_CONTROL = {ast.If: "if", ast.While: "while", ast.For: "for", ast.Try: "try"}
 
 
 def _dotted(func: ast.expr) -> str:
@@ -80,34 +78,42 @@ def _call_columns(call: ast.Call) -> dict:
     }
 
 
-def _fact_rows(node: ast.AST) -> list[dict]:
-    """Facts stated by one node; most nodes state none."""
-    if isinstance(node, ast.Call):
-        return [{"kind": "call", **_call_columns(node)}]
-    if isinstance(node, ast.Assign):
-        targets = [t.id for t in node.targets if isinstance(t, ast.Name)]
-        fact = {"kind": "assign", "targets": targets, "value": "other"}
-        if isinstance(node.value, ast.Call):
-            fact.update(_call_columns(node.value), value="call")
-        elif isinstance(node.value, ast.Constant) and isinstance(node.value.value, str):
-            fact["value"] = "str"
-        return [fact] if targets else []
-    if isinstance(node, ast.FunctionDef):
-        return [{"kind": "func", "name": node.name}]
-    if isinstance(node, ast.AsyncFunctionDef):
-        return [{"kind": "async_func", "name": node.name}]
-    if isinstance(node, ast.ClassDef):
-        return [{"kind": "class", "name": node.name}]
-    if isinstance(node, ast.Import):
-        return [{"kind": "import", "name": a.name} for a in node.names]
-    if type(node) in _CONTROL:
-        rows = [{"kind": "control", "name": _CONTROL[type(node)]}]
-        if isinstance(node, ast.Try):
-            rows.append({"kind": "guarded", "line": node.body[0].lineno, "end_line": node.body[-1].end_lineno})
-        return rows
-    if type(node) in _STOPS:
-        return [{"kind": "stop", "name": _STOPS[type(node)]}]
-    return []
+def _assignment(node: ast.Assign) -> list[dict]:
+    targets = [t.id for t in node.targets if isinstance(t, ast.Name)]
+    if not targets:
+        return []
+    fact = {"kind": "assign", "targets": targets, "value": "other"}
+    if isinstance(node.value, ast.Call):
+        fact.update(_call_columns(node.value), value="call")
+    elif isinstance(node.value, ast.Constant) and isinstance(node.value.value, str):
+        fact["value"] = "str"
+    return [fact]
+
+
+def _try(node: ast.Try) -> list[dict]:
+    body = {"kind": "guarded", "line": node.body[0].lineno, "end_line": node.body[-1].end_lineno}
+    return [{"kind": "control", "name": "try"}, body]
+
+
+# Facts stated by one node, by node type; all other nodes state none.
+_FACTS_OF = {
+    ast.Call: lambda node: [{"kind": "call", **_call_columns(node)}],
+    ast.Assign: _assignment,
+    ast.FunctionDef: lambda node: [{"kind": "func", "name": node.name}],
+    ast.AsyncFunctionDef: lambda node: [{"kind": "async_func", "name": node.name}],
+    ast.ClassDef: lambda node: [{"kind": "class", "name": node.name}],
+    ast.Import: lambda node: [{"kind": "import", "name": a.name} for a in node.names],
+    ast.If: lambda node: [{"kind": "control", "name": "if"}],
+    ast.While: lambda node: [{"kind": "control", "name": "while"}],
+    ast.For: lambda node: [{"kind": "control", "name": "for"}],
+    ast.Try: _try,
+    ast.Return: lambda node: [{"kind": "stop", "name": "return"}],
+    ast.Raise: lambda node: [{"kind": "stop", "name": "raise"}],
+    ast.Break: lambda node: [{"kind": "stop", "name": "break"}],
+    ast.Continue: lambda node: [{"kind": "stop", "name": "continue"}],
+}
+_PLACED = (ast.Call, ast.Return, ast.Raise, ast.Break, ast.Continue)  # facts that carry their blocks
+_LEAVES = (ast.Name, ast.Constant, ast.expr_context, ast.operator, ast.boolop, ast.unaryop, ast.cmpop)
 
 
 def facts_of(text: str | None) -> list[dict]:
@@ -115,39 +121,40 @@ def facts_of(text: str | None) -> list[dict]:
     if text is None:
         return []
     try:
-        with warnings.catch_warnings():
-            warnings.simplefilter("ignore")
-            tree = ast.parse(text)
+        tree = ast.parse(text)
     except (SyntaxError, ValueError, RecursionError, MemoryError):
         return [{"seq": 0, "kind": "parse_error"}]
-    out, seq, n_blocks = [], 0, 0
+    out, n_blocks = [], 0
     # node, enclosing function, class, calls and (block, position) pairs
     todo = [(tree, None, None, (), ())]
     while todo:
         node, fn, cls, chain, blocks = todo.pop()
-        if isinstance(node, ast.FunctionDef):
+        kind = type(node)
+        if kind is ast.FunctionDef:
             fn = node.name
-        if isinstance(node, ast.Call):
+        elif kind is ast.Call:
             chain += (_short(node.func),)
-        for row in _fact_rows(node):
-            out.append({
-                "seq": seq, "line": getattr(node, "lineno", None), "end_line": getattr(node, "end_lineno", None),
-                "fn": fn, "cls": cls, "chain": chain,
-                "blocks": [{"block": b, "pos": p} for b, p in blocks], **row,
-            })
-            seq += 1
-        if isinstance(node, ast.ClassDef):
+        if kind in _FACTS_OF:
+            where = {"line": node.lineno, "end_line": node.end_lineno, "fn": fn, "cls": cls, "chain": chain}
+            if kind in _PLACED:
+                where["blocks"] = [{"block": b, "pos": p} for b, p in blocks]
+            for row in _FACTS_OF[kind](node):
+                out.append({"seq": len(out), **where, **row})
+        if kind is ast.ClassDef:
             cls = node.name
         below = []
-        for _, value in ast.iter_fields(node):
-            if isinstance(value, ast.AST):
+        for name in node._fields:
+            value = getattr(node, name, None)
+            if isinstance(value, list):
+                if value and isinstance(value[0], ast.stmt):
+                    n_blocks += 1
+                    below += [(v, fn, cls, chain, (*blocks, (n_blocks, i))) for i, v in enumerate(value)]
+                else:
+                    below += [
+                        (v, fn, cls, chain, blocks) for v in value
+                        if isinstance(v, ast.AST) and not isinstance(v, _LEAVES)]
+            elif isinstance(value, ast.AST) and not isinstance(value, _LEAVES):
                 below.append((value, fn, cls, chain, blocks))
-            elif isinstance(value, list):
-                n_blocks += 1
-                below += [
-                    (v, fn, cls, chain, blocks + ((n_blocks, i),) if isinstance(v, ast.stmt) else blocks)
-                    for i, v in enumerate(value) if isinstance(v, ast.AST)
-                ]
         todo += reversed(below)
     return out
 
@@ -158,6 +165,8 @@ def python_facts(text: Column) -> Column:
 
     @F.arrow_udf(_FACTS)
     def extract(texts: pa.Array) -> pa.Array:
-        return pa.array([facts_of(t) for t in texts.to_pylist()], type=arrow_type)
+        with warnings.catch_warnings():  # odd escapes in a scanned file are not our concern
+            warnings.simplefilter("ignore")
+            return pa.array([facts_of(t) for t in texts.to_pylist()], type=arrow_type)
 
     return extract(text)
