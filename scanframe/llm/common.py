@@ -51,6 +51,15 @@ def small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_IDS else df
 
 
+def once(rows: DataFrame, repeated: DataFrame, n: int) -> DataFrame:
+    """``keyed`` rows with one row for each of the n identities that occur more than once; the others are left as they lie."""
+    if not n:
+        return rows
+    few = small(repeated, n)
+    return rows.join(few, ["key", "mark"], "left_anti").unionByName(
+        rows.join(few, ["key", "mark"], "left_semi").dropDuplicates(["key", "mark"]))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of the links (a, b), both long: (node, root), root the smallest node.
 

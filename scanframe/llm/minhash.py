@@ -15,7 +15,7 @@ from pyspark.sql.functions import arrow_udf
 from pyspark.sql.types import ArrayType, LongType
 
 from scanframe.functions.cluster import counted, materialize
-from scanframe.llm.common import components, keyed, replaced, small
+from scanframe.llm.common import components, keyed, once, replaced, small
 
 BITS = 4  # kept low bits of each minimum
 _LOW = 0x1111111111111111  # lowest bit of each group of four
@@ -265,7 +265,4 @@ def keep_one(docs: DataFrame, like: Likeness = Likeness()) -> DataFrame:  # noqa
     lost, n = counted(found.where(F.struct("key", "mark") != F.col("first")).select("key", "mark").distinct())
     left = rows.join(small(lost, n), ["key", "mark"], "left_anti")
     again, m = counted(found.groupBy("key", "mark").count().where("count > 1").select("key", "mark"))
-    if m:
-        once = left.join(small(again, m), ["key", "mark"], "left_semi").dropDuplicates(["key", "mark"])
-        left = left.join(small(again, m), ["key", "mark"], "left_anti").unionByName(once)
-    return replaced(left)
+    return replaced(once(left, again, m))
