@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,6 +61,19 @@ def once(rows: DataFrame, repeated: DataFrame, n: int) -> DataFrame:
         rows.join(few, ["key", "mark"], "left_semi").dropDuplicates(["key", "mark"]))
 
 
+def smallest_reachable(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Per index the smallest one that the links lead to."""
+    root = np.arange(n)
+    while True:
+        least = root.copy()
+        np.minimum.at(least, i, root[j])
+        np.minimum.at(least, j, root[i])
+        least = least[least]
+        if (least == root).all():
+            return root
+        root = least
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of the links (a, b), both long: (node, root), root the smallest node.
 
@@ -75,10 +89,9 @@ def components(edges: DataFrame) -> DataFrame:
     while n:
         tree = _flattened(materialize(rest.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root"))))
         if labels is None:
-            roots = tree.select(F.col("root").alias("node"), "root").distinct()
-            labels = materialize(tree.unionByName(roots))
-        else:
-            labels = materialize(_moved(labels, tree, "root"))
+            nodes = rest.select(F.col("a").alias("node")).union(rest.select("b")).distinct()
+            labels = nodes.withColumn("root", F.col("node"))
+        labels = materialize(_moved(labels, tree, "root"))
         rest, n = counted(_moved(_moved(rest, tree, "a"), tree, "b").where("a <> b").select(
             F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     return labels if labels is not None else pair.select(F.col("a").alias("node"), F.col("b").alias("root"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scanframe.functions.cluster import materialize
-from scanframe.llm.common import components
+from scanframe.llm.common import components, smallest_reachable
 
 TILE = 2048  # vectors per tile
 COSINE = 0.98
@@ -66,19 +66,6 @@ def links(x: np.ndarray, y: np.ndarray | None, cosine: float) -> tuple[np.ndarra
     return i[sure], j[sure]
 
 
-def _smallest_reachable(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Per index the smallest one that the links lead to."""
-    root = np.arange(n)
-    while True:
-        least = root.copy()
-        np.minimum.at(least, i, root[j])
-        np.minimum.at(least, j, root[i])
-        least = least[least]
-        if (least == root).all():
-            return root
-        root = least
-
-
 def _tile_pair(cosine: float):
     def run(group: pa.Table) -> pa.Table:
         """Rows of one tile or two to (cid, links, to): copies linked with, and a smaller class in the same component."""
@@ -98,7 +85,7 @@ def _tile_pair(cosine: float):
         n = np.zeros(len(cid), np.int64)
         np.add.at(n, i, weight[j])
         np.add.at(n, j, weight[i])
-        to = cid[_smallest_reachable(len(cid), i, j)]
+        to = cid[smallest_reachable(len(cid), i, j)]
         on = n > 0
         return pa.table({"cid": cid[on], "links": n[on], "to": to[on]})
 
