@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import HashingTF
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from scanframe.functions.cluster import shared_folder
+
 GRAMS = (3, 4, 5)
 SLOTS = 1 << 16
 TRAINING_ROWS = 20_000  # bound of the labelled table the model is fitted to
@@ -62,7 +66,11 @@ def train(labelled: DataFrame) -> LogisticRegressionModel | None:
     rows = rows.orderBy(F.xxhash64(F.lit(5), "host", "path"), "host", "path", "label").limit(TRAINING_ROWS)
     if rows.select("label").distinct().count() < 2:
         return None
-    return LogisticRegression(maxIter=30, regParam=0.001, standardization=False).fit(_vectors(rows).select("features", "label"))
+    fit = LogisticRegression(maxIter=30, regParam=0.001, standardization=False).fit(_vectors(rows).select("features", "label"))
+    # written and read again: the fitted object still holds its training session, which tasks cannot be sent
+    folder = f"{shared_folder(labelled.sparkSession).rstrip('/')}/url-model-{uuid.uuid4().hex}"
+    fit.write().save(folder)
+    return LogisticRegressionModel.load(folder)
 
 
 def judge_pages(pages: DataFrame, rules: list[tuple[str, str]] | None = None, labelled: DataFrame | None = None) -> DataFrame:
