@@ -15,11 +15,12 @@ from pyspark.sql.functions import arrow_udf
 from pyspark.sql.types import ArrayType, LongType
 
 from scanframe.functions.cluster import counted, materialize
-from scanframe.llm.common import components, keyed, once, replaced, small
+from scanframe.llm.common import components, keyed, once, replaced, small, smallest_reachable
 
 BITS = 4  # kept low bits of each minimum
 _LOW = 0x1111111111111111  # lowest bit of each group of four
 TILE = 256  # members of a bucket that are compared with each other at a time
+FEW = 8  # buckets of so many classes give their pairs as rows
 
 
 @dataclass(frozen=True)
@@ -137,31 +138,91 @@ def _members(classes: DataFrame) -> DataFrame:
     return materialize(members.join(hubs, ["band", "bucket"]))
 
 
-def _open_pairs(members: DataFrame, classes: DataFrame, labels: DataFrame, like: Likeness) -> DataFrame:
-    """Pairs that share a bucket, lie in different components and have signatures that are near enough.
-
-    Buckets whose classes are already in one component need no further work. The others are
-    cut into tiles by hash, and every pair of tiles is a join key of its own.
-    """
+def _open_buckets(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """Members (band, bucket, cid, root, size) of the buckets whose classes are not all in one component yet."""
     label = labels.select(F.col("node").alias("cid"), "root")
     placed = materialize(members.join(label, "cid", "left").select(
         "band", "bucket", "cid", F.coalesce("root", "cid").alias("root")))
     still = placed.groupBy("band", "bucket").agg(
         F.count("*").alias("size"), F.min("root").alias("least"), F.max("root").alias("most"))
-    still = materialize(still.where("least <> most").select(
-        "band", "bucket", F.ceil(F.col("size") / TILE).cast("int").alias("tiles")))
-    inside = placed.join(still, ["band", "bucket"]).join(classes.select("cid", "bits"), "cid")
-    inside = materialize(inside.withColumn("tile", F.pmod(F.xxhash64("cid"), F.col("tiles")).cast("int")))
-    others = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))
-    left = inside.withColumn("other", others).select(
-        "band", "bucket", F.col("tile").alias("t1"), F.col("other").alias("t2"), F.col("cid").alias("a"),
-        F.col("root").alias("root_a"), F.col("bits").alias("bits_a"))
-    right = inside.withColumn("other", others).select(
-        "band", "bucket", F.col("other").alias("t1"), F.col("tile").alias("t2"), F.col("cid").alias("b"),
-        F.col("root").alias("root_b"), F.col("bits").alias("bits_b"))
-    near = different(F.col("bits_a"), F.col("bits_b"), like.hashes // 16) <= like.most_different
-    return left.join(right, ["band", "bucket", "t1", "t2"]).where(
-        (F.col("a") > F.col("b")) & (F.col("root_a") != F.col("root_b")) & near).select("a", "b").distinct()
+    still = materialize(still.where("least <> most").select("band", "bucket", "size"))
+    return materialize(placed.join(still, ["band", "bucket"]))
+
+
+def _few_pairs(inside: DataFrame, classes: DataFrame, like: Likeness) -> DataFrame:
+    """Pairs of different components in buckets of at most FEW classes whose signatures are near enough."""
+    few = inside.where(F.col("size") <= FEW)
+    a = few.select("band", "bucket", F.col("cid").alias("a"), F.col("root").alias("root_a"))
+    b = few.select("band", "bucket", F.col("cid").alias("b"), F.col("root").alias("root_b"))
+    pairs = a.join(b, ["band", "bucket"]).where("a > b and root_a <> root_b").select("a", "b").distinct()
+    return _near(pairs, classes, like)
+
+
+def _shared(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all pairwise intersections, as products of blocks of the incidence matrix."""
+    flat = np.concatenate(sets)
+    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    _, place, times = np.unique(flat, return_inverse=True, return_counts=True)
+    on = times[place] > 1  # what occurs once is shared by none
+    column = np.cumsum(times > 1)[place[on]] - 1
+    owner = owner[on]
+    order = np.argsort(column, kind="stable")
+    column, owner = column[order], owner[order]
+    total = np.zeros((len(sets), len(sets)), np.float32)
+    width = 8192
+    for k in range(0, int(column[-1]) + 1 if len(column) else 0, width):
+        low, high = np.searchsorted(column, [k, k + width])
+        block = np.zeros((len(sets), width), np.float32)
+        block[owner[low:high], column[low:high] - k] = 1
+        total += block @ block.T
+    return total.astype(np.int64)
+
+
+def _tile_links(like: Likeness):
+    def run(group: pa.Table) -> pa.Table:
+        """Classes of one tile or two, to links (a, b) that join what is linked there: one a class, not one a pair."""
+        group = group.sort_by("cid")
+        cid, root, tile = (group.column(c).to_numpy() for c in ("cid", "root", "tile"))
+        bits = group.column("bits").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(cid), -1)
+        unlike = np.zeros((len(cid), len(cid)), np.int64)
+        for k in range(bits.shape[1]):
+            x = bits[:, None, k] ^ bits[None, :, k]
+            x |= x >> np.uint64(1)
+            x |= x >> np.uint64(2)
+            unlike += np.bitwise_count(x & np.uint64(_LOW))
+        near = (unlike <= like.most_different) & (root[:, None] != root[None, :])
+        if group.column("t1")[0] != group.column("t2")[0]:
+            near &= tile[:, None] != tile[None, :]
+        some = np.flatnonzero(near.any(axis=1))
+        if not len(some):
+            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+        stored = group.column("shingles").combine_chunks()
+        sets = [np.frombuffer(stored[int(k)].as_buffer(), np.uint64) for k in some]
+        both, size = _shared(sets), np.array([len(x) for x in sets])
+        linked = near[np.ix_(some, some)] & (100 * both >= like.percent * (size[:, None] + size[None, :] - both))
+        i, j = np.nonzero(np.triu(linked, 1))
+        to = smallest_reachable(len(some), i, j)
+        on = to != np.arange(len(some))
+        return pa.table({"a": cid[some[on]], "b": cid[some[to[on]]]})
+
+    return run
+
+
+def _tiled_links(inside: DataFrame, classes: DataFrame, rows: DataFrame, like: Likeness) -> DataFrame:
+    """Links (a, b) inside the larger open buckets, cut into tiles by hash.
+
+    Each pair of tiles of a bucket is one group of at most two tiles, sifted by the bits and
+    confirmed on the full sets where it lies; what comes out is linear in the tile.
+    """
+    many = inside.where(F.col("size") > FEW)
+    sets = _sets(many.select("cid").distinct(), classes, rows, like)
+    many = many.join(classes.select("cid", "bits"), "cid").join(sets, "cid")
+    tiles = F.ceil(F.col("size") / TILE).cast("int")
+    many = many.withColumn("tile", F.pmod(F.xxhash64("cid"), tiles).cast("int"))
+    many = many.withColumn("other", F.explode(F.sequence(F.lit(0), tiles - 1)))
+    many = many.withColumns({"t1": F.least("tile", "other"), "t2": F.greatest("tile", "other")})
+    return many.select("band", "bucket", "t1", "t2", "tile", "cid", "root", "bits", "shingles").groupBy(
+        "band", "bucket", "t1", "t2").applyInArrow(_tile_links(like), "a long, b long").distinct()
 
 
 def _set_bytes(words: int):
@@ -185,12 +246,17 @@ def _links(percent: int):
     return linked
 
 
+def _sets(wanted: DataFrame, classes: DataFrame, rows: DataFrame, like: Likeness) -> DataFrame:
+    """(cid, shingles) of some classes, from the texts of their first documents."""
+    wanted, n = counted(wanted.join(classes.select("cid", "key", "mark"), "cid"))
+    texts = rows.select("key", "mark", F.col("row")["text"].alias("text")).join(small(wanted, n), ["key", "mark"])
+    return materialize(texts.select("cid", _set_bytes(like.words)("text").alias("shingles")).dropDuplicates(["cid"]))
+
+
 def confirmed(pairs: DataFrame, classes: DataFrame, rows: DataFrame, like: Likeness) -> DataFrame:
     """The pairs (a, b) whose whole shingle sets are alike enough; texts are read for their classes only."""
     wanted = pairs.select(F.col("a").alias("cid")).union(pairs.select(F.col("b").alias("cid"))).distinct()
-    wanted, n = counted(wanted.join(classes.select("cid", "key", "mark"), "cid"))
-    texts = rows.select("key", "mark", F.col("row")["text"].alias("text")).join(small(wanted, n), ["key", "mark"])
-    sets = materialize(texts.select("cid", _set_bytes(like.words)("text").alias("shingles")).dropDuplicates(["cid"]))
+    sets = _sets(wanted, classes, rows, like)
     a = sets.select(F.col("cid").alias("a"), F.col("shingles").alias("set_a"))
     b = sets.select(F.col("cid").alias("b"), F.col("shingles").alias("set_b"))
     return pairs.join(b, "b").join(a, "a").where(_links(like.percent)("set_a", "set_b")).select("a", "b")
@@ -215,10 +281,12 @@ def near_classes(rows: DataFrame, like: Likeness) -> DataFrame:
     tried = materialize(stars)
     links = materialize(confirmed(tried, classes, rows, like))
     labels = components(links)
-    opened, n = counted(_open_pairs(members, classes, labels, like).join(tried, ["a", "b"], "left_anti"))
+    inside = _open_buckets(members, labels)
+    opened = materialize(_few_pairs(inside, classes, like).join(tried, ["a", "b"], "left_anti"))
+    more = confirmed(opened, classes, rows, like).unionByName(_tiled_links(inside, classes, rows, like))
+    more, n = counted(more)
     if n:
-        links = links.unionByName(confirmed(opened, classes, rows, like))
-        labels = components(links)
+        labels = components(links.unionByName(more))
     root = classes.join(labels.withColumnRenamed("node", "cid"), "cid", "left").select(
         "digest", "first", F.coalesce("root", "cid").alias("root"))
     root = materialize(root)
