@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -14,7 +15,7 @@ def shared_folder(spark: SparkSession) -> str:
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if folder:
         return folder
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):  # one process with its own disk
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors can reach")
     folder = tempfile.mkdtemp(prefix="scanframe-")
     spark.sparkContext.setCheckpointDir(folder)
@@ -25,8 +26,21 @@ def _own_folder(spark: SparkSession) -> str:
     return f"{shared_folder(spark).rstrip('/')}/scanframe-{spark.sparkContext.applicationId}"
 
 
+_KEPT: dict[tuple, DataFrame] = {}
+
+
+def kept(spark: SparkSession, key: tuple, make) -> DataFrame:
+    """A table that several queries of this application start from, written once and forgotten by ``release``."""
+    key = (spark.sparkContext.applicationId, *key)
+    if key not in _KEPT:
+        _KEPT[key] = materialize(make())
+    return _KEPT[key]
+
+
 def release(spark: SparkSession) -> None:
     """Remove the intermediate tables of this application; results built on them end with it."""
+    for key in [k for k in _KEPT if k[0] == spark.sparkContext.applicationId]:
+        del _KEPT[key]
     path = spark._jvm.org.apache.hadoop.fs.Path(_own_folder(spark))
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 

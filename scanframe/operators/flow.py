@@ -2,7 +2,7 @@
 
 Everything is keyed by ``file_id`` plus a variable or a node, so no single task ever needs
 a whole project. A node id is ``seq << 30 | index``: ids grow in source order, edges always
-lead to larger ids, so the graph has no cycles and the closures below end.
+lead to larger ids, so the graph has no cycles.
 """
 
 from __future__ import annotations
@@ -15,8 +15,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scanframe import rules as R
-from scanframe.functions import text
-from scanframe.functions.cluster import counted, materialize
+from scanframe.functions import routes, text
+from scanframe.functions.cluster import materialize
 from scanframe.functions.rows import let
 from scanframe.operators import prepare
 
@@ -122,8 +122,7 @@ def _bind(events: DataFrame) -> DataFrame:
 OPERATION = {"assignment": "assignment", "sanitized": "sanitization", "sink": "sink_usage"}
 
 
-def _graph(events: DataFrame) -> tuple[DataFrame, DataFrame]:
-    bound = materialize(_bind(events))
+def _graph(bound: DataFrame) -> tuple[DataFrame, DataFrame]:
     operation = F.create_map(*[F.lit(x) for kv in OPERATION.items() for x in kv])
     used = bound.where("uses and bound is not null")
     edges = used.select(
@@ -135,41 +134,23 @@ def _graph(events: DataFrame) -> tuple[DataFrame, DataFrame]:
     return nodes, edges
 
 
-def _taint(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """All tainted nodes: sources, closed over assignment edges (semi-naive)."""
-    step = edges.where("operation = 'assignment'").select("file_id", "src", "dst").distinct()
-    frontier = nodes.where("role = 'user_input'").select("file_id", "node")
-    rounds = [frontier]
-    while True:
-        reached = (
-            frontier.alias("f").join(step.alias("e"), (F.col("f.file_id") == F.col("e.file_id")) & (F.col("f.node") == F.col("e.src")))
-            .select("e.file_id", F.col("e.dst").alias("node")).distinct())
-        known = reduce(DataFrame.unionAll, rounds)
-        frontier, n = counted(reached.join(known, ["file_id", "node"], "left_anti"))
-        if not n:
-            return known
-        rounds.append(frontier)
-
-
-def _paths(tainted: DataFrame, edges: DataFrame, max_length: int | None) -> DataFrame:
-    """Shortest path per reachable (src, dst): breadth first, smallest node list on ties."""
-    step = edges.select("file_id", F.col("src").alias("at"), F.col("dst").alias("next")).distinct()
-    frontier = tainted.select(
-        "file_id", F.col("node").alias("src"), F.col("node").alias("dst"), F.array("node").alias("route"))
-    rounds = [frontier]
-    length = 1
-    while max_length is None or length < max_length:
-        grown = (
-            frontier.alias("f").join(step.alias("e"), (F.col("f.file_id") == F.col("e.file_id")) & (F.col("f.dst") == F.col("e.at")))
-            .groupBy("f.file_id", "f.src", F.col("e.next").alias("dst"))
-            .agg(F.min(F.concat("f.route", F.array("e.next"))).alias("route")))
-        known = reduce(DataFrame.unionAll, rounds).select("file_id", "src", "dst")
-        frontier, n = counted(grown.join(known, ["file_id", "src", "dst"], "left_anti"))
-        if not n:
-            break
-        rounds.append(frontier)
-        length += 1
-    return reduce(DataFrame.unionAll, rounds)
+def _flows(bound: DataFrame, max_length: int | None) -> DataFrame:
+    """(file_id, tainted, routes): the closure over assignments and the shortest clean routes to sinks.
+
+    The graph of a file fits its row, as its facts did, so both come from one grouping by file
+    and one pass over arrays, however long the chains are. Files without any untrusted input
+    are left out before that.
+    """
+    is_node = ~F.col("uses") | ((F.col("role") == "sink") & F.col("bound").isNotNull())
+    event = F.struct(
+        "node", F.when(F.col("uses"), F.col("bound")).alias("from"),
+        (F.col("uses") & (F.col("role") == "assignment")).alias("assigns"),
+        (~F.col("uses") & (F.col("role") == "user_input")).alias("source"),
+        (is_node & _mentions(F.col("context"), R.SINKS)).alias("sink"),
+        (is_node & _mentions(F.col("context"), R.SANITIZERS)).alias("cleans"))
+    hot = F.max(~F.col("uses") & (F.col("role") == "user_input"))
+    files = bound.groupBy("file_id").agg(hot.alias("hot"), F.collect_list(event.cast(routes.EVENT)).alias("events")).where("hot")
+    return files.select("file_id", routes.flows(F.col("events"), max_length).alias("f")).select("file_id", "f.*")
 
 
 def vulnerability_type(context: Column) -> Column:
@@ -197,13 +178,9 @@ def _findings(paths: DataFrame, nodes: DataFrame, files: DataFrame) -> DataFrame
         "file_id", F.col("node").alias("src"), F.col("line").alias("source_line"),
         F.col("context").alias("source_context"), F.col("source_type"))
     pairs = paths.join(sinks, ["file_id", "dst"])
-    cleaned = about.where(_mentions(F.col("context"), R.SANITIZERS)).select("file_id", "node")
-    on_path = pairs.select("file_id", "src", "dst", F.explode("route").alias("node"))
-    dropped = on_path.join(cleaned, ["file_id", "node"], "left_semi").select("file_id", "src", "dst").distinct()
     kind, size = F.col("vuln_type"), F.size("route")
     return (
-        pairs.join(dropped, ["file_id", "src", "dst"], "left_anti")
-        .join(sources, ["file_id", "src"])
+        pairs.join(sources, ["file_id", "src"])
         .withColumn("vuln_type", vulnerability_type(F.col("sink_context")))
         .withColumn("risk_level", risk_level(kind, size))
         .withColumn("confidence", confidence(size))
@@ -224,8 +201,12 @@ def analyze(stage: DataFrame, max_path_length: int | None = None) -> FlowGraph:
     if "file_id" not in stage.columns:
         stage = materialize(with_file_id(stage))
     files = stage.select("file_id", "path", "project")
-    nodes, edges = _graph(_events(stage))
-    tainted = materialize(_taint(nodes, edges))
+    bound = materialize(_bind(_events(stage)))
+    nodes, edges = _graph(bound)
+    flows = materialize(_flows(bound, max_path_length))
+    tainted = flows.select("file_id", F.explode("tainted").alias("node"))
+    paths = flows.select("file_id", F.explode("routes").alias("route")).select(
+        "file_id", F.element_at("route", 1).alias("src"), F.element_at("route", -1).alias("dst"), "route")
     operations = edges.groupBy("file_id", F.col("dst").alias("node")).agg(
         F.sort_array(F.collect_list("operation")).alias("operations"))
     marked = (
@@ -236,7 +217,7 @@ def analyze(stage: DataFrame, max_path_length: int | None = None) -> FlowGraph:
             F.when(F.col("hot"), "tainted").when(F.col("role") == "sanitized", "sanitized").otherwise("unknown").alias("flow_type"),
             F.col("role").alias("source_type"), "context",
             F.coalesce("operations", F.array().cast("array<string>")).alias("operations")))
-    found = _findings(_paths(tainted, edges, max_path_length), marked, files)
+    found = _findings(paths, marked, files)
     return FlowGraph(files, marked, edges.dropDuplicates(["file_id", "src", "dst"]), found)
 
 

@@ -6,10 +6,12 @@ concatenated and exploded in one pass over the files.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scanframe.functions import regex, text
+from scanframe.functions.cluster import materialize
 from scanframe.functions.rows import let, unnest
 from scanframe.operators.prepare import Candidates, with_lines, with_text
 from scanframe.rules import Rule, owasp_rules, rule_rows, rules_frame
@@ -127,29 +129,42 @@ def scan_text(
         F.col("start").alias("match_start"), F.col("end").alias("match_end"))
 
 
-MAX_BROADCAST_RULES = 10_000
+ANCHOR = 4  # letters of a pattern by which it is looked up
+
+
+def _pieces(lengths: list[int]):
+    """All different substrings of the given lengths of a text."""
+
+    @F.arrow_udf("array<string>")
+    def run(texts: pa.Array) -> pa.Array:
+        out = []
+        for t in texts.to_pylist():
+            t = t or ""
+            out.append(list({t[i:i + n] for n in lengths for i in range(len(t) - n + 1)}))
+        return pa.array(out, pa.list_(pa.string()))
+
+    return run
 
 
 def match_rule_table(files: DataFrame, rules: DataFrame) -> DataFrame:
-    """Content literal scan with a rule table supplied by the user (rule_id, pattern, ...).
+    """Content literal scan with a rule table of any size supplied by the user (rule_id, pattern, ...).
 
-    Rule tables of ordinary size are sent to every task; a larger one is tested in slices
-    of that size, so memory per task stays bounded.
+    Every pattern is looked up by one anchor of ANCHOR letters (shorter ones by themselves) in
+    an equi-join with the different pieces of each text; what shares an anchor is then tested
+    as a whole. Texts meet rules only where an anchor occurs. Patterns that are empty match
+    every text, null ones none.
     """
-    low = with_text(files).select("path", "_low")
-    wanted = rules.where("kind = 'literal'").select("rule_id", "pattern", F.lower("pattern").alias("_needle"))
-    n = wanted.count()
-    if n > MAX_BROADCAST_RULES:
-        parts = -(-n // MAX_BROADCAST_RULES) * 2
-        sliced = wanted.withColumn("_s", F.pmod(F.xxhash64("rule_id", "pattern"), F.lit(parts)))
-        slices = [F.broadcast(sliced.where(F.col("_s") == i).drop("_s")) for i in range(parts)]
-    else:
-        slices = [F.broadcast(wanted)]
-    out = None
-    for s in slices:
-        part = low.join(s, F.contains(F.col("_low"), F.col("_needle"))).select("path", "rule_id", "pattern")
-        out = part if out is None else out.unionAll(part)
-    return out
+    texts = materialize(with_text(files).select("path", "_low").withColumn("_text_id", F.monotonically_increasing_id()))
+    wanted = rules.where("kind = 'literal' and pattern is not null").select("rule_id", "pattern", F.lower("pattern").alias("_needle"))
+    size = F.least(F.length("_needle"), F.lit(ANCHOR))
+    starts = F.sequence(F.lit(1), F.length("_needle") - size + 1)
+    pieces = F.transform(starts, lambda i: F.substring(F.col("_needle"), i, size))
+    first = F.array_min(F.transform(pieces, lambda g: F.struct(F.xxhash64(g).alias("h"), g.alias("g"))))["g"]
+    wanted = wanted.withColumn("_anchor", first)
+    lengths = sorted(r[0] for r in wanted.select(size).distinct().collect())  # 0 to ANCHOR
+    grams = texts.select("_text_id", F.explode(_pieces(lengths)("_low")).alias("_anchor"))
+    maybe = grams.join(wanted.select("_anchor", "_needle", "rule_id", "pattern"), "_anchor").drop("_anchor")
+    return texts.join(maybe, "_text_id").where(F.contains("_low", "_needle")).select("path", "rule_id", "pattern")
 
 
 def statistics(texts: DataFrame, matches: DataFrame) -> DataFrame:

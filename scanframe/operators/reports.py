@@ -29,6 +29,9 @@ ADVICE_CATEGORY = {
     "Access_Control": "Tighten the authorization checks",
     "Cryptographic": "Replace outdated cryptographic algorithms",
 }
+NEXT_STEPS = [
+    "1. Fix what is Critical or High without delay", "2. Review code for security before it is merged",
+    "3. Let every build run a security scan", "4. Teach the developers secure coding"]
 ADVICE_ALWAYS = ["Repeat security assessments on a schedule", "Monitor and log security events"]
 NO_ADVICE = "There is nothing to recommend."
 
@@ -174,14 +177,23 @@ def executive_summary(report: DataFrame) -> DataFrame:
         pair("Critical Issues", F.col("critical_count")), pair("High Risk Issues", F.col("high_count")), F.lit(""),
         F.lit("Top Vulnerability Categories:"), top, F.lit(""),
         F.lit("Recommendations:"), recommendation_lines(), F.lit(""),
-        F.lit("Compliance:"), compliance_lines())
+        F.lit("Compliance:"), compliance_lines(), F.lit(""), F.lit("Next steps:"), F.lit("\n".join(NEXT_STEPS)))
     return report.select("scan_id", text.alias("summary"))
 
 
-def json_report(report: DataFrame) -> DataFrame:
-    """Whole report as one JSON text per scan; findings are written as their own JSON lines."""
+def json_report(report: DataFrame, trends: DataFrame | None = None) -> DataFrame:
+    """Whole report as one JSON text per scan.
+
+    ``trends`` (see ``history.trends_before``) adds what the earlier scans of the project looked
+    like; without it, or for a first scan, there is none. Findings and counts by file have no
+    bound and are written as JSON lines of their own (``plans.output.write_report``).
+    """
+    if trends is None:
+        report = report.withColumn("trend_data", F.lit(None).cast("struct<scans:bigint>"))
+    else:
+        report = report.join(trends, "scan_id", "left")
     summary = F.struct(
-        "total_vulnerabilities", *SEVERITY_COLUMNS.values(), "by_category")
+        "total_vulnerabilities", *SEVERITY_COLUMNS.values(), "by_category", "trend_data")
     metric = F.struct(F.col("total_files").alias("files_scanned"), *[c for c in DEFAULTS if c != "total_files"])
     body = F.struct(
         "scan_id", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("timestamp"), "project_name", "project_path",
@@ -202,6 +214,7 @@ def scan_json(scans: DataFrame, findings: DataFrame) -> DataFrame:
     return header.unionByName(body)
 
 
+GROUP_LIMIT = 1000  # Spark's own limit for cutting window groups early
 FINDING_ORDER = ["file_path", "line_number", "type", "finder", "owasp_category", "code_snippet", "recommendation"]
 
 
@@ -219,9 +232,17 @@ def console_lines(findings: DataFrame) -> DataFrame:
 
 
 def first_findings(findings: DataFrame, k: int = 20) -> DataFrame:
-    """The first k findings per scan in file order; each task keeps only k rows per scan."""
-    w = Window.partitionBy("scan_id").orderBy(*FINDING_ORDER)
-    return findings.withColumn("n", F.row_number().over(w)).where(F.col("n") <= k).withColumn("title", category_of())
+    """The first k findings per scan in file order.
+
+    Up to GROUP_LIMIT each task keeps only k rows per scan before they meet; a longer list is
+    numbered across range partitions, so that no task holds all findings of a scan.
+    """
+    if k > GROUP_LIMIT:
+        numbered = number_rows(findings, ["scan_id"], FINDING_ORDER).withColumn("n", F.col("n").cast("int"))
+    else:
+        w = Window.partitionBy("scan_id").orderBy(*FINDING_ORDER)
+        numbered = findings.withColumn("n", F.row_number().over(w))
+    return numbered.where(F.col("n") <= k).withColumn("title", category_of())
 
 
 def chart_series(scans: DataFrame, findings: DataFrame) -> DataFrame:

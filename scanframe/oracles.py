@@ -428,10 +428,11 @@ def _sql() -> dict[str, str]:
     name = "coalesce(CASE WHEN role <> 'user' THEN CAST(conv_id AS VARCHAR) END, 'unknown')"
     q["src6_scan_conversations"] = f"WITH {_NAMED.format(name=name, text='text', table='conversations')}, {owasp} {_SCAN_OUT}"
     q["src7_archive_members"] = (
-        "SELECT concat('z', CAST(page_id AS VARCHAR), '.zip!', m.member) AS path, m.lang, "
-        "CAST(length(CASE WHEN m.lang = 'py' THEN html ELSE '' END) AS INTEGER) AS n_chars, "
-        "md5(CASE WHEN m.lang = 'py' THEN html ELSE '' END) AS content_md5 FROM pages "
-        "CROSS JOIN (VALUES ('src/page.py', 'py'), ('__init__.java', 'java')) m(member, lang)")
+        "SELECT concat('z', CAST(page_id AS VARCHAR), '.zip!', m.member) AS path, m.lang, m.problem, "
+        "CAST(length(CASE m.member WHEN 'src/page.py' THEN html WHEN '__init__.java' THEN '' END) AS INTEGER) AS n_chars, "
+        "md5(CASE m.member WHEN 'src/page.py' THEN html WHEN '__init__.java' THEN '' END) AS content_md5 FROM pages "
+        "CROSS JOIN (VALUES ('src/page.py', 'py', NULL), ('__init__.java', 'java', NULL), "
+        "('src/bad.py', 'py', 'damaged archive member')) m(member, lang, problem)")
     q["src8_allowed_extension"] = code + (
         "SELECT path, CASE WHEN lang <> 'other' OR path LIKE '%.zip' THEN 1 ELSE 0 END AS uploadable, "
         "CASE WHEN lang <> 'other' AND path NOT LIKE '%.zip' AND path = lower(path) THEN 1 ELSE 0 END AS scannable FROM "
@@ -449,6 +450,29 @@ def _sql() -> dict[str, str]:
     q["src13_history_append"] = (
         f"WITH {EVENTS} SELECT project, count(*) AS n_scans, CAST(sum(total_files) AS BIGINT) AS total_files FROM scans GROUP BY project")
 
+    one, two = (
+        f"scanned_{run} AS (SELECT concat('{run}_', project) AS scan_id, project FROM (SELECT DISTINCT project FROM files)), "
+        f"counted_{run} AS (SELECT concat('{run}_', split_part(file_path, '/', 1)) AS scan_id, count(*) AS n, "
+        f"count(*) FILTER (WHERE severity = 'Critical') AS c FROM findings WHERE finder IN ({finders}) GROUP BY 1), "
+        f"scans_{run} AS (SELECT s.scan_id, s.project, coalesce(n, 0) AS n, coalesce(c, 0) AS c FROM scanned_{run} s "
+        f"LEFT JOIN counted_{run} USING (scan_id))"
+        for run, finders in (("one", "'line', 'literal', 'regex', 'py_syntax', 'java_regex'"), ("two", "'line', 'literal', 'regex'")))
+    q["src13_two_scans_of_one_tree"] = f"WITH {FINDINGS}, {one}, {two} " + (
+        "SELECT scan_id, n AS total_vulnerabilities, c AS critical_count, CAST(NULL AS BIGINT) AS vulnerability_change FROM scans_one "
+        "UNION ALL SELECT t.scan_id, t.n, t.c, t.n - o.n FROM scans_two t JOIN scans_one o USING (project)")
+    hidden = (
+        "tree AS (SELECT concat('.', list_last(string_split(f.path, '/'))) AS name, f.project, f.lang, f.content, r.content AS raw "
+        "FROM files f JOIN raw_files r USING (path) WHERE f.lang <> 'other')")
+    q["src1_source_tree"] = f"WITH {FILES}, {hidden} " + (
+        "SELECT name, lang, CAST(strlen(raw) <= 2000 AS INTEGER) AS is_utf8, CASE WHEN strlen(raw) > 2000 THEN 'too large' END AS problem, "
+        "CAST(CASE WHEN strlen(raw) <= 2000 THEN length(raw) END AS INTEGER) AS n_chars, "
+        "CASE WHEN strlen(raw) <= 2000 THEN md5(raw) END AS content_md5 FROM tree")
+    q["src5_single_file"] = f"WITH {FILES}, {hidden} SELECT name, md5(raw) AS content_md5 FROM tree ORDER BY concat(project, '/', name) LIMIT 1"
+
+    q["src12_unreadable"] = f"WITH {FILES}, {hidden} " + (
+        "SELECT CASE WHEN regexp_matches(name, '7\\.[a-z]+$') THEN 'unreadable' END AS problem, count(*) AS n, "
+        "count(*) FILTER (WHERE NOT regexp_matches(name, '7\\.[a-z]+$')) AS with_content FROM tree GROUP BY 1")
+
     # rules and patterns
     q["pat1_line_rules"] = (
         f"WITH {FILES}, {_rule_table(R.rule_rows('basic'))}, {_line_hits(R.rule_rows('basic'))} "
@@ -636,6 +660,16 @@ def _sql() -> dict[str, str]:
         " SELECT t.scan_id, strftime(t.ts, '%Y-%m-%dT%H:%M:%S') AS timestamp, t.project AS project_name, t.total_vulnerabilities AS total, "
         "(SELECT n FROM cats c WHERE c.scan_id = t.scan_id AND c.category = 'A03_Injection') AS injection, t.total_files AS files_scanned, "
         "coalesce((SELECT n FROM cats c WHERE c.scan_id = t.scan_id AND c.category = 'A06_Vulnerable_Components'), 0) AS components FROM totals t")
+    q["snk2_trend_data"] = et + (
+        " SELECT scan_id, CAST(nullif(row_number() OVER w - 1, 0) AS BIGINT) AS earlier_scans, "
+        "lag(total_vulnerabilities, 1) OVER w - lag(total_vulnerabilities, 2) OVER w AS last_change FROM totals "
+        "WINDOW w AS (PARTITION BY project ORDER BY ts, scan_id)")
+    q["snk5_written_reports"] = f"{ft}, {_FIRST}, {_GRID} " + (
+        "SELECT 'findings' AS dataset, scan_id, count(*) AS n FROM findings GROUP BY scan_id "
+        "UNION ALL SELECT 'by_file', scan_id, count(DISTINCT file_path) FROM findings GROUP BY scan_id "
+        "UNION ALL SELECT 'first', scan_id, count(*) FROM firsts WHERE n <= 20 GROUP BY scan_id "
+        "UNION ALL SELECT 'charts', scan_id, 4 + (SELECT count(*) FROM cats c WHERE c.scan_id = t.scan_id) FROM totals t "
+        "UNION ALL SELECT 'reports', scan_id, 1 FROM totals UNION ALL SELECT 'executive', scan_id, 1 FROM totals")
     q["snk3_console_lines"] = f"{f.rstrip()}, {_FIRST} " + (
         "SELECT scan_id, CAST(n AS BIGINT) AS n, concat(n, '. ', owasp_category, ' - ', severity, chr(10), '   File: ', file_path, ':', line_number, "
         "chr(10), '   Description: ', description, chr(10), '   Code: ', code_snippet, chr(10), '   Recommendation: ', recommendation) AS text FROM firsts")
@@ -648,13 +682,15 @@ def _sql() -> dict[str, str]:
         f"'Overall Security Risk: ', {_RISK}, {nl}, 'Files Analyzed: ', t.total_files, {nl}, "
         f"'Total Vulnerabilities: ', t.total_vulnerabilities, {nl}, 'Critical Issues: ', t.critical_count, {nl}, "
         f"'High Risk Issues: ', t.high_count, {nl}, {nl}, 'Top Vulnerability Categories:', {nl}, top, {nl}, {nl}, "
-        f"'Recommendations:', {nl}, {bullets}, {nl}, {nl}, 'Compliance:', {nl}, text) AS summary "
+        f"'Recommendations:', {nl}, {bullets}, {nl}, {nl}, 'Compliance:', {nl}, text, {nl}, {nl}, 'Next steps:', {nl}, "
+        f"{f', {nl}, '.join(map(_q, reports.NEXT_STEPS))}) AS summary "
         f"FROM {_WITH_TOP} JOIN status s ON s.scan_id = t.scan_id JOIN tops o ON o.scan_id = t.scan_id")
     q["snk6_gate"] = et + " SELECT scan_id, CASE WHEN critical_count > 0 THEN 1 ELSE 0 END AS failed FROM totals"
 
     # settings
     q["cfg1_file_selection"] = f"WITH {FILES} " + (
-        "SELECT f.project, count(*) AS n FROM files f JOIN raw_files r USING (path) WHERE f.lang = 'py' AND strlen(r.content) <= 300 GROUP BY 1")
+        "SELECT f.project, count(*) AS n_files, count(*) FILTER (WHERE strlen(r.content) > 300) AS skipped "
+        "FROM files f JOIN raw_files r USING (path) WHERE f.lang = 'py' GROUP BY 1")
     q["cfg2_flow_limits"] = p + (
         f" SELECT concat('scan_', project) AS scan_id, {_CONF_SQL} AS confidence, count(*) AS n FROM paths "
         f"WHERE path_length <= 2 AND {_CONF_SQL} >= 0.85 GROUP BY ALL")
@@ -672,8 +708,7 @@ def _sql() -> dict[str, str]:
     q["str1_continuous_scan"] = q["src6_scan_documents"]
     q["str2_severity_windows"] = (
         f"WITH {EVENTS}, days AS (SELECT CAST(ts AS DATE) AS d, severity, count(*) AS n FROM findings GROUP BY ALL) "
-        "SELECT strftime(d, '%Y-%m-%d') AS day, severity, n FROM days "
-        "WHERE CAST(d AS TIMESTAMP) + INTERVAL 2 DAY <= (SELECT max(ts) FROM findings)")
+        "SELECT strftime(d, '%Y-%m-%d') AS day, severity, n FROM days")
     q["str3_without_redelivery"] = "SELECT DISTINCT concat('f', user_id) AS path, concat(event_type, ' = 1') AS content FROM events"
     return q
 

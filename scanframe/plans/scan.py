@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import time
+import uuid
 from dataclasses import dataclass, field
+from datetime import datetime
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -13,11 +16,23 @@ from scanframe.functions.cluster import materialize
 from scanframe.functions.rows import unnest
 from scanframe.operators import flow, patterns, prepare, syntax
 from scanframe.schemas import FINDING_COLUMNS
+from scanframe.sources.tree import TOO_LARGE
+
+
+def _fresh_run() -> str:
+    return f"scan_{uuid.uuid4().hex[:16]}"
 
 
 @dataclass
 class ScanOptions:
-    """Settings of a scan; the defaults run every finder with the built-in rules."""
+    """Settings of a scan; the defaults run every finder with the built-in rules.
+
+    ``run`` names this scan: every set of options gets its own unless one is passed in. The id
+    of a project's scan is the run and the project, so scans of the same project stay apart.
+    """
+
+    run: str = field(default_factory=_fresh_run)
+    root: str = ""  # folder or URI under which the projects lie
 
     enable_ast_analysis: bool = True
     enable_flow_analysis: bool = True
@@ -29,18 +44,22 @@ class ScanOptions:
     disabled_categories: set = field(default_factory=set)
     severity_overrides: dict = field(default_factory=dict)
     include_snippets: bool = True
-    max_findings: int | None = None
 
     def rules(self, *rulesets: str) -> list[R.Rule]:
         return R.configure(R.rule_rows(*rulesets), self.disabled_categories, self.severity_overrides)
 
 
 def select_files(files: DataFrame, options: ScanOptions) -> DataFrame:
-    """Files a scan looks at: by suffix (exact case) and size."""
+    """Files a scan looks at, by suffix (exact case).
+
+    ``problem`` says why a file has no content to scan. Files above the size limit lose their
+    content but stay as rows, so that they are counted.
+    """
     files = files.where(text.suffix(F.col("path")).isin(*options.extensions))
+    problem = F.col("problem") if "problem" in files.columns else F.lit(None).cast("string")
     if options.max_file_bytes is not None:
-        files = files.where(F.octet_length("content") <= options.max_file_bytes)
-    return files
+        problem = F.coalesce(problem, F.when(F.octet_length("content") > options.max_file_bytes, TOO_LARGE))
+    return files.withColumn("problem", problem).withColumn("content", F.when(F.col("problem").isNull(), F.col("content")))
 
 
 def _stage(files: DataFrame, options: ScanOptions) -> DataFrame:
@@ -69,7 +88,7 @@ def _stage(files: DataFrame, options: ScanOptions) -> DataFrame:
             parts.append(syntax.detail_hits("java_regex", F.filter(found, shown)))
     hits = F.concat(*parts) if parts else F.array().cast(f"array<struct<{_HIT}>>")
     out = df.withColumn("hits", hits).withColumn("n_lines", text.line_count(F.col("_text")))
-    columns = ["path", "project", "lang", "n_lines", "hits"]
+    columns = ["path", "project", "lang", "n_lines", "problem", "hits"]
     if options.enable_flow_analysis:
         out = out.withColumn("flow_facts", flow.flow_facts(options.flow_names))
         columns.append("flow_facts")
@@ -79,8 +98,8 @@ def _stage(files: DataFrame, options: ScanOptions) -> DataFrame:
 _HIT = ",".join(part.strip().replace(" ", ":", 1) for part in patterns.HIT.split(","))
 
 
-def scan_id_of(project: Column) -> Column:
-    return F.concat(F.lit("scan_"), project)
+def scan_id_of(project: Column, options: ScanOptions) -> Column:
+    return F.concat(F.lit(f"{options.run}_"), project)
 
 
 def hit_findings(stage: DataFrame, options: ScanOptions) -> DataFrame:
@@ -88,7 +107,7 @@ def hit_findings(stage: DataFrame, options: ScanOptions) -> DataFrame:
     about = R.rules_frame(stage.sparkSession, options.rules()).select(
         "rule_id", "severity", F.col("category").alias("owasp_category"), "description",
         F.col("remediation").alias("recommendation"))
-    file_columns = [scan_id_of(F.col("project")).alias("scan_id"), F.col("path").alias("file_path")]
+    file_columns = [scan_id_of(F.col("project"), options).alias("scan_id"), F.col("path").alias("file_path")]
     hits = unnest(stage, file_columns, F.col("hits"), "rule_id")
     return hits.join(F.broadcast(about), "rule_id").withColumn(
         "confidence", F.lit(None).cast("double")).select(*FINDING_COLUMNS)
@@ -96,13 +115,12 @@ def hit_findings(stage: DataFrame, options: ScanOptions) -> DataFrame:
 
 def flow_findings(stage: DataFrame, options: ScanOptions) -> DataFrame:
     """Flow findings in the common shape: fixed category, line of the source node."""
-    found = flow.analyze(
-        stage.where(F.size("flow_facts") > 0).select("file_id", "path", "project", "flow_facts"),
-        options.max_path_length).findings
+    columns = [c for c in ("file_id", "path", "project", "flow_facts") if c in stage.columns]
+    found = flow.analyze(stage.where(F.size("flow_facts") > 0).select(*columns), options.max_path_length).findings
     sev = F.col("risk_level")
     override = options.severity_overrides.get("A03_Injection")
     return found.where(F.col("confidence") >= options.confidence_threshold).select(
-        scan_id_of(F.col("project")).alias("scan_id"), F.lit("flow").alias("finder"), F.col("vuln_type").alias("type"),
+        scan_id_of(F.col("project"), options).alias("scan_id"), F.lit("flow").alias("finder"), F.col("vuln_type").alias("type"),
         (F.lit(override) if override else sev).alias("severity"), F.col("path").alias("file_path"),
         F.col("source_line").alias("line_number"), "description",
         F.lit("A03_Injection").alias("owasp_category"), F.lit(R.FLOW_ADVICE).alias("recommendation"),
@@ -111,7 +129,7 @@ def flow_findings(stage: DataFrame, options: ScanOptions) -> DataFrame:
 
 @dataclass
 class ScanResult:
-    """``files``: one row per scanned file (path, project, n_lines); ``findings``: all findings."""
+    """``files``: one row per file (path, project, lang, n_lines, problem); ``findings``: all findings."""
 
     files: DataFrame
     findings: DataFrame
@@ -132,26 +150,44 @@ def scan(files: DataFrame, options: ScanOptions | None = None) -> ScanResult:
         findings = findings.unionByName(flow_findings(stage, options))
     if not options.include_snippets:
         findings = findings.withColumn("code_snippet", F.lit(""))
-    if options.max_findings is not None:
-        from scanframe.operators.reports import first_findings
+    return ScanResult(stage.select("path", "project", "lang", "n_lines", "problem"), findings)
 
-        findings = first_findings(findings, options.max_findings).select(*FINDING_COLUMNS)
-    return ScanResult(stage.select("path", "project", "lang", "n_lines"), findings)
 
+def scan_rows(files: DataFrame, scanned: DataFrame, options: ScanOptions, seconds: float = 0.0) -> DataFrame:
+    """One row per scan (project): when, where, how long, how many files and lines, how many files without content.
 
-def scan_rows(files: DataFrame, scanned: DataFrame) -> DataFrame:
-    """One row per scan (project): when, where, how many files and lines.
-
-    ``files`` carries ``ts`` (when a file was scanned); ``scanned`` is ``ScanResult.files``.
+    ``files`` carries ``ts`` (when a file was scanned); ``scanned`` is ``ScanResult.files``;
+    ``seconds`` is what the scan took, known to who wrote its result (see ``write_scan``).
     """
     when = files.groupBy("project").agg(F.max("ts").alias("ts"))
     size = scanned.groupBy("project").agg(
-        F.count("*").alias("total_files"), F.sum("n_lines").alias("lines_analyzed"))
+        F.count("*").alias("total_files"), F.sum("n_lines").alias("lines_analyzed"),
+        F.count("problem").alias("skipped_files"))
     nothing = F.lit(None).cast("double")
     return when.join(size, "project", "left").select(
-        scan_id_of(F.col("project")).alias("scan_id"), "project",
-        F.concat(F.lit("/src/"), F.col("project")).alias("project_path"), "ts",
+        scan_id_of(F.col("project"), options).alias("scan_id"), "project",
+        F.concat(F.lit(f"{options.root.rstrip('/')}/"), F.col("project")).alias("project_path"), "ts",
         F.coalesce("total_files", F.lit(0)).alias("total_files"),
         F.coalesce("lines_analyzed", F.lit(0)).alias("lines_analyzed"),
-        F.lit(0.0).alias("scan_duration"), F.lit(85.0).alias("coverage_percentage"),
+        F.coalesce("skipped_files", F.lit(0)).alias("skipped_files"),
+        F.lit(float(seconds)).alias("scan_duration"), F.lit(85.0).alias("coverage_percentage"),
         nothing.alias("false_positive_rate"), F.lit(0.85).alias("confidence_score"))
+
+
+def write_scan(files: DataFrame, folder: str, options: ScanOptions | None = None) -> tuple[DataFrame, DataFrame]:
+    """Run a scan now, append its findings, then its scan rows with the time it took, to the history below a folder.
+
+    Returns the scan rows and findings of this scan as read back from the history.
+    """
+    from scanframe.operators import history
+
+    options = options or ScanOptions()
+    begin = time.time()
+    spark = files.sparkSession
+    stamp = F.lit(datetime.fromtimestamp(begin)).cast("timestamp")
+    result = scan(files, options)
+    history.append_findings(result.findings, f"{folder}/findings", begin)
+    rows = scan_rows(files.withColumn("ts", stamp), result.files, options, time.time() - begin)
+    history.append_scans(rows, f"{folder}/scans", begin)
+    mine = F.col("scan_id").startswith(f"{options.run}_")
+    return tuple(spark.read.parquet(f"{folder}/{t}").where(mine) for t in ("scans", "findings"))

@@ -3,23 +3,25 @@
 from __future__ import annotations
 
 import io
+import os
 import uuid
 import zipfile
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scanframe import rules as R
-from scanframe.functions import text
+from scanframe.functions import cluster, text
 from scanframe.functions.cluster import materialize, shared_folder
 from scanframe.operators import control, flow, history, patterns, reports, syntax
-from scanframe.plans import corpus, scan
+from scanframe.plans import corpus, output, scan
 from scanframe.sources import tree
 from scanframe.streaming import continuous
 
 QUERIES: dict = {}
-_KEPT: dict = {}
+SCAN = scan.ScanOptions(run="scan", root="/src")  # a fixed name, for a second engine to check
 
 
 def query(fn):
@@ -43,22 +45,19 @@ def _texts(spark: SparkSession, d: str) -> DataFrame:
 
 def _stored(spark: SparkSession, d: str, what: str, make) -> DataFrame:
     """A result that several queries of one session start from, written once."""
-    key = (spark.sparkContext.applicationId, d, what)
-    if key not in _KEPT:
-        _KEPT[key] = materialize(make())
-    return _KEPT[key]
+    return cluster.kept(spark, (d, what), make)
 
 
 def _findings(spark, d):
-    return _stored(spark, d, "findings", lambda: scan.scan(_code(spark, d)).findings)
+    return _stored(spark, d, "findings", lambda: scan.scan(_code(spark, d), SCAN).findings)
 
 
 def _scans(spark, d):
     def make():
         files = _code(spark, d)
-        scanned = scan.select_files(files, scan.ScanOptions()).select(
-            "path", "project", text.line_count(text.unix_newlines(F.col("content"))).alias("n_lines"))
-        return scan.scan_rows(files, scanned)
+        scanned = scan.select_files(files, SCAN).select(
+            "path", "project", text.line_count(text.unix_newlines(F.col("content"))).alias("n_lines"), "problem")
+        return scan.scan_rows(files, scanned, SCAN)
 
     return _stored(spark, d, "scans", make)
 
@@ -127,14 +126,17 @@ def src7_archive_members(spark, d):
             with zipfile.ZipFile(buffer, "w") as z:
                 z.writestr("src/page.py", h)
                 z.writestr("src/page.html", h)
+                z.writestr("src/bad.py", h)
                 z.writestr("__init__.java", "")
-            out.append(buffer.getvalue())
+            data = buffer.getvalue()
+            at = data.index(b"src/bad.py") + len("src/bad.py")  # its bytes no longer fit the check sum
+            out.append(data[:at] + bytes([data[at] ^ 1]) + data[at + 1:])
         return pa.array(out, type=pa.binary())
 
     pages = spark.read.parquet(f"{d}/pages.parquet")
     zips = pages.select(F.concat(F.lit("z"), F.col("page_id"), F.lit(".zip")).alias("path"), packed("html").alias("content"))
     files = tree.decode_files(tree.expand_archives(zips), "zips")
-    return files.select("path", "lang", F.length("content").alias("n_chars"), F.md5("content").alias("content_md5"))
+    return files.select("path", "lang", "problem", F.length("content").alias("n_chars"), F.md5("content").alias("content_md5"))
 
 
 @query
@@ -178,6 +180,70 @@ def src13_history_append(spark, d):
         F.count("*").alias("n_scans"), F.sum("total_files").alias("total_files"))
 
 
+@query
+def src13_two_scans_of_one_tree(spark, d):
+    """The corpus scanned twice under different names, the second time with one rule set only, through the history."""
+    folder = f"{shared_folder(spark)}/scanframe-history-{uuid.uuid4().hex}"
+    files = _code(spark, d)
+    for run, ast in (("one", True), ("two", False)):
+        options = scan.ScanOptions(run=run, root="/src", enable_flow_analysis=False, enable_ast_analysis=ast)
+        scan.write_scan(files.drop("ts"), folder, options)
+    scans, findings = (spark.read.parquet(f"{folder}/{t}") for t in ("scans", "findings"))
+    summaries = reports.severity_summary_of(scans.select("scan_id", "project", "ts"), findings)
+    change = history.trend(summaries).select("scan_id", "vulnerability_change")
+    return summaries.join(change, "scan_id", "left").select("scan_id", "total_vulnerabilities", "critical_count", "vulnerability_change")
+
+
+def _tree(spark, d):
+    """The corpus as real files below the shared folder, written by tasks; None where that is no mounted path."""
+    folder = shared_folder(spark)
+    if "://" in folder and not folder.startswith("file:"):
+        raise RuntimeError("this query writes plain files and needs a mounted folder")
+    root = f"{folder.removeprefix('file:').replace('//', '/')}/scanframe-tree-{uuid.uuid4().hex}/src"
+
+    def write(batches):
+        for batch in batches:
+            for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
+                target = os.path.join(root, path)
+                os.makedirs(os.path.dirname(target), exist_ok=True)
+                with open(target, "w", encoding="utf-8", newline="") as f:
+                    f.write(content)
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], ["n"])
+
+    rows = _code(spark, d).withColumn("path", F.concat("project", F.lit("/_h/."), F.substring_index("path", "/", -1)))
+    rows.select("path", "content").mapInArrow(write, "n long").write.format("noop").mode("overwrite").save()
+    return root
+
+
+@query
+def src1_source_tree(spark, d):
+    """All files of the tree that Spark itself would hide, with a size limit: read, decoded, counted."""
+    root = _tree(spark, d)
+    files = tree.read_tree(spark, root, max_file_bytes=2000)
+    name = F.substring_index("path", "/", -1)
+    return files.select(
+        name.alias("name"), "lang", F.col("is_utf8").cast("int").alias("is_utf8"), "problem",
+        F.length("content").alias("n_chars"), F.md5("content").alias("content_md5"))
+
+
+@query
+def src5_single_file(spark, d):
+    """A single file, taken by its own path: the first of the tree."""
+    root = _tree(spark, d)
+    first = tree.list_tree(spark, root).agg(F.min("path")).first()[0]
+    return tree.read_tree(spark, first).select(F.substring_index("path", "/", -1).alias("name"), F.md5("content").alias("content_md5"))
+
+
+@query
+def src12_unreadable(spark, d):
+    """Files that are listed but gone when they are read stay as rows: names ending in 7 are changed in between."""
+    root = _tree(spark, d)
+    listed = tree.list_tree(spark, root)
+    gone = F.col("path").rlike(r"7\.[a-z]+$")
+    listed = listed.withColumn("path", F.when(gone, F.concat("path", F.lit(".gone"))).otherwise(F.col("path")))
+    return tree.read_files(listed, root).groupBy("problem").agg(F.count("*").alias("n"), F.count("content").alias("with_content"))
+
+
 # --- rules and patterns -----------------------------------------------------------------
 
 
@@ -520,7 +586,7 @@ def flw19_unguarded(spark, d):
 
 def summary(spark: SparkSession, d: str) -> DataFrame:
     """Findings per scan, finder and severity of the combined scan."""
-    return scan.scan(_code(spark, d)).findings.groupBy("scan_id", "finder", "severity").agg(
+    return scan.scan(_code(spark, d), SCAN).findings.groupBy("scan_id", "finder", "severity").agg(
         F.count("*").alias("n"), F.countDistinct("owasp_category").alias("categories"))
 
 
@@ -562,7 +628,7 @@ def uni6_flow_findings(spark, d):
 @query
 def uni7_options(spark, d):
     files = _code(spark, d)
-    off = scan.ScanOptions(enable_ast_analysis=False, enable_flow_analysis=False)
+    off = scan.ScanOptions(run="scan", enable_ast_analysis=False, enable_flow_analysis=False)
     return scan.scan(files, off).findings.groupBy("scan_id", "finder").agg(F.count("*").alias("n"))
 
 
@@ -722,6 +788,16 @@ def snk2_report_json(spark, d):
         at("$.compliance_status[5].issues_found").cast("long").alias("components"))
 
 
+@query
+def snk2_trend_data(spark, d):
+    """What a scan's report says about the scans before it."""
+    summaries = reports.severity_summary_of(
+        corpus.event_scans(spark, d).select("scan_id", "project", "ts"), corpus.event_findings(spark, d))
+    j = reports.json_report(_event_report(spark, d), history.trends_before(summaries))
+    at = lambda p: F.get_json_object("report", f"$.summary.trend_data.{p}").cast("long")
+    return j.select("scan_id", at("scans").alias("earlier_scans"), at("vulnerability_change").alias("last_change"))
+
+
 @query
 def snk3_console_lines(spark, d):
     return reports.console_lines(_findings(spark, d))
@@ -732,6 +808,22 @@ def snk4_executive_summary(spark, d):
     return reports.executive_summary(_report(spark, d))
 
 
+@query
+def snk5_written_reports(spark, d):
+    """All formats written and read back: lines per scan and dataset."""
+    folder = f"{shared_folder(spark)}/scanframe-report-{uuid.uuid4().hex}"
+    findings = _findings(spark, d)
+    out = output.write_report(_scans(spark, d), findings, folder)
+    parts = [
+        ("findings", spark.read.json(f"{out['json']}/vulnerabilities"), "scan_id"), ("by_file", spark.read.json(f"{out['json']}/by_file"), "scan_id"),
+        ("first", spark.read.json(f"{out['html']}/findings"), "scan_id"), ("charts", spark.read.json(f"{out['html']}/charts"), "scan_id"),
+        ("reports", spark.read.json(f"{out['json']}/reports"), "scan_id")]
+    counts = [df.groupBy("scan_id").agg(F.count("*").alias("n")).select(F.lit(name).alias("dataset"), key, "n") for name, df, key in parts]
+    lines = spark.read.text(out["executive"]).where("value like 'Scan ID: %'")
+    counts.append(lines.select(F.lit("executive").alias("dataset"), F.substring("value", 10, 1000).alias("scan_id"), F.lit(1).cast("long").alias("n")))
+    return reduce(DataFrame.unionByName, counts)
+
+
 @query
 def snk6_gate(spark, d):
     f = corpus.event_findings(spark, d)
@@ -744,12 +836,13 @@ def snk6_gate(spark, d):
 @query
 def cfg1_file_selection(spark, d):
     options = scan.ScanOptions(extensions=(".py",), max_file_bytes=300)
-    return scan.select_files(_code(spark, d), options).groupBy("project").agg(F.count("*").alias("n"))
+    return scan.select_files(_code(spark, d), options).groupBy("project").agg(
+        F.count("*").alias("n_files"), F.count("problem").alias("skipped"))
 
 
 @query
 def cfg2_flow_limits(spark, d):
-    options = scan.ScanOptions(max_path_length=2, confidence_threshold=0.85)
+    options = scan.ScanOptions(run="scan", max_path_length=2, confidence_threshold=0.85)
     stage = materialize(flow.flow_stage(_code(spark, d)))
     return scan.flow_findings(stage, options).groupBy("scan_id", "confidence").agg(F.count("*").alias("n"))
 
@@ -803,7 +896,9 @@ def str2_severity_windows(spark, d):
     events = _stream(spark, d, "events").withColumn(
         "severity", F.expr("CASE WHEN value >= 100 THEN 'Critical' WHEN value >= 50 THEN 'High' WHEN value >= 20 THEN 'Medium' ELSE 'Low' END")
     ).withColumn("ts", F.col("ts").cast("timestamp"))
-    out = _run(spark, continuous.severity_windows(events))
+    base = f"{shared_folder(spark)}/scanframe-stream-{uuid.uuid4().hex}"
+    continuous.run_updates(continuous.severity_windows(events), f"{base}/out", f"{base}/state")
+    out = continuous.current(spark.read.parquet(f"{base}/out"), ["window_start", "severity"])
     return out.select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "severity", "n")
 
 

@@ -1,4 +1,4 @@
-"""Source trees and archives as file tables."""
+"""Source trees, object stores and archives as file tables."""
 
 from __future__ import annotations
 
@@ -8,132 +8,143 @@ import zipfile
 import zlib
 
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from scanframe.functions import text
+from scanframe.functions.cluster import counted, materialize
 
 SUFFIXES = (".py", ".java")
-PART_FILES = 500  # names per task
-_RAW = "path string, size bigint, content binary"
-_ARROW = pa.schema([("path", pa.string()), ("size", pa.int64()), ("content", pa.binary())])
+PART_BYTES = 128 << 20  # content per reading task
+PART_FILES = 20_000
+BATCH_BYTES = 8 << 20
+_LISTED = "path string, kind string, size bigint"
+_READ = pa.schema([("path", pa.string()), ("size", pa.int64()), ("content", pa.binary()), ("problem", pa.string())])
 
+# why a file has no content
+TOO_LARGE, UNREADABLE, NO_FOLDER, DAMAGED = "too large", "unreadable", "unreadable folder", "damaged archive member"
 
-class FoldersPartition(InputPartition):
-    """Shares of folders: (folder, share, shares); a share is the names whose hash falls on it."""
 
-    def __init__(self, shares: list[tuple[str, int, int]]):
-        self.shares = shares
+def _store(root: str) -> tuple[pafs.FileSystem, str]:
+    """The file system of a URI or of a plain path, and the path inside it."""
+    return pafs.FileSystem.from_uri(root) if "://" in root else (pafs.LocalFileSystem(), os.path.abspath(root))
 
 
-class TreeReader(DataSourceReader):
-    """Counts files per folder when the scan is planned; tasks list, stat and read them.
-
-    The planner keeps one entry per folder, never one per file, and a folder with very many
-    files is split into shares.
+def _entries(fs: pafs.FileSystem, folder: str, suffixes: tuple):
+    """What a folder holds: sub-folders and wanted files, hidden and empty ones too; links to folders are left out."""
+    try:
+        found = fs.get_file_info(pafs.FileSelector(folder))
+    except OSError:  # gone or not to be read: a row of its own
+        yield folder, NO_FOLDER, 0
+        return
+    for info in found:
+        if info.type == pafs.FileType.Directory:
+            if not (isinstance(fs, pafs.LocalFileSystem) and os.path.islink(info.path)):
+                yield info.path, "folder", 0
+        elif os.path.splitext(info.base_name)[1] in suffixes:
+            yield info.path, "file", info.size or 0
+
+
+def list_tree(spark: SparkSession, root: str, suffixes: tuple = SUFFIXES) -> DataFrame:
+    """(path, kind, size) of all wanted files below a folder; ``kind`` is 'file' or says what is wrong.
+
+    Folders are listed by tasks, level by level, each once; the driver only starts as many
+    rounds as the tree is deep. A single file is taken whatever its suffix.
     """
+    fs, start = _store(root)
+    info = fs.get_file_info(start)
+    if info.type == pafs.FileType.NotFound:
+        raise FileNotFoundError(root)
+    if info.type == pafs.FileType.File:
+        return spark.createDataFrame([(start, "file", info.size)], _LISTED)
+
+    def listed(batches):
+        store, _ = _store(root)
+        for batch in batches:
+            for folder in batch.column("path").to_pylist():
+                rows = list(_entries(store, folder, suffixes))
+                for k in range(0, len(rows), 10_000):
+                    part = list(zip(*rows[k:k + 10_000], strict=True))
+                    yield pa.RecordBatch.from_arrays([pa.array(part[0]), pa.array(part[1]), pa.array(part[2], pa.int64())], ["path", "kind", "size"])
+
+    level, n = spark.createDataFrame([(start,)], "path string"), 1
+    files = None
+    while n:
+        width = max(1, min(n, 8 * spark.sparkContext.defaultParallelism))
+        found = materialize(level.repartition(width).mapInArrow(listed, _LISTED))
+        here = found.where("kind <> 'folder'")
+        files = here if files is None else files.unionAll(here)
+        level, n = counted(found.where("kind = 'folder'").select("path"))
+    return files
+
+
+def read_files(listed: DataFrame, root: str, max_bytes: int | None = None) -> DataFrame:
+    """(path, kind, size) to (path, size, content, problem), dealt evenly by bytes, several files per batch.
+
+    No file is dropped: one that is too large, gone or not to be read has no content and says why.
+    """
+    total = listed.agg(F.count("*").alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("b")).first()
+    parts = max(1, -(-total["b"] // PART_BYTES), -(-total["n"] // PART_FILES))
+    parts = max(parts, min(total["n"], listed.sparkSession.sparkContext.defaultParallelism))
+
+    def one(store, path, kind, size):
+        if kind != "file":
+            return path, size, None, kind
+        if max_bytes and size > max_bytes:
+            return path, size, None, TOO_LARGE
+        try:
+            with store.open_input_stream(path) as f:
+                return path, size, f.read(), None
+        except OSError:
+            return path, size, None, UNREADABLE
+
+    def read(batches):
+        store, _ = _store(root)
+        rows, held = [], 0
+        for batch in batches:
+            for r in zip(*(batch.column(c).to_pylist() for c in ("path", "kind", "size")), strict=True):
+                rows.append(one(store, *r))
+                held += len(rows[-1][2] or b"")
+                if held >= BATCH_BYTES or len(rows) >= 10_000:
+                    yield _batch(rows)
+                    rows, held = [], 0
+        if rows:
+            yield _batch(rows)
 
-    def __init__(self, options: dict):
-        self.root = options["path"]
-        self.suffixes = tuple(s for s in options.get("suffixes", ",".join(SUFFIXES)).split(",") if s)
-        self.max_bytes = int(options.get("maxfilebytes", 0))
-        if not os.path.exists(self.root):
-            raise FileNotFoundError(self.root)
-
-    def _wanted(self, name: str) -> bool:
-        return os.path.splitext(name)[1] in self.suffixes
-
-    def _folders(self):
-        """Folders below the root with the number of wanted names in each; links are not followed."""
-        todo = [self.root]
-        while todo:
-            folder, n = todo.pop(), 0
-            with os.scandir(folder) as entries:
-                for e in entries:
-                    if e.is_dir(follow_symlinks=False):
-                        todo.append(e.path)
-                    elif self._wanted(e.name):
-                        n += 1
-            if n:
-                yield folder, n
-
-    def partitions(self) -> list[FoldersPartition]:
-        if os.path.isfile(self.root):  # a single file is taken whatever its suffix
-            return [FoldersPartition([(self.root, 0, 0)])]
-        parts, current, total = [], [], 0
-        for folder, n in self._folders():
-            shares = -(-n // PART_FILES)
-            for share in range(shares):
-                size = -(-n // shares)
-                if current and total + size > PART_FILES:
-                    parts.append(FoldersPartition(current))
-                    current, total = [], 0
-                current.append((folder, share, shares))
-                total += size
-        return parts + [FoldersPartition(current)]
-
-    def _files(self, partition: FoldersPartition):
-        for folder, share, shares in partition.shares:
-            if not shares:
-                yield folder
-                continue
-            with os.scandir(folder) as entries:
-                for e in entries:
-                    mine = zlib.crc32(os.fsencode(e.name)) % shares == share
-                    if mine and self._wanted(e.name) and e.is_file():
-                        yield e.path
-
-    def read(self, partition: FoldersPartition):
-        for full in self._files(partition):
-            try:
-                size = os.path.getsize(full)
-                if self.max_bytes and size > self.max_bytes:
-                    continue
-                with open(full, "rb") as f:
-                    data = f.read()
-            except OSError:  # still counted as a file
-                size, data = 0, None
-            yield pa.RecordBatch.from_pydict({"path": [full], "size": [size], "content": [data]}, schema=_ARROW)
-
-
-class TreeSource(DataSource):
-    """``spark.read.format("source_tree").load(root)``: every file, hidden and empty ones too."""
-
-    @classmethod
-    def name(cls) -> str:
-        return "source_tree"
+    dealt = listed.select("path", "kind", "size").repartition(parts, F.xxhash64("path"))
+    return dealt.mapInArrow(read, "path string, size bigint, content binary, problem string")
 
-    def schema(self) -> str:
-        return _RAW
 
-    def reader(self, schema) -> TreeReader:
-        return TreeReader({k.lower(): v for k, v in self.options.items()})
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _READ, strict=True)], schema=_READ)
 
 
 def decode_files(raw: DataFrame, project) -> DataFrame:
-    """(path, content bytes) -> files table; ``is_utf8`` is false where strict finders stay silent."""
+    """(path, content bytes[, problem]) -> files table; ``is_utf8`` is false where strict finders stay silent."""
+    columns = ["problem"] if "problem" in raw.columns else []
     return raw.select(
         "path", F.lit(project).alias("project"), text.language(F.col("path")).alias("lang"),
         text.tolerant_text(F.col("content")).alias("content"),
-        F.coalesce(text.strict_ok(F.col("content")), F.lit(False)).alias("is_utf8"))
+        F.coalesce(text.strict_ok(F.col("content")), F.lit(False)).alias("is_utf8"), *columns)
 
 
 def read_tree(
     spark: SparkSession, root: str, suffixes: tuple = SUFFIXES, max_file_bytes: int | None = None,
-    project: str | None = None,
+    project: str | None = None, archives: bool = False,
 ) -> DataFrame:
-    """Files below ``root`` (or the single file ``root``) on storage that all executors mount."""
-    spark.dataSource.register(TreeSource)
-    raw = spark.read.format("source_tree").option("suffixes", ",".join(suffixes)).option(
-        "maxFileBytes", str(max_file_bytes or 0)).load(root)
-    return decode_files(raw, project or os.path.basename(root.rstrip("/")))
-
+    """Files below ``root`` (or the single file ``root``): a path that all executors mount, or a URI of a store.
 
-def read_object_store(spark: SparkSession, root: str, project: str, pattern: str = "*.{py,java}") -> DataFrame:
-    """The same from any Hadoop file system; Spark itself leaves out hidden and empty files there."""
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(root)
-    return decode_files(raw.select("path", "content"), project)
+    With ``archives``, the wanted members of zip files below it as well.
+    """
+    wanted = tuple(suffixes) + ((".zip",) if archives else ())
+    raw = read_files(list_tree(spark, root, wanted), root, max_file_bytes).drop("size")
+    if archives:
+        raw = materialize(raw)
+        zips = text.suffix(F.col("path")) == ".zip"
+        raw = raw.where(~zips).unionByName(expand_archives(raw.where(zips & F.col("content").isNotNull()), suffixes)).unionByName(
+            raw.where(zips & F.col("content").isNull()))
+    return decode_files(raw, project or os.path.basename(root.rstrip("/")))
 
 
 def allowed_file(path, suffixes: tuple = (".py", ".java", ".zip")):
@@ -142,29 +153,35 @@ def allowed_file(path, suffixes: tuple = (".py", ".java", ".zip")):
 
 
 def expand_archives(archives: DataFrame, suffixes: tuple = SUFFIXES) -> DataFrame:
-    """(path, content bytes of a zip) -> one row per member with a wanted suffix.
+    """(path, content bytes of a zip) -> (path, content, problem), one row per member with a wanted suffix.
 
-    Members are read one at a time in memory and never written to disk; an unreadable
-    archive gives one row with its own path and no content.
+    Members are read one at a time in memory and never written to disk. A member that is damaged
+    or encrypted has no content and says so, the others are read all the same; an
+    unreadable archive gives one row with its own path.
     """
 
     def expand(batches):
+        schema = pa.schema([("path", pa.string()), ("content", pa.binary()), ("problem", pa.string())])
         for batch in batches:
             for path, data in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
-                for name, body in _members(data.as_py(), suffixes):
+                for name, body, problem in _members(data.as_py(), suffixes):
                     full = path if name is None else f"{path}!{name}"
-                    yield pa.RecordBatch.from_pydict(
-                        {"path": [full], "content": [body]},
-                        schema=pa.schema([("path", pa.string()), ("content", pa.binary())]))
+                    yield pa.RecordBatch.from_pydict({"path": [full], "content": [body], "problem": [problem]}, schema=schema)
 
-    return archives.select("path", "content").mapInArrow(expand, "path string, content binary")
+    return archives.select("path", "content").mapInArrow(expand, "path string, content binary, problem string")
 
 
 def _members(data: bytes | None, suffixes: tuple):
     try:
-        with zipfile.ZipFile(io.BytesIO(data or b"")) as z:
-            for info in z.infolist():
-                if not info.is_dir() and os.path.splitext(info.filename)[1] in suffixes:
-                    yield info.filename, z.read(info)
-    except (zipfile.BadZipFile, RuntimeError, NotImplementedError):
-        yield None, None
+        archive = zipfile.ZipFile(io.BytesIO(data or b""))
+    except (zipfile.BadZipFile, ValueError, OSError, NotImplementedError):
+        yield None, None, DAMAGED
+        return
+    with archive:
+        for info in archive.infolist():
+            if info.is_dir() or os.path.splitext(info.filename)[1] not in suffixes:
+                continue
+            try:
+                yield info.filename, archive.read(info), None
+            except (zipfile.BadZipFile, zlib.error, EOFError, OSError, RuntimeError, NotImplementedError, ValueError):
+                yield info.filename, None, DAMAGED

@@ -31,6 +31,26 @@ def without_redelivery(files: DataFrame, ts: str = "ts", late: str = "1 day") ->
     return keyed.withWatermark(ts, late).dropDuplicatesWithinWatermark(["path", "content_sha"])
 
 
+def run_updates(stream: DataFrame, folder: str, checkpoint: str) -> int:
+    """Process what is there and append every changed row with its batch; returns the rows that came too late.
+
+    The windows that are still open at the end are in it too: ``current`` gives the last state of each.
+    """
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/batch={number}")
+
+    query = stream.writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(keep).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return sum(s["numRowsDroppedByWatermark"] for p in query.recentProgress for s in p["stateOperators"])
+
+
+def current(updates: DataFrame, keys: list[str]) -> DataFrame:
+    """The last written state of every key."""
+    values = [c for c in updates.columns if c not in (*keys, "batch")]
+    return updates.groupBy(*keys).agg(*[F.max_by(c, "batch").alias(c) for c in values])
+
+
 def run_available(stream: DataFrame, folder: str, checkpoint: str) -> None:
     """Process what is there, append it to a Parquet folder and stop."""
     query = (

@@ -9,7 +9,7 @@ from scanframe import oracles
 from scanframe import queries as registered
 
 SF = "/root/testdata/sf0.001"
-NAMES = ["pat5_line_literals", "pat8_category_filter", "src11_newlines", "syn9_call_names", "agg15_trend", "agg9_compliance"]
+NAMES = sorted(oracles.ORACLES)
 
 
 def test_every_query_has_sql():

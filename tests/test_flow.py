@@ -194,3 +194,24 @@ def test_types(spark, context, kind):
     assert row.t == kind
     assert row.r == ("Medium" if kind == "Unknown" else "Critical")
     assert row.c == pytest.approx(0.3)
+
+
+@pytest.mark.parametrize("steps", [10, 500])
+def test_long_chains_take_no_rounds(files, steps):
+    lines = ["a0 = request.GET('q')", *[f"a{k + 1} = f(a{k})" for k in range(steps)], f"query(a{steps})"]
+    graph = flow.analyze_files(files(("p/a.py", "\n".join(lines))))
+    assert sorted(r.path_length for r in graph.findings.collect()) == list(range(2, steps + 3))
+    assert flow.file_statistics(graph).first().tainted_sources == steps + 1
+
+
+def test_no_route_towards_dead_ends():
+    from scanframe.functions import routes
+
+    def event(node, before=None, **flags):
+        return {"node": node, "from": before, "assigns": before is not None, "source": False, "sink": False, "cleans": False, **flags}
+
+    # 1 -> 2 -> 9 (sink), 1 -> 3 -> 9 through a cleaning node, 1 -> 4 -> 5 leads nowhere
+    events = [event(1, source=True), event(2, 1), event(3, 1), event(3, cleans=True), event(4, 1), event(5, 4), event(9, 2), event(9, 3), event(9, sink=True)]
+    got = routes.file_flows(events, None)
+    assert got == {"tainted": [1, 2, 3, 4, 5, 9], "routes": [[1, 2, 9], [2, 9], [9]]}
+    assert routes.file_flows(events, 2)["routes"] == [[2, 9], [9]]

@@ -78,14 +78,27 @@ def test_scan_text_names_and_categories(spark):
     assert tuple(stats) == (3, len(rows))
 
 
-def test_user_rules(files, spark, monkeypatch):
-    table = spark.createDataFrame([(f"u{i}", "literal", w) for i, w in enumerate(["Foo", "bar", "zip"])],
+def test_user_rules(files, spark):
+    words = ["Foo", "bar", "zip", "", "b", "ÉCL", "a bar F", "no such thing", None]
+    table = spark.createDataFrame([(f"u{i}", "literal", w) for i, w in enumerate(words)] + [("x", "regex", "foo")],
                                   "rule_id string, kind string, pattern string")
-    df = files(("p/a.py", "FOO"), ("p/b.py", "a bar foo"))
-    want = {("p/a.py", "u0"), ("p/b.py", "u0"), ("p/b.py", "u1")}
-    assert {(r.path, r.rule_id) for r in patterns.match_rule_table(df, table).collect()} == want
-    monkeypatch.setattr(patterns, "MAX_BROADCAST_RULES", 1)  # slices
+    texts = {"p/a.py": "FOO", "p/b.py": "a bar foo", "p/c.py": "", "p/d.py": "éclat"}
+    want = {(p, f"u{i}") for p, t in texts.items() for i, w in enumerate(words) if w is not None and w.lower() in t.lower()}
+    df = files(*texts.items())
     assert {(r.path, r.rule_id) for r in patterns.match_rule_table(df, table).collect()} == want
+    plan = patterns.match_rule_table(df, table)._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_very_many_user_rules(files, spark):
+    rng = random.Random(3)
+    letters = "abcdef "
+    words = ["".join(rng.choice(letters) for _ in range(rng.randrange(2, 9))) for _ in range(20_000)]
+    texts = {f"p/{k}.py": "".join(rng.choice(letters) for _ in range(200)) for k in range(20)}
+    table = spark.createDataFrame([(f"u{i}", "literal", w) for i, w in enumerate(words)], "rule_id string, kind string, pattern string")
+    want = {(p, f"u{i}") for p, t in texts.items() for i, w in enumerate(words) if w in t}
+    got = patterns.match_rule_table(files(*texts.items()), table).select("path", "rule_id").collect()
+    assert len(got) == len(want) and {tuple(r) for r in got} == want
 
 
 def test_settings():

@@ -4,6 +4,7 @@ import zipfile
 
 import pytest
 
+from scanframe.operators import history, reports
 from scanframe.plans import output, scan
 from scanframe.sources import tree
 
@@ -36,40 +37,70 @@ def test_tree_lists_hidden_and_empty_files(spark, folder):
     assert [r.is_utf8 for r in df.where("path like '%bin.py'").collect()] == [False]
 
 
-def test_tree_splits_large_folders(spark, folder, monkeypatch):
-    monkeypatch.setattr(tree, "PART_FILES", 2)
-    reader = tree.TreeReader({"path": folder})
-    parts = reader.partitions()
-    assert len(parts) > 3
-    found = [os.path.relpath(f, folder) for p in parts for f in reader._files(p)]
-    assert sorted(found) == WANTED  # every file once
+def test_every_folder_is_listed_once(spark, folder, tmp_path, monkeypatch):
+    big = tmp_path / "proj" / "big"
+    big.mkdir()
+    for k in range(300):
+        (big / f"f{k}.py").write_text("x")
+    os.symlink(str(big), str(tmp_path / "proj" / "again"))
+    fs, start = tree._store(folder)
+    asked = []
+    listing = tree._entries
+
+    def walk(at):
+        asked.append(at)
+        for path, kind, _ in list(listing(fs, at, tree.SUFFIXES)):
+            if kind == "folder":
+                walk(path)
+
+    walk(start)
+    assert len(asked) == len(set(asked)) == 4  # the link is not followed
+    monkeypatch.setattr(tree, "PART_FILES", 50)
+    listed = tree.list_tree(spark, folder)
+    assert listed.count() == len(WANTED) + 300
+    read = tree.read_files(listed, folder)
+    assert read.rdd.getNumPartitions() >= 6
+    assert read.where("content is not null").count() == len(WANTED) + 300
 
 
 def test_single_file_missing_and_size(spark, folder):
     assert names(tree.read_tree(spark, folder + "/notes.txt"), folder) == ["notes.txt"]
-    with pytest.raises(Exception, match="missing"):
-        tree.read_tree(spark, folder + "/missing").count()
-    assert "app.py" not in names(tree.read_tree(spark, folder, max_file_bytes=20), folder)
-
-
-def test_unreadable_file_is_still_counted(spark, folder, monkeypatch):
-    reader = tree.TreeReader({"path": folder})
-    monkeypatch.setattr(os.path, "getsize", lambda p: (_ for _ in ()).throw(OSError()))
-    rows = [b.to_pylist()[0] for p in reader.partitions() for b in reader.read(p)]
-    assert len(rows) == len(WANTED)
-    assert {r["content"] for r in rows} == {None}
+    with pytest.raises(FileNotFoundError, match="missing"):
+        tree.read_tree(spark, folder + "/missing")
+    limited = {os.path.relpath(r.path, folder): r for r in tree.read_tree(spark, folder, max_file_bytes=20).collect()}
+    assert sorted(limited) == WANTED
+    assert {n: r.problem for n, r in limited.items() if r.problem} == {"app.py": "too large"}
+    assert limited["app.py"].content is None
+    uri = tree.read_tree(spark, "file://" + folder)
+    assert names(uri, folder) == WANTED
+
+
+def test_what_cannot_be_read_stays_as_a_row(spark, folder):
+    listed = tree.list_tree(spark, folder)
+    os.remove(folder + "/app.py")
+    rows = {os.path.relpath(r.path, folder): r for r in tree.read_files(listed, folder).collect()}
+    assert sorted(rows) == WANTED and rows["app.py"].content is None and rows["app.py"].problem == "unreadable"
+    fs, _ = tree._store(folder)
+    assert list(tree._entries(fs, folder + "/gone", (".py",))) == [(folder + "/gone", "unreadable folder", 0)]
+    files = tree.decode_files(tree.read_files(listed, folder), "proj")
+    options = scan.ScanOptions(run="r", root="/x", max_file_bytes=5)
+    result = scan.scan(files, options)
+    row = scan.scan_rows(files.selectExpr("project", "timestamp'2024-05-06 07:08:09' AS ts"), result.files, options, 1.5).first()
+    assert (row.total_files, row.scan_duration, row.project_path) == (7, 1.5, "/x/proj")
+    assert row.skipped_files == result.files.where("problem is not null").count() == 3
 
 
 def test_scan_of_a_tree(spark, folder, tmp_path):
     files = tree.read_tree(spark, folder)
-    result = scan.scan(files)
+    options = scan.ScanOptions(run="scan")
+    result = scan.scan(files, options)
     assert result.files.count() == len(WANTED)
     kinds = {(r.finder, r.type, os.path.basename(r.file_path)) for r in result.findings.collect()}
     assert ("line", "MD5", "A.java") in kinds
     assert ("line", "eval(", "bad.py") in kinds  # does not parse, literals still match
     assert ("py_syntax", "CodeInjection", ".h.py") in kinds
     assert not [k for k in kinds if k[0] == "py_syntax" and k[2] == "bad.py"]
-    scans = scan.scan_rows(files.selectExpr("project", "timestamp'2024-05-06 07:08:09' AS ts"), result.files)
+    scans = scan.scan_rows(files.selectExpr("project", "timestamp'2024-05-06 07:08:09' AS ts"), result.files, options)
     assert (scans.first().scan_id, scans.first().total_files) == ("scan_proj", 7)
     written = output.write_report(scans, result.findings, str(tmp_path / "out"), ["json", "executive", "pdf"])
     assert sorted(written) == ["executive", "json"]
@@ -96,15 +127,50 @@ def test_invalid_bytes_silence_syntax_only(spark):
     assert flow.totals(flow.analyze_files(files)).first().files_analyzed == 2
 
 
-def test_archives(spark):
+def test_archives(spark, tmp_path):
     buffer = io.BytesIO()
     with zipfile.ZipFile(buffer, "w") as z:
         z.writestr("a/x.py", "eval(a)")
+        z.writestr("a/bad_sum.py", "damaged")
         z.writestr("a/_y.java", "")
         z.writestr("a/readme.md", "no")
-    df = spark.createDataFrame([("ok.zip", buffer.getvalue()), ("bad.zip", b"nope")], "path string, content binary")
-    rows = {r.path: r.content for r in tree.expand_archives(df).collect()}
-    assert rows == {"ok.zip!a/x.py": b"eval(a)", "ok.zip!a/_y.java": b"", "bad.zip": None}
+        z.writestr("a/bad_stream.py", "squeezed " * 50, zipfile.ZIP_DEFLATED)
+        z.writestr("a/secret.py", "hidden")
+        z.writestr("a/z.py", "last")
+    data = bytearray(buffer.getvalue())
+    data[data.index(b"damaged")] ^= 1
+    at = data.index(b"a/bad_stream.py") + len("a/bad_stream.py")
+    data[at:at + 4] = b"\xff\xff\xff\xff"
+    at = data.rindex(b"a/secret.py") - 46 + 8  # the flags in the directory say: encrypted
+    data[at] |= 1
+    df = spark.createDataFrame([("ok.zip", bytes(data)), ("bad.zip", b"nope")], "path string, content binary")
+    rows = {r.path: (r.content, r.problem) for r in tree.expand_archives(df).collect()}
+    damaged = (None, "damaged archive member")
+    assert rows == {
+        "ok.zip!a/x.py": (b"eval(a)", None), "ok.zip!a/_y.java": (b"", None), "ok.zip!a/bad_sum.py": damaged,
+        "ok.zip!a/bad_stream.py": damaged, "ok.zip!a/secret.py": damaged, "ok.zip!a/z.py": (b"last", None), "bad.zip": damaged}
+    (tmp_path / "up").mkdir()
+    (tmp_path / "up" / "ok.zip").write_bytes(bytes(data))
+    (tmp_path / "up" / "q.py").write_text("x = 1")
+    found = tree.read_tree(spark, str(tmp_path / "up"), archives=True)
+    assert found.count() == 7 and found.where("problem is null").count() == 4
+
+
+def test_two_scans_of_one_project_stay_apart(spark, files, tmp_path):
+    df = files(("p/a.py", APP), ("p/b.py", "x = 1")).drop("ts")
+    folder = str(tmp_path / "history")
+    ids = set()
+    for _ in range(2):
+        scans, findings = scan.write_scan(df, folder, scan.ScanOptions(enable_flow_analysis=False))
+        row = scans.first()
+        ids.add(row.scan_id)
+        assert scans.count() == 1 and row.total_files == 2 and row.scan_duration > 0
+    n = findings.count()
+    scans, findings = (spark.read.parquet(f"{folder}/{t}") for t in ("scans", "findings"))
+    assert len(ids) == 2 and findings.count() == 2 * n
+    totals = reports.severity_summary_of(scans.select("scan_id", "project", "ts"), findings)
+    assert {r.total_vulnerabilities for r in totals.collect()} == {n}
+    assert [r.vulnerability_change for r in history.trend(totals).collect()] == [0]
 
 
 def test_settings_of_a_scan(files):
@@ -118,7 +184,9 @@ def test_settings_of_a_scan(files):
     assert {r.code_snippet for r in low.collect()} == {""}
     off = scan.scan(df, scan.ScanOptions(disabled_categories={"A03_Injection"})).findings
     assert off.where("owasp_category = 'A03_Injection'").count() == 0
-    assert scan.scan(df, scan.ScanOptions(max_findings=3)).findings.count() == 3
+    found = scan.scan(df).findings
+    for k in (3, 2000):
+        assert reports.first_findings(found, k).count() == min(k, found.count())
 
 
 def test_scan_without_flow_needs_no_shuffle(files):
