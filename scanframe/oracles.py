@@ -465,9 +465,9 @@ def _sql() -> dict[str, str]:
         "FROM files f JOIN raw_files r USING (path) WHERE f.lang <> 'other')")
     q["src1_source_tree"] = f"WITH {FILES}, {hidden} " + (
         "SELECT name, lang, CAST(strlen(raw) <= 2000 AS INTEGER) AS is_utf8, CASE WHEN strlen(raw) > 2000 THEN 'too large' END AS problem, "
-        "CAST(CASE WHEN strlen(raw) <= 2000 THEN length(raw) END AS INTEGER) AS n_chars, "
-        "CASE WHEN strlen(raw) <= 2000 THEN md5(raw) END AS content_md5 FROM tree")
-    q["src5_single_file"] = f"WITH {FILES}, {hidden} SELECT name, md5(raw) AS content_md5 FROM tree ORDER BY concat(project, '/', name) LIMIT 1"
+        "CAST(CASE WHEN strlen(raw) <= 2000 THEN length(content) END AS INTEGER) AS n_chars, "
+        "CASE WHEN strlen(raw) <= 2000 THEN md5(content) END AS content_md5 FROM tree")
+    q["src5_single_file"] = f"WITH {FILES}, {hidden} SELECT name, md5(content) AS content_md5 FROM tree ORDER BY concat(project, '/', name) LIMIT 1"
 
     q["src12_unreadable"] = f"WITH {FILES}, {hidden} " + (
         "SELECT CASE WHEN regexp_matches(name, '7\\.[a-z]+$') THEN 'unreadable' END AS problem, count(*) AS n, "
