@@ -45,6 +45,21 @@ LINE_TITLES = {
 }
 
 
+#: What may happen where a rule of the category is right.
+IMPACT = {
+    "A01_Broken_Access_Control": "People see or change records that are not theirs",
+    "A02_Cryptographic_Failures": "Protected data can be read or forged",
+    "A03_Injection": "Input is run as code, as a command or as a query",
+    "A04_Insecure_Design": "A missing safeguard cannot be patched in later without rework",
+    "A05_Security_Misconfiguration": "Internals are exposed to anyone who asks",
+    "A06_Vulnerable_Components": "Known holes of an old dependency are open here as well",
+    "A07_Auth_Failures": "Accounts can be taken over",
+    "A08_Integrity_Failures": "Foreign data or packages run with the program's rights",
+    "A09_Logging_Failures": "An attack goes unnoticed and cannot be traced",
+    "A10_SSRF": "The server can be made to call internal systems",
+}
+
+
 @dataclass(frozen=True)
 class Group:
     """Needles and expressions that share category, severity and advice.
@@ -66,11 +81,10 @@ class Group:
     ref: str
 
 
-_TOP10 = "https://owasp.org/Top10/"
 _DML = ["select", "insert", "update", "delete"]
 _SECRETS = ["password", "secret", "key", "token"]
 
-# --- fixed values: content rules (needles, expressions, severities, CWE numbers) ------
+# --- fixed values: content rules (needles, expressions, severities, CWE numbers, links) ------
 GROUPS = [
     Group(
         "A01-authz", "A01_Broken_Access_Control", "Missing Authorization", "High",
@@ -83,7 +97,7 @@ GROUPS = [
         [284, 285, 862],
         "Route handler with no visible permission check",
         "Guard the handler with an explicit permission check",
-        _TOP10 + "A01_2021-Broken_Access_Control/",
+        "https://owasp.org/Top10/A01_2021-Broken_Access_Control/",
     ),
     Group(
         "A01-idor", "A01_Broken_Access_Control", "IDOR Vulnerability", "High",
@@ -96,7 +110,8 @@ GROUPS = [
         [639, 22],
         "Record fetched by an identifier the caller controls",
         "Check that the caller owns the record before returning it",
-        _TOP10 + "A01_2021-Broken_Access_Control/",
+        "https://owasp.org/www-project-web-security-testing-guide/v42/4-Web_Application_Security_Testing/"
+        "05-Authorization_Testing/04-Testing_for_Insecure_Direct_Object_References",
     ),
     Group(
         "A02-hash", "A02_Cryptographic_Failures", "Weak Hashing", "High",
@@ -109,7 +124,7 @@ GROUPS = [
         [327, 328, 916],
         "Digest that is no longer collision resistant",
         "Move to SHA-256 or a newer digest",
-        _TOP10 + "A02_2021-Cryptographic_Failures/",
+        "https://owasp.org/Top10/A02_2021-Cryptographic_Failures/",
     ),
     Group(
         "A02-cipher", "A02_Cryptographic_Failures", "Weak Encryption", "High",
@@ -121,7 +136,7 @@ GROUPS = [
         [327, 326, 328],
         "Cipher or block mode that can be broken",
         "Use AES-256 in an authenticated mode with a fresh nonce",
-        _TOP10 + "A02_2021-Cryptographic_Failures/",
+        "https://owasp.org/Top10/A02_2021-Cryptographic_Failures/",
     ),
     Group(
         "A03-sql", "A03_Injection", "SQL Injection", "Critical",
@@ -135,7 +150,7 @@ GROUPS = [
         [89, 564, 943],
         "SQL text assembled from parts that may be untrusted",
         "Bind values as statement parameters",
-        _TOP10 + "A03_2021-Injection/",
+        "https://owasp.org/Top10/A03_2021-Injection/",
     ),
     Group(
         "A03-command", "A03_Injection", "Command Injection", "Critical",
@@ -149,7 +164,7 @@ GROUPS = [
         [78, 77, 94],
         "Process or code started from text that may be untrusted",
         "Pass a fixed program with an argument list and no shell",
-        _TOP10 + "A03_2021-Injection/",
+        "https://owasp.org/Top10/A03_2021-Injection/",
     ),
     Group(
         "A04-controls", "A04_Insecure_Design", "Missing Security Controls", "Medium",
@@ -162,7 +177,7 @@ GROUPS = [
         [656, 657, 693],
         "Sign of a safeguard that was left unfinished",
         "Finish the safeguard and drop leftover debugging code",
-        _TOP10 + "A04_2021-Insecure_Design/",
+        "https://owasp.org/Top10/A04_2021-Insecure_Design/",
     ),
     Group(
         "A05-debug", "A05_Security_Misconfiguration", "Debug Configuration", "Medium",
@@ -174,7 +189,7 @@ GROUPS = [
         [489, 532, 215],
         "Diagnostic output or debug switch left on",
         "Switch diagnostics off outside development",
-        _TOP10 + "A05_2021-Security_Misconfiguration/",
+        "https://owasp.org/Top10/A05_2021-Security_Misconfiguration/",
     ),
     Group(
         "A06-versions", "A06_Vulnerable_Components", "Outdated Dependencies", "High",
@@ -187,7 +202,7 @@ GROUPS = [
         [1104, 1035, 937],
         "Dependency pinned to a release with known holes",
         "Raise the pinned version to a maintained release",
-        _TOP10 + "A06_2021-Vulnerable_and_Outdated_Components/",
+        "https://owasp.org/Top10/A06_2021-Vulnerable_and_Outdated_Components/",
     ),
     Group(
         "A07-login", "A07_Auth_Failures", "Weak Authentication", "High",
@@ -199,7 +214,7 @@ GROUPS = [
         [798, 259, 521],
         "Credential that is guessable or stored in the text",
         "Keep credentials out of code and store only slow salted hashes",
-        _TOP10 + "A07_2021-Identification_and_Authentication_Failures/",
+        "https://owasp.org/Top10/A07_2021-Identification_and_Authentication_Failures/",
     ),
     Group(
         "A08-objects", "A08_Integrity_Failures", "Insecure Deserialization", "Critical",
@@ -212,7 +227,7 @@ GROUPS = [
         [502, 494, 829],
         "Objects rebuilt from bytes that may be untrusted",
         "Decode with a loader that cannot create arbitrary objects",
-        _TOP10 + "A08_2021-Software_and_Data_Integrity_Failures/",
+        "https://owasp.org/Top10/A08_2021-Software_and_Data_Integrity_Failures/",
     ),
     Group(
         "A09-logging", "A09_Logging_Failures", "Missing Security Logging", "Medium",
@@ -223,7 +238,7 @@ GROUPS = [
         [778, 223, 532],
         "Security event that leaves no trace in a log",
         "Write an audit record for the event",
-        _TOP10 + "A09_2021-Security_Logging_and_Monitoring_Failures/",
+        "https://owasp.org/Top10/A09_2021-Security_Logging_and_Monitoring_Failures/",
     ),
     Group(
         "A10-ssrf", "A10_SSRF", "SSRF Vulnerability", "High",
@@ -237,7 +252,7 @@ GROUPS = [
         [918, 611, 441],
         "Outgoing request whose address may be untrusted",
         "Allow only known hosts for outgoing requests",
-        _TOP10 + "A10_2021-Server-Side_Request_Forgery_%28SSRF%29/",
+        "https://owasp.org/Top10/A10_2021-Server-Side_Request_Forgery_%28SSRF%29/",
     ),
 ]
 
@@ -333,6 +348,7 @@ class Rule:
     refs: tuple = ()
     cwe_ids: tuple = ()
     needs: tuple = ()
+    impact: str = ""
 
     @property
     def dotall(self) -> bool:
@@ -356,7 +372,7 @@ def _owasp() -> list[Rule]:
     out = []
     for g in GROUPS:
         base = Rule("", "owasp", g.category, g.subcategory, "literal", "", "i", g.severity, g.title, g.advice,
-                    (g.ref,), tuple(g.cwe_ids))
+                    (g.ref,), tuple(g.cwe_ids), impact=IMPACT[g.category])
         out += [replace(base, rule_id=f"{g.key}.lit{i}", pattern=p) for i, p in enumerate(g.literals, 1)]
         out += [
             replace(base, rule_id=f"{g.key}.rx{i}", kind="regex", pattern=p, flags="is" if dotall else "i",
@@ -420,7 +436,7 @@ def rules_frame(spark: SparkSession, rules: list[Rule] | None = None) -> DataFra
     rows = [
         (r.rule_id, r.ruleset, r.category, r.subcategory, r.kind, r.pattern, r.flags, r.severity,
          SEVERITIES.index(r.severity) if r.severity in SEVERITIES else len(SEVERITIES),
-         r.description, r.remediation, list(r.refs), list(r.cwe_ids))
+         r.description, r.remediation, list(r.refs), list(r.cwe_ids), r.impact)
         for r in rules
     ]
     return spark.createDataFrame(rows, RULES)

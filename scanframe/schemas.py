@@ -23,6 +23,7 @@ RULES = T.StructType([
     T.StructField("remediation", T.StringType(), False),
     T.StructField("refs", T.ArrayType(T.StringType()), False),
     T.StructField("cwe_ids", T.ArrayType(T.IntegerType()), False),
+    T.StructField("impact", T.StringType(), False),
 ])
 
 FINDING_COLUMNS = [
