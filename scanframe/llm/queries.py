@@ -81,6 +81,41 @@ ORACLES = {
             coalesce(k.n_lines, 0) AS n_lines, coalesce(k.n_removed, 0) AS n_removed
         FROM documents d LEFT JOIN kept k ON d.doc_id = k.doc_id
     """,
+    "op4_embedding_dedup": """
+        WITH RECURSIVE vectors AS (
+            SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings
+            WHERE label IS NOT NULL AND embedding IS NOT NULL
+                AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x)))
+                AND list_bool_or(list_transform(embedding, lambda x: x <> 0))),
+        links AS (
+            SELECT a.vec_id AS a, b.vec_id AS b FROM vectors a JOIN vectors b ON a.label = b.label AND a.vec_id <> b.vec_id
+                AND len(a.v) = len(b.v) WHERE list_cosine_similarity(a.v, b.v) >= 0.98),
+        reach AS (SELECT vec_id, vec_id AS seen FROM embeddings UNION SELECT r.vec_id, l.b FROM reach r JOIN links l ON r.seen = l.a),
+        least AS (SELECT vec_id, min(seen) AS component_id FROM reach GROUP BY vec_id),
+        counts AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+        SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept
+        FROM least LEFT JOIN counts ON a = vec_id
+    """,
+    "op8_minhash": r"""
+        WITH RECURSIVE words AS (
+            SELECT doc_id, list_filter(string_split_regex(
+                translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w
+            FROM documents WHERE text IS NOT NULL),
+        shingles AS (
+            SELECT DISTINCT doc_id, array_to_string(list_slice(w, i, i + 2), ' ') AS s
+            FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, 1) + 1)) AS i FROM words WHERE len(w) > 0) x),
+        sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+        shared AS (
+            SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id
+            GROUP BY ALL),
+        links AS (
+            SELECT a, b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b
+            WHERE 100 * common >= 85 * (x.n + y.n - common)),
+        reach AS (SELECT doc_id, doc_id AS seen FROM documents UNION SELECT r.doc_id, l.b FROM reach r JOIN links l ON r.seen = l.a),
+        least AS (SELECT doc_id, min(seen) AS component_id FROM reach GROUP BY doc_id)
+        SELECT d.doc_id, coalesce(n, 0) AS n_shingles, component_id, d.doc_id = component_id AS kept
+        FROM documents d JOIN least l ON l.doc_id = d.doc_id LEFT JOIN sizes z ON z.doc_id = d.doc_id
+    """,
     "op7_chat": r"""
         WITH turns AS (
             SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
