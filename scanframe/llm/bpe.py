@@ -15,9 +15,10 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import ArrayType, IntegerType
 
+from scanframe.llm.common import blocks
+
 VOCABULARY = "byte_bpe_50k.json"
 _NONE = 1 << 30  # rank of a pair that never merges
-_BLOCK = 4_000_000  # characters whose new words are merged together
 
 # fixed values: how the vocabulary's pre-tokenizer splits a text
 _SPACE = r"\t-\r \x85\xa0  -     　"
@@ -213,24 +214,16 @@ class Encoder:
     def words(self, text: str) -> list[str]:
         return _SPLIT.findall(text) if _PLAIN.search(text) else _SPLIT_PLAIN.findall(text)
 
-    def encode_all(self, texts: list[str]) -> Iterator[np.ndarray]:
-        """Ids of each text; strings of special tokens inside become those tokens. New words are learned block by block."""
-        begin = 0
-        while begin < len(texts):
-            end, size = begin, 0
-            while end < len(texts) and (end == begin or size + len(texts[end]) <= _BLOCK):
-                size += len(texts[end])
-                end += 1
-            pieces = [self.special.split(t) if self.special else [t] for t in texts[begin:end]]
-            split = [[self.words(p) if k % 2 == 0 else p for k, p in enumerate(ps)] for ps in pieces]
-            wanted = {w for ps in split for p in ps[::2] for w in p}
-            if len(self.known) + len(wanted) > self.keep:
-                self._forget()
-            self.learn(wanted)
-            for ps in split:
-                yield np.concatenate([
-                    np.array([self.v.special[p]], np.uint32) if k % 2 else self._gathered(p) for k, p in enumerate(ps)])
-            begin = end
+    def encode_all(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text; strings of special tokens inside become those tokens. New words are learned together."""
+        pieces = [self.special.split(t) if self.special else [t] for t in texts]
+        split = [[self.words(p) if k % 2 == 0 else p for k, p in enumerate(ps)] for ps in pieces]
+        wanted = {w for ps in split for p in ps[::2] for w in p}
+        if len(self.known) + len(wanted) > self.keep:
+            self._forget()
+        self.learn(wanted)
+        return [np.concatenate([
+            np.array([self.v.special[p]], np.uint32) if k % 2 else self._gathered(p) for k, p in enumerate(ps)]) for ps in split]
 
     def decode(self, ids: np.ndarray) -> str:
         return b"".join(map(self.v.tokens.__getitem__, ids.tolist())).decode("utf-8", "replace")
@@ -255,8 +248,8 @@ def encode_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = make()
-        for batch in batches:
-            ids = list(encoder.encode_all([t or "" for t in batch.column("text").to_pylist()]))
+        for batch in blocks(batches, lambda b: b.column("text")):
+            ids = encoder.encode_all([t or "" for t in batch.column("text").to_pylist()])
             offsets = pa.array(np.cumsum([0, *map(len, ids)]), pa.int32())
             flat = np.concatenate(ids) if ids else np.empty(0, np.uint32)
             yield pa.RecordBatch.from_arrays([
@@ -273,8 +266,8 @@ def token_digests(docs: DataFrame, path: str | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = make()
-        for batch in batches:
-            ids = list(encoder.encode_all([t or "" for t in batch.column("text").to_pylist()]))
+        for batch in blocks(batches, lambda b: b.column("text")):
+            ids = encoder.encode_all([t or "" for t in batch.column("text").to_pylist()])
             yield pa.RecordBatch.from_arrays([
                 batch.column("doc_id"), pa.array(map(len, ids), pa.int64()),
                 pa.array([hashlib.sha256(x.astype("<u4").tobytes()).hexdigest() for x in ids], pa.string()),

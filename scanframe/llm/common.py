@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 
 import numpy as np
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +18,24 @@ WORD_SPACE = r"[\x20\x09-\x0D]+"
 BROADCAST_IDS = 500_000
 
 
+#: Bytes of text that a task takes up at a time; what it makes of them goes out before the next.
+BLOCK_BYTES = 4 << 20
+
+
+def blocks(batches, texts_of):
+    """Arrow batches cut so that none has more text than BLOCK_BYTES, unless a single text has."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(texts_of(batch)), 0).to_pylist()
+        begin = held = 0
+        for k, size in enumerate(sizes):
+            if held and held + size > BLOCK_BYTES:
+                yield batch.slice(begin, k - begin)
+                begin, held = k, 0
+            held += size
+        if begin < len(sizes):
+            yield batch.slice(begin)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

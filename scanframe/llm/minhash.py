@@ -15,7 +15,7 @@ from pyspark.sql.functions import arrow_udf
 from pyspark.sql.types import ArrayType, LongType
 
 from scanframe.functions.cluster import counted, materialize
-from scanframe.llm.common import components, keyed, once, replaced, small, smallest_reachable
+from scanframe.llm.common import blocks, components, keyed, once, replaced, small, smallest_reachable
 
 BITS = 4  # kept low bits of each minimum
 _LOW = 0x1111111111111111  # lowest bit of each group of four
@@ -96,7 +96,7 @@ def minima(sets: list[np.ndarray], hashes: int) -> np.ndarray:
 
 def signatures(batches: Iterator[pa.RecordBatch], like: Likeness) -> Iterator[pa.RecordBatch]:
     """(id, key, mark, text) to (id, key, mark, n, digest, bands, bits); the last three null for empty sets."""
-    for batch in batches:
+    for batch in blocks(batches, lambda b: b.column("text")):
         sets = [shingles(t, like.words) for t in batch.column("text").to_pylist()]
         full = [i for i, s in enumerate(sets) if len(s)]
         digest, bands, bits = ([None] * len(sets) for _ in range(3))
