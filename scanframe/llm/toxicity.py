@@ -12,8 +12,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scanframe.functions.cluster import materialize
-from scanframe.llm.common import keyed
+from scanframe.functions.cluster import counted, materialize
+from scanframe.llm.common import keyed, small
 
 SLOTS = 1 << 20  # of each of two tables of hashed tokens; the model's size does not depend on the data
 PRIOR = 0.1  # weight of the Dirichlet prior against the counts
@@ -23,7 +23,7 @@ LEAST_ODDS = 2.0  # and those nearer than this
 PREFIXES = (4, 5)  # bytes of the word beginnings that are tokens too, for languages that inflect
 KEPT_WORDS = 300_000  # words whose scores a task remembers before it starts afresh
 SIGNIFICANT = 0.05  # largest expected number of equally good segments in ordinary text
-CALIBRATION_ROWS = 50_000  # bound of the labelled sample to which the calibration is fitted
+CALIBRATION_ROWS = 50_000  # size of the labelled sample to which the calibration is fitted
 THRESHOLD = 0.3
 _FEATURES = 3
 
@@ -138,29 +138,32 @@ def passages(text: str | None, model: Model, scores: Scores) -> list[tuple[int,
     return found
 
 
-def log_odds(counts: np.ndarray) -> np.ndarray:
-    """Scores by slot from counts [slot, label]: log-odds under a Dirichlet prior that follows the total counts."""
-    total = counts.sum(axis=1)
-    odds, variance = [], 0.0
-    for label in (1, 0):
-        mass = counts[:, label] + PRIOR * total + 1e-9
-        odds.append(np.log(mass / max(mass.sum(), 1.0)))
-        variance = variance + 1.0 / mass
-    d = odds[0] - odds[1]
-    weak = (np.abs(d) < LEAST_DEVIATION * np.sqrt(variance)) | (np.abs(d) < LEAST_ODDS) | (total == 0)
-    return np.where(weak, 0.0, np.clip(d, -6.0, 6.0)).astype(np.float32)
+def log_odds(toxic: Column, plain: Column, n_toxic: Column, n_plain: Column) -> Column:
+    """Log-odds of a slot from its counts and the totals, under a Dirichlet prior that follows the total counts.
 
-
-def extreme_values(scores: np.ndarray, ordinary: np.ndarray) -> tuple[float, float]:
-    """Lambda and K of segment scores in ordinary text, for token scores and their counts there.
-
-    Lambda solves E[exp(lambda s)] = 1. K is taken as the squared drift over the drift under
-    the tilted law, the first term of its series, kept within (0, 1].
+    0 where the evidence is weak: fewer than LEAST_DEVIATION standard errors, or nearer than LEAST_ODDS.
+    """
+    prior, total = PRIOR * (toxic + plain), PRIOR * (n_toxic + n_plain)
+    in_toxic, in_plain = toxic + prior, plain + prior
+    d = F.ln(in_toxic / (n_toxic + total)) - F.ln(in_plain / (n_plain + total))
+    error = F.sqrt(1 / in_toxic + 1 / in_plain)
+    seen = (toxic + plain > 0) & (n_toxic > 0) & (n_plain > 0)
+    strong = seen & (F.abs(d) >= LEAST_DEVIATION * error) & (F.abs(d) >= LEAST_ODDS)
+    return F.when(strong, F.greatest(F.least(d, F.lit(6.0)), F.lit(-6.0))).otherwise(0.0)
+
+
+def extreme_values(scores: np.ndarray, ordinary: np.ndarray, total: float) -> tuple[float, float]:
+    """Lambda and K of segment scores in ordinary text.
+
+    ``scores`` and ``ordinary`` are the evidence of the tokens that have any and their counts
+    there, of ``total`` counts; all others score -DRIFT. Lambda solves E[exp(lambda s)] = 1. K is
+    taken as the squared drift over the drift under the tilted law, the first term of its
+    series, kept within (0, 1].
     """
-    p = ordinary[:SLOTS].astype(np.float64)
-    p /= max(p.sum(), 1.0)
-    s = scores[:SLOTS].astype(np.float64) - DRIFT
-    if s.max(initial=-1.0) <= 0 or (p * s).sum() >= 0:
+    s = np.append(scores.astype(np.float64), 0.0) - DRIFT
+    p = np.append(ordinary, max(total - ordinary.sum(), 1.0)).astype(np.float64)
+    p /= p.sum()
+    if s.max() <= 0 or (p * s).sum() >= 0:
         return 1.0, 1.0
     p = np.maximum(p, 1e-9 * (s > 0))  # a token not seen in ordinary text is rare there, not impossible
     low, high = 0.0, 1.0
@@ -212,28 +215,42 @@ def is_held_out(doc_id: Column) -> Column:
 def train(docs: DataFrame, labels: DataFrame) -> Model:
     """Fit on the labelled documents outside the held-out quarter.
 
-    Token counts come from all of them, summed in the tasks; the driver gets at most 2 SLOTS
-    sums per class and half. The calibration is fitted to a sample of at most CALIBRATION_ROWS
-    labelled documents (smallest hash of doc_id), each scored by the counts of the other half,
-    so that it does not see its own text. Without any labelled row every score is a constant.
-    A document with contradicting labels counts as toxic.
+    Token counts come from all of them and are summed in the tasks first; the log-odds are
+    computed where the sums are, and the driver gets the slots with evidence only, at most
+    2 SLOTS. The calibration is fitted to about CALIBRATION_ROWS labelled documents (all if
+    there are fewer, else those of smallest hash of doc_id), each scored by the counts of the
+    other half, so that it does not see its own text. Without any labelled row every score is a
+    constant. A document with contradicting labels counts as toxic. Texts are not shuffled as
+    long as the labelled ids are few enough to be sent to every task.
     """
     spark = docs.sparkSession
     known = labels.select("doc_id", "toxic").where("toxic in (0, 1) and doc_id is not null").where(~is_held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    known = known.withColumn("fold", (F.xxhash64("doc_id").bitwiseAND(F.lit(1))).cast("int"))
-    rows = materialize(docs.select("doc_id", "text").join(known, "doc_id").select("doc_id", "text", "toxic", "fold"))
+    known, n_known = counted(known.withColumn("fold", F.xxhash64("doc_id").bitwiseAND(F.lit(1)).cast("int")))
+    texts = docs.select("doc_id", "text").join(small(known, n_known), "doc_id")
+    rows, n_rows = counted(texts.select("text", "toxic", "fold", F.shiftrightunsigned(F.xxhash64(F.lit(9), "doc_id"), 2).alias("place")))
     sums = rows.select("text", "toxic", "fold").mapInArrow(_counts, "slot int, label int, fold int, n long")
-    sums = sums.groupBy("slot", "label", "fold").agg(F.sum("n").alias("n")).toArrow()
-    counts = np.zeros((2, 2 * SLOTS, 2), np.float32)
-    slot, label, fold, n = (sums.column(c).to_numpy() for c in ("slot", "label", "fold", "n"))
-    counts[fold, slot, label] = n
 
-    halves = []
-    for fold in (0, 1):  # scores for the documents of this half, from the other
-        scores = log_odds(counts[1 - fold])
-        halves.append((scores, *extreme_values(scores, counts[1 - fold][:, 0])))
-    held = spark.sparkContext.broadcast(halves)
+    def part(label, *folds):
+        return F.sum(F.when((F.col("label") == label) & F.col("fold").isin(*folds), F.col("n")).otherwise(0)).cast("double")
+
+    kinds = {"0": (0,), "1": (1,), "b": (0, 1)}  # each half, both
+    counts = materialize(sums.groupBy("slot").agg(
+        *[part(label, *folds).alias(f"{name}{k}") for k, folds in kinds.items() for name, label in (("t", 1), ("p", 0))]))
+    names = [f"{name}{k}" for k in kinds for name in "tp"]
+    totals = counts.where(F.col("slot") < SLOTS).agg(*[F.coalesce(F.sum(c), F.lit(0.0)).alias(c) for c in names]).first()
+    odds = {k: log_odds(F.col(f"t{k}"), F.col(f"p{k}"), F.lit(totals[f"t{k}"]), F.lit(totals[f"p{k}"])).alias(f"d{k}") for k in kinds}
+    found = counts.select("slot", *[f"p{k}" for k in kinds], *odds.values())
+    found = found.where(" or ".join(f"d{k} <> 0" for k in kinds)).toArrow()
+    slot = found.column("slot").to_numpy()
+    models = {}
+    for k in kinds:
+        evidence, plain = found.column(f"d{k}").to_numpy(), found.column(f"p{k}").to_numpy()
+        scores = np.zeros(2 * SLOTS, np.float32)
+        scores[slot] = evidence
+        first = (slot < SLOTS) & (evidence != 0)
+        models[k] = (scores, *extreme_values(evidence[first], plain[first], totals[f"p{k}"]))
+    held = spark.sparkContext.broadcast([models["1"], models["0"]])  # for a document's half, what the other half says
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = [Scores(by_slot) for by_slot, _, _ in held.value]
@@ -245,13 +262,12 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
             yield pa.RecordBatch.from_arrays(
                 [batch.column("toxic"), *[pa.array(x[:, k]) for k in range(_FEATURES)]], ["toxic", "x0", "x1", "x2"])
 
-    sample = rows.orderBy(F.xxhash64(F.lit(9), "doc_id"), "doc_id").limit(CALIBRATION_ROWS)
-    got = sample.select("text", "fold", "toxic").mapInArrow(measured, "toxic int, x0 double, x1 double, x2 double").toArrow()
+    share = int(min(1.0, CALIBRATION_ROWS / max(n_rows, 1)) * (1 << 62))
+    sample = rows.where(F.col("place") <= share).select("text", "fold", "toxic")
+    got = sample.mapInArrow(measured, "toxic int, x0 double, x1 double, x2 double").toArrow()
     x = np.column_stack([got.column(f"x{k}").to_numpy() for k in range(_FEATURES)])
     weights = _fitted(x, got.column("toxic").to_numpy().astype(float))
-    both = counts.sum(axis=0)
-    scores = log_odds(both)
-    return Model(scores, *extreme_values(scores, both[:, 0]), weights)
+    return Model(*models["b"], weights)
 
 
 def score_of(text: str | None, model: Model, scores: Scores) -> float:
@@ -260,16 +276,17 @@ def score_of(text: str | None, model: Model, scores: Scores) -> float:
     return 1 / (1 + math.exp(-min(max(z, -30.0), 30.0)))
 
 
-def _scored(rows: DataFrame, model: Model) -> DataFrame:
-    """Add ``score`` to rows that have a column ``text``; whole texts, no shuffle."""
+def _scored(rows: DataFrame, model: Model, texts_of) -> DataFrame:
+    """The columns that ``texts_of`` keeps of a batch, and ``score`` of the texts it gives; whole texts, no shuffle."""
     held = rows.sparkSession.sparkContext.broadcast(model)
-    schema = rows.select("*").schema.add("score", "double")
+    kept = [c for c in rows.columns if c != "text"]
+    schema = rows.select(*kept).schema.add("score", "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scores = Scores(held.value.scores)
         for batch in batches:
-            out = [score_of(t, held.value, scores) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.float64())], schema.names)
+            out = [score_of(t, held.value, scores) for t in texts_of(batch).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], pa.array(out, pa.float64())], schema.names)
 
     return rows.mapInArrow(run, schema)
 
@@ -280,7 +297,7 @@ def toxicity_report(docs: DataFrame, labels: DataFrame) -> DataFrame:
     The score depends on the text alone; null and empty texts get the score of a text without
     segments. A row without doc_id is not held out.
     """
-    scored = _scored(docs.select("doc_id", "text"), train(docs, labels))
+    scored = _scored(docs.select("doc_id", "text"), train(docs, labels), lambda batch: batch.column("text"))
     return scored.select(
         "doc_id", F.coalesce(is_held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score",
         (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
@@ -289,6 +306,6 @@ def toxicity_report(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents whose score is below the threshold, in their columns whatever their names."""
     model = train(docs, labels)
-    text = F.col("row")["text"]
-    rows = keyed(docs).select(text.alias("text"), "row")
-    return _scored(rows, model).where(F.col("score") < THRESHOLD).select("row.*")
+    rows = keyed(docs).select("row")
+    scored = _scored(rows, model, lambda batch: batch.column("row").field("text"))
+    return scored.where(F.col("score") < THRESHOLD).select("row.*")

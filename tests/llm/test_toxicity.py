@@ -28,15 +28,19 @@ def test_segments_against_brute_force():
 
 
 def test_extreme_values_solve_their_equation():
-    scores = np.zeros(2 * tx.SLOTS, np.float32)
-    ordinary = np.zeros(2 * tx.SLOTS)
-    scores[:4], ordinary[:4] = [3.0, -1.0, -0.5, 1.0], [1, 50, 30, 5]
-    decay, factor = tx.extreme_values(scores, ordinary)
-    p = ordinary[:4] / ordinary.sum()
-    assert (p * np.exp(decay * (scores[:4] - tx.DRIFT))).sum() == pytest.approx(1, abs=1e-6)
+    scores, ordinary = np.array([3.0, -1.0, -0.5, 1.0]), np.array([1, 50, 30, 5])
+    decay, factor = tx.extreme_values(scores, ordinary, 200)
+    p = np.append(ordinary, 200 - 86) / 200
+    assert (p * np.exp(decay * (np.append(scores, 0) - tx.DRIFT))).sum() == pytest.approx(1, abs=1e-6)
     assert 0 < factor <= 1
 
 
+def test_log_odds(spark):
+    rows = spark.createDataFrame([(40.0, 0.0), (0.0, 400.0), (10.0, 100.0), (1.0, 0.0), (0.0, 0.0)], "t double, p double")
+    got = [r[0] for r in rows.select(tx.log_odds(F.col("t"), F.col("p"), F.lit(1000.0), F.lit(10_000.0))).collect()]
+    assert got[0] > 3 and got[1:] == [0, 0, 0, 0]
+
+
 def _tables(spark, n=900):
     rng = random.Random(4)
     plain = [f"word{k}" for k in range(300)]
