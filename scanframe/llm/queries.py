@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scanframe.llm import (
-    bpe, chat, embedding_dedup, fingerprints, line_dedup, minhash, mixing, sharding, toxicity, url_filter)
+    bpe, centroids, chat, embedding_dedup, filter_audit, fingerprints, line_dedup, minhash, mixing, quality_rules, sharding, toxicity,
+    url_filter)
 from scanframe.llm.common import table
 
 
@@ -56,9 +57,49 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_digests(table(spark, sf_dir, "documents"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.quality_report(table(spark, sf_dir, "documents"))
+
+
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def _rounds_sql(k: int = 8, rounds: int = 10) -> str:
+    """Lloyd rounds as one table expression each; vectors and centroids as lists of whole numbers."""
+    nearest = """
+        near{r} AS MATERIALIZED (
+            SELECT row_id, (min(struct_pack(d := d, c := cluster))).c AS cluster, min(d) AS d FROM (
+                SELECT v.row_id, c.cluster, list_sum(list_transform(range(1, 65), lambda i: (v.x[i] - c.x[i]) * (v.x[i] - c.x[i])))::HUGEINT AS d
+                FROM vectors v, round{r} c) p GROUP BY row_id),"""
+    move = """
+        sums{r} AS MATERIALIZED (
+            SELECT cluster, i, sum(v.x[i])::HUGEINT AS s, count(*) AS n FROM vectors v JOIN near{r} USING (row_id), range(1, 65) t(i) GROUP BY cluster, i),
+        mean{r} AS MATERIALIZED (
+            SELECT cluster, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY i) AS x FROM sums{r} GROUP BY cluster),
+        round{q} AS MATERIALIZED (SELECT c.cluster, coalesce(m.x, c.x) AS x FROM round{r} c LEFT JOIN mean{r} m USING (cluster)),"""
+    steps = "".join(nearest.format(r=r) + move.format(r=r, q=r + 1) for r in range(rounds)) + nearest.format(r=rounds)
+    return f"""
+        WITH vectors AS MATERIALIZED (
+            SELECT row_number() OVER () AS row_id, vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS x
+            FROM embeddings WHERE len(embedding) = 64 AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x)))),
+        round0 AS MATERIALIZED (
+            SELECT (row_number() OVER (ORDER BY sha256('3:' || vec_id)) - 1)::INTEGER AS cluster, x
+            FROM vectors ORDER BY sha256('3:' || vec_id) LIMIT {k}),{steps}
+        last AS (SELECT cluster, sha256(array_to_string(x, ',')) AS centroid_sha256 FROM round{rounds})
+        SELECT v.vec_id, n.cluster, n.d::BIGINT AS distance, (sum(n.d) OVER (PARTITION BY n.cluster))::BIGINT AS cluster_inertia,
+            (sum(n.d) OVER ())::BIGINT AS inertia, l.centroid_sha256
+        FROM vectors v JOIN near{rounds} n USING (row_id) JOIN last l ON l.cluster = n.cluster
+    """
+
+
 QUERIES = {f.__name__: f for f in (
     op1_line_dedup, op2_sharding, op3_mixing, op4_embedding_dedup, op5_fingerprints, op6_url_filter, op7_chat, op8_minhash,
-    op9_toxicity, op10_bpe)}
+    op9_toxicity, op10_bpe, op11_filter_audit, op12_quality_rules, op13_centroids)}
 
 ORACLES = {
     "op1_line_dedup": """
@@ -133,4 +174,102 @@ ORACLES = {
             0::BIGINT AS expanded_tokens
         FROM marked GROUP BY conv_id
     """,
+    "op11_filter_audit": r"""
+        WITH RECURSIVE words AS (
+            SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t,
+                list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w
+            FROM documents),
+        known AS (
+            SELECT doc_id, max((quality = 1)::INTEGER) AS good, max((toxic = 1)::INTEGER) AS toxic FROM labels GROUP BY doc_id),
+        failed AS (
+            SELECT doc_id, part, (len(w) < 200)::INTEGER + 2 * (100 * len(list_distinct(w)) < 50 * len(w))::INTEGER
+                + 4 * (100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * length(t))::INTEGER
+                + 8 * regexp_matches(t, '[#$%&*|]')::INTEGER
+                + 16 * coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), false)::INTEGER AS mask
+            FROM words),
+        masks AS (
+            SELECT part, mask, count(*) AS n, sum(coalesce(good, 0)) AS good, sum(coalesce(toxic, 0)) AS toxic
+            FROM failed LEFT JOIN known USING (doc_id) GROUP BY part, mask),
+        orders AS (
+            SELECT '' AS o UNION ALL SELECT o || f FROM orders, (VALUES ('A'), ('B'), ('C'), ('D'), ('E')) v(f)
+            WHERE length(o) < 5 AND position(f IN o) = 0),
+        steps AS (
+            SELECT o AS filter_order, s::INTEGER AS step, o[s] AS f, (1 << (ascii(o[s]) - 65))::INTEGER AS own,
+                list_sum([0] || list_transform(range(1, s), lambda i: 1 << (ascii(o[i]) - 65)))::INTEGER AS before
+            FROM orders, range(1, 6) t(s) WHERE length(o) = 5),
+        counted AS (
+            SELECT part, filter_order, step, f,
+                coalesce(sum(n) FILTER (mask & (before | own) = 0), 0) AS kept,
+                coalesce(sum(n) FILTER (mask & before = 0 AND mask & own > 0), 0) AS removed,
+                coalesce(sum(n) FILTER (mask & before > 0 AND mask & own > 0), 0) AS redundant,
+                coalesce(sum(n) FILTER (mask = own), 0) AS unique_fails,
+                coalesce(sum(good) FILTER (mask & before = 0 AND mask & own > 0), 0) AS good_lost,
+                coalesce(sum(toxic) FILTER (mask & before = 0 AND mask & own > 0), 0) AS toxic_lost
+            FROM masks, steps GROUP BY part, filter_order, step, f)
+        SELECT part, filter_order, step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant,
+            unique_fails::BIGINT AS unique_fails, good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost,
+            (sum(removed) OVER (PARTITION BY part, f))::BIGINT AS shapley
+        FROM counted
+    """,
+    "op12_quality_rules": r"""
+        WITH texts AS MATERIALIZED (
+            SELECT row_number() OVER () AS row_id, doc_id, coalesce(lang, '') AS lang, text IS NOT NULL AS has, coalesce(text, '') AS t,
+                list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w
+            FROM documents),
+        windows AS (
+            SELECT row_id, i, struct_pack(a := w[i], b := w[i + 1], c := w[i + 2], d := w[i + 3], e := w[i + 4]) AS v
+            FROM (SELECT row_id, w, unnest(range(1, len(w) - 3)) AS i FROM texts WHERE len(w) > 4) x),
+        hits AS (SELECT row_id, i, lead(i) OVER (PARTITION BY row_id ORDER BY i) AS later FROM (
+            SELECT row_id, i, count(*) OVER (PARTITION BY row_id, v) AS n FROM windows) x WHERE n > 1),
+        repeats AS (SELECT row_id, sum(least(coalesce(later - i, 5), 5)) AS n FROM hits GROUP BY row_id),
+        lines AS (
+            SELECT row_id, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM texts),
+        base AS MATERIALIZED (
+            SELECT row_id, doc_id, lang, has, t, w, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars,
+                length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols, len(l) - len(list_distinct(l)) AS n_dup_lines,
+                coalesce(n, 0)::BIGINT AS n_repeat_words
+            FROM texts JOIN lines USING (row_id) LEFT JOIN repeats USING (row_id)),
+        counted AS (
+            SELECT row_id, lang, has, n_words, length(t) - word_chars AS space, length(t) AS chars,
+                length(regexp_replace(t, '[^A-Z]', '', 'g')) AS c1, length(regexp_replace(t, '[^0-9]', '', 'g')) AS c2,
+                length(regexp_replace(t, '[^.,;:!?''"()\-]', '', 'g')) AS c3,
+                length(regexp_replace(t, '[^\x{00C0}-\x{024F}]', '', 'g')) AS c4,
+                length(regexp_replace(t, '[^\x00-\x08\x0E-\x1F\x7F#$%&*+/<=>@\[\\\]^_`{|}~]', '', 'g')) AS c5,
+                length(regexp_replace(t, '[\x00-\x7F\x{00C0}-\x{024F}]', '', 'g')) AS c6
+            FROM base),
+        shaped AS MATERIALIZED (
+            SELECT row_id, lang, has, n_words, chars, unnest([1, 2, 3, 4, 5, 6, 7, 8]) AS class,
+                unnest([c1, c2, c3, c4, c5, c6, space, chars - space - c1 - c2 - c3 - c4 - c5 - c6]) AS n
+            FROM counted),
+        languages AS (
+            SELECT lang, sum(n_words) AS words FROM base WHERE has GROUP BY lang
+            QUALIFY words >= 1000 AND words >= 1e-4 * sum(words) OVER ()),
+        class_shares AS (
+            SELECT lang, class, sum(n) / sum(sum(n)) OVER (PARTITION BY lang) AS q FROM shaped WHERE has GROUP BY lang, class),
+        class_parts AS (
+            SELECT row_id, n / chars AS p, q FROM shaped JOIN class_shares USING (lang, class) SEMI JOIN languages USING (lang) WHERE chars > 0),
+        occurrences AS MATERIALIZED (
+            SELECT row_id, lang, word, count(*) AS n FROM (SELECT row_id, lang, unnest(w) AS word FROM base) x GROUP BY row_id, lang, word),
+        frequent AS (
+            SELECT lang, word, n / words AS q FROM (
+                SELECT lang, word, sum(n) AS n FROM occurrences GROUP BY lang, word) x JOIN languages USING (lang)
+            QUALIFY row_number() OVER (PARTITION BY lang ORDER BY n DESC, word) <= 64),
+        word_parts AS (
+            SELECT b.row_id, coalesce(o.n, 0) / n_words AS p, q FROM base b JOIN frequent f USING (lang)
+            LEFT JOIN occurrences o ON o.row_id = b.row_id AND o.word = f.word WHERE n_words > 0),
+        with_rest AS (
+            SELECT row_id, p, q FROM word_parts
+            UNION ALL SELECT row_id, 1 - sum(p), 1 - sum(q) FROM word_parts GROUP BY row_id),
+        far AS (
+            SELECT kind, row_id, sqrt(greatest(sum(
+                CASE WHEN p > 0 THEN p * log2(2 * p / (p + q)) / 2 ELSE 0 END + CASE WHEN q > 0 THEN q * log2(2 * q / (p + q)) / 2 ELSE 0 END), 0)) AS d
+            FROM (SELECT 'class' AS kind, * FROM class_parts UNION ALL SELECT 'word', * FROM with_rest) x GROUP BY kind, row_id),
+        judged AS (
+            SELECT b.*, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+                coalesce(n_words >= 60 AND c.d > 0.32, false) OR coalesce(n_words >= 100 AND w.d > 0.38, false) AS strange
+            FROM base b LEFT JOIN far c ON c.row_id = b.row_id AND c.kind = 'class' LEFT JOIN far w ON w.row_id = b.row_id AND w.kind = 'word')
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT strange AS kept
+        FROM judged
+    """,
+    "op13_centroids": _rounds_sql(),
 }
