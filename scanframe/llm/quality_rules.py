@@ -42,9 +42,14 @@ def _count(text: Column, expression: str) -> Column:
     return F.regexp_count(text, F.lit(expression)).cast("long")
 
 
-def class_counts(text: Column, word_chars: Column) -> Column:
-    """Array of counts: the classes by expression, white space, lower-case a-z."""
-    counted = F.array(*[_count(text, e) for e in CLASSES.values()])
+def unusual(text: Column) -> Column:
+    """What is left of a text without a-z and white space: a small part of it, which all expressions count in."""
+    return F.regexp_replace(text, r"[a-z\x20\x09-\x0D]+", "")
+
+
+def class_counts(text: Column, rest: Column, word_chars: Column) -> Column:
+    """Array of counts: the classes by expression (in ``unusual``), white space, lower-case a-z."""
+    counted = F.array(*[_count(rest, e) for e in CLASSES.values()])
     space = F.length(text).cast("long") - word_chars
     return let(counted, lambda c: F.concat(c, F.array(
         space, word_chars - F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x))))
@@ -84,12 +89,12 @@ def repeated_words(hashes: Column) -> Column:
 
 
 def base_counts(rows: DataFrame) -> DataFrame:
-    """The rows plus words, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed of ``text``, which is not null."""
-    rows = rows.withColumn("words", words_of(F.col("text")))
+    """The rows plus words, rest, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed of ``text``, which is not null."""
+    rows = rows.withColumns({"words": words_of(F.col("text")), "rest": unusual(F.col("text"))})
     lines = F.filter(F.split("text", "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]"))
     rows = rows.withColumns({
         "hashes": F.transform("words", lambda w: F.xxhash64(w)), "n_words": F.size("words").cast("long"),
-        "word_chars": F.length(F.array_join("words", "")).cast("long"), "n_symbols": _count(F.col("text"), SYMBOLS),
+        "word_chars": F.length(F.array_join("words", "")).cast("long"), "n_symbols": _count(F.col("rest"), SYMBOLS),
         "n_dup_lines": let(lines, lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long"))})
     rows = rows.withColumn("n_repeat_words", repeated_words(F.col("hashes")))
     return rows.withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
@@ -102,15 +107,15 @@ def _language(lang: Column) -> Column:
 def references(docs: DataFrame, rules: Rules) -> DataFrame:
     """Per language: shares of the character classes, and its most frequent words with their shares.
 
-    (language, classes, common, shares, rest, buckets): ``language`` and ``common`` are 64-bit
-    hashes; ``rest`` is the share of all other words. Counts come from all documents and are
+    (language, classes, common, shares, others, buckets): ``language`` and ``common`` are 64-bit
+    hashes; ``others`` is the share of all other words. Counts come from all documents and are
     added up in the tasks before they are sent; at most ``common_words`` rows of a language
     leave a task for the ranking. Ties of frequency go to the smaller hash.
     """
     texts = docs.where("text is not null").select(_language(F.col("lang")).alias("language"), "text")
-    shape = texts.withColumn("words", words_of(F.col("text")))
-    shape = shape.select("language", "text", F.size("words").cast("long").alias("n"), F.length(F.array_join("words", "")).cast("long").alias("chars"))
-    shape = shape.select("language", "n", class_counts(F.col("text"), F.col("chars")).alias("c"))
+    shape = texts.withColumns({"words": words_of(F.col("text")), "rest": unusual(F.col("text"))})
+    shape = shape.select("language", "text", "rest", F.size("words").cast("long").alias("n"), F.length(F.array_join("words", "")).cast("long").alias("chars"))
+    shape = shape.select("language", "n", class_counts(F.col("text"), F.col("rest"), F.col("chars")).alias("c"))
     width = len(CLASSES) + 2
     totals = shape.groupBy("language").agg(
         F.sum("n").alias("n_words"), *[F.sum(F.get("c", F.lit(k))).alias(f"c{k}") for k in range(width)])
@@ -133,7 +138,7 @@ def references(docs: DataFrame, rules: Rules) -> DataFrame:
         F.transform("top", lambda t: t["word"]), lambda w: w.bitwiseAND(F.lit(_BUCKETS - 1)) == b))
     return materialize(known.select(
         "language", "classes", F.transform("top", lambda t: t["word"]).alias("common"), shares.alias("shares"),
-        (rest / F.col("n_words")).alias("rest"), buckets.alias("buckets")))
+        (rest / F.col("n_words")).alias("others"), buckets.alias("buckets")))
 
 
 def _part(p: Column, q: Column) -> Column:
@@ -155,7 +160,7 @@ def class_distance(counts: Column, reference: Column) -> Column:
     return F.when(total > 0, _distance(F.aggregate(parts, F.lit(0.0), lambda a, x: a + x)))
 
 
-def word_distance(hashes: Column, common: Column, shares: Column, rest: Column, buckets: Column) -> Column:
+def word_distance(hashes: Column, common: Column, shares: Column, others: Column, buckets: Column) -> Column:
     """Jensen-Shannon distance of the common words' shares in a text from those in its language; null without words.
 
     The text's common words are sorted, so that each is a run whose length is its count; a
@@ -175,7 +180,7 @@ def word_distance(hashes: Column, common: Column, shares: Column, rest: Column,
                 F.get(shares, F.array_position(common, F.get(s, b)).cast("int") - 1),
                 lambda q: _part((F.coalesce(F.get(p, j + 1), F.size(s)) - b) / n, q) - q / 2))
             missing = F.aggregate(shares, F.lit(0.0), lambda a, q: a + q) / 2
-            return F.aggregate(terms, F.lit(0.0), lambda a, x: a + x) + missing + _part((n - F.size(s)) / n, rest)
+            return F.aggregate(terms, F.lit(0.0), lambda a, x: a + x) + missing + _part((n - F.size(s)) / n, others)
 
         return let(starts, added)
 
@@ -191,12 +196,12 @@ def judge(docs: DataFrame, known: DataFrame, rules: Rules) -> DataFrame:
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     rows = base_counts(rows.select(
         "row", F.coalesce(F.col("row")["text"], F.lit("")).alias("text"), _language(F.col("row")["lang"]).alias("language")))
-    rows = rows.withColumn("chars", class_counts(F.col("text"), F.col("word_chars")))
+    rows = rows.withColumn("chars", class_counts(F.col("text"), F.col("rest"), F.col("word_chars")))
     rows = rows.join(F.broadcast(known), "language", "left")
     has = F.col("classes").isNotNull()
     far = {
         "class_distance": F.when(has, class_distance(F.col("chars"), F.col("classes"))),
-        "word_distance": F.when(has, word_distance(*[F.col(c) for c in ("hashes", "common", "shares", "rest", "buckets")]))}
+        "word_distance": F.when(has, word_distance(*[F.col(c) for c in ("hashes", "common", "shares", "others", "buckets")]))}
     rows = rows.withColumns(far)
     strange = ((F.col("n_words") >= rules.least_words) & (F.col("word_distance") > rules.word_distance)) | (
         (F.col("n_words") >= rules.least_class_words) & (F.col("class_distance") > rules.class_distance))
