@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,3 +35,30 @@ def number_rows(df: DataFrame, group: list[str], order: list[str], name: str = "
         same = same & F.col(f"t.{g}").eqNullSafe(F.col(f"h.{g}"))
     number = F.col("h._before") + F.col("t._place") - F.col("h._first") + 1
     return t.join(h, same).select(*[F.col(f"t.{c}") for c in df.columns], number.alias(name))
+
+
+def running_totals(df: DataFrame, order: list[str], value: str, name: str = "before") -> DataFrame:
+    """Add the sum of ``value`` (long, not null) over all earlier rows in the given order.
+
+    Rows are range-partitioned; a task adds up its own rows as they pass, and the sums of the
+    earlier parts, one row a part, are added afterwards. The rows are written in between, as
+    sums and parts must come from the same split. Rows that are equal in the order follow each
+    other in any order, each with its own place.
+    """
+    keys = [F.col(c).asc_nulls_first() for c in order]
+    ranged = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    schema = df.select("*", F.lit(0).cast("long").alias(name)).schema
+
+    def run(batches):
+        total = 0
+        for batch in batches:
+            values = batch.column(value)
+            upto = pc.add(pc.cumulative_sum(values), total)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pc.subtract(upto, values)], schema.names)
+            total = upto[-1].as_py() if len(upto) else total
+
+    table = materialize(ranged.mapInArrow(run, schema).withColumn("_part", F.spark_partition_id()))
+    ends = table.groupBy("_part").agg(F.max(F.col(name) + F.col(value)).alias("_sum"))
+    w = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = ends.select("_part", F.coalesce(F.sum("_sum").over(w), F.lit(0)).alias("_before"))
+    return table.join(earlier, "_part").select(*df.columns, (F.col(name) + F.col("_before")).alias(name))

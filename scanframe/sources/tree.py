@@ -14,10 +14,11 @@ from pyspark.sql import functions as F
 
 from scanframe.functions import text
 from scanframe.functions.cluster import counted, materialize
+from scanframe.operators.numbering import running_totals
 
 SUFFIXES = (".py", ".java")
 PART_BYTES = 128 << 20  # content per reading task
-PART_FILES = 20_000
+PART_FILES = 20_000  # files per reading task, however small; opening one counts as its share of PART_BYTES
 BATCH_BYTES = 8 << 20
 _LISTED = "path string, kind string, size bigint"
 _READ = pa.schema([("path", pa.string()), ("size", pa.int64()), ("content", pa.binary()), ("problem", pa.string())])
@@ -79,15 +80,41 @@ def list_tree(spark: SparkSession, root: str, suffixes: tuple = SUFFIXES) -> Dat
     return files
 
 
+def deal(listed: DataFrame, max_bytes: int | None = None) -> tuple[DataFrame, int]:
+    """Add ``part``, the task that is to read a file, and return the number of tasks.
+
+    The files in order of their paths are cut by running weight into shares of equal weight:
+    bytes to read plus a fixed cost per file. A file heavier than half a share is a task of its
+    own, so no other task exceeds one and a half shares. There are at most three times as many
+    tasks as shares, since every file that stands alone takes half a share.
+    """
+    cost = max(1, PART_BYTES // PART_FILES)
+    reads = F.col("kind") == "file"
+    if max_bytes:
+        reads = reads & (F.col("size") <= max_bytes)
+    weighed = listed.select("path", "kind", "size", (F.when(reads, F.col("size")).otherwise(0) + cost).cast("long").alias("weight"))
+    total = weighed.agg(F.count("*").alias("n"), F.coalesce(F.sum("weight"), F.lit(0)).alias("weight")).first()
+    shares = max(1, -(-total["weight"] // PART_BYTES), min(total["n"], listed.sparkSession.sparkContext.defaultParallelism))
+    if shares == 1:
+        return weighed.withColumn("part", F.lit(0)).drop("weight"), 1
+    share = -(-total["weight"] // shares)
+    alone = F.col("weight") * 2 > share
+    placed = running_totals(
+        weighed.withColumn("light", F.when(alone, 0).otherwise(F.col("weight")).cast("long")), ["path"], "light", "before")
+    light = placed.where(~alone).withColumn("part", F.floor(F.col("before") / share).cast("int"))
+    heavy, n_heavy = counted(placed.where(alone).select("path", "kind", "size").withColumn("one", F.lit(1).cast("long")))
+    columns = ["path", "kind", "size", "part"]
+    if not n_heavy:
+        return light.select(columns), shares
+    heavy = running_totals(heavy, ["path"], "one", "place").withColumn("part", (F.col("place") + shares).cast("int"))
+    return light.select(columns).unionByName(heavy.select(columns)), shares + n_heavy
+
+
 def read_files(listed: DataFrame, root: str, max_bytes: int | None = None) -> DataFrame:
-    """(path, kind, size) to (path, size, content, problem), dealt evenly by bytes, several files per batch.
+    """(path, kind, size) to (path, size, content, problem), dealt evenly by bytes (``deal``), several files per batch.
 
     No file is dropped: one that is too large, gone or not to be read has no content and says why.
     """
-    total = listed.agg(F.count("*").alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("b")).first()
-    parts = max(1, -(-total["b"] // PART_BYTES), -(-total["n"] // PART_FILES))
-    parts = max(parts, min(total["n"], listed.sparkSession.sparkContext.defaultParallelism))
-
     def one(store, path, kind, size):
         if kind != "file":
             return path, size, None, kind
@@ -112,8 +139,8 @@ def read_files(listed: DataFrame, root: str, max_bytes: int | None = None) -> Da
         if rows:
             yield _batch(rows)
 
-    dealt = listed.select("path", "kind", "size").repartition(parts, F.xxhash64("path"))
-    return dealt.mapInArrow(read, "path string, size bigint, content binary, problem string")
+    dealt, parts = deal(listed, max_bytes)
+    return dealt.repartitionById(parts, "part").select("path", "kind", "size").mapInArrow(read, "path string, size bigint, content binary, problem string")
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:

@@ -1,5 +1,6 @@
 import io
 import os
+import random
 import zipfile
 
 import pytest
@@ -194,3 +195,44 @@ def test_scan_without_flow_needs_no_shuffle(files):
     plan = r._jdf.queryExecution().executedPlan().toString()
     assert "Exchange hashpartitioning" not in plan
     assert plan.count("ArrowEvalPython") == 1  # one pass through Python for needles and syntax
+
+
+def test_files_are_dealt_by_bytes(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    rng = random.Random(6)
+    tables = {
+        "four large of forty": [400_000 if k % 10 == 3 else 9 for k in range(40)],
+        "one of half the bytes": [10_000_000 if k == 17 else 100_000 for k in range(100)],
+        "mixed": [int(rng.paretovariate(0.9) * 1000) for _ in range(3000)],
+        "empty files": [0] * 50, "one file": [5], "none": []}
+    for bytes_per_part in (tree.PART_BYTES, 300_000):
+        monkeypatch.setattr(tree, "PART_BYTES", bytes_per_part)
+        cost = bytes_per_part // tree.PART_FILES
+        for name, sizes in tables.items():
+            rows = [(f"d/{k:04}.py", "file", s) for k, s in enumerate(sizes)] + ([("d/gone", "unreadable folder", 0)] if sizes else [])
+            listed = spark.createDataFrame(rows, tree._LISTED).repartition(3)
+            dealt, parts = tree.deal(listed)
+            got = dealt.repartitionById(parts, "part").select("path", "size", "part", F.spark_partition_id().alias("task")).collect()
+            assert sorted(r.path for r in got) == sorted(r[0] for r in rows) and all(r.task == r.part < parts for r in got), name
+            tasks = {}
+            for r in got:
+                tasks.setdefault(r.task, []).append(r.size + cost)
+            total = sum(s + cost for _, _, s in rows)
+            shares = max(1, -(-total // bytes_per_part), min(len(rows), 4))
+            assert parts <= 3 * shares, name
+            assert all(sum(t) <= 1.5 * -(-total // shares) + 1 or len(t) == 1 for t in tasks.values()), name
+
+
+def test_running_totals(spark):
+    from scanframe.operators.numbering import running_totals
+
+    rows = [(k % 700, k) for k in range(2000)]
+    got = running_totals(spark.createDataFrame(rows, "key long, n long").repartition(5), ["key", "n"], "n").collect()
+    total = 0
+    want = []
+    for key, n in sorted(rows):
+        want.append((key, n, total))
+        total += n
+    assert sorted(tuple(r) for r in got) == want
+    assert running_totals(spark.createDataFrame([], "key long, n long"), ["key"], "n").count() == 0
