@@ -1,13 +1,23 @@
-"""Taint and shortest routes inside the graph of one file, from arrays in the file's own row."""
+"""Taint and shortest routes inside the graph of one file, from arrays in the file's own row.
+
+What leaves the graph are links: for a node and a sink the next node on the way, its length,
+and no route. All links to one sink form a tree whose edges lead to the sink, so a route is
+followed only where one is asked for.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pyarrow as pa
-from pyspark.sql import functions as F
 
 EVENT = "struct<node:bigint,from:bigint,assigns:boolean,source:boolean,sink:boolean,cleans:boolean>"
-FOUND = "tainted array<bigint>, routes array<array<bigint>>"
-_FOUND = pa.struct([("tainted", pa.list_(pa.int64())), ("routes", pa.list_(pa.list_(pa.int64())))])
+#: A link; a row without ``dst`` says that node ``src`` is tainted.
+FOUND = "file_id bigint, src bigint, dst bigint, next bigint, length int, starts boolean"
+_FOUND = pa.schema([
+    ("file_id", pa.int64()), ("src", pa.int64()), ("dst", pa.int64()), ("next", pa.int64()), ("length", pa.int32()), ("starts", pa.bool_())])
+LINK_ROWS = 100_000  # that a task holds before it hands them on
+ROUTE_IDS = 1 << 20  # nodes of routes that a task holds before it hands them on
 
 
 def _reach(starts: list[int], following: dict[int, list[int]]) -> set[int]:
@@ -20,30 +30,35 @@ def _reach(starts: list[int], following: dict[int, list[int]]) -> set[int]:
     return seen
 
 
-def _routes(start: int, following: dict[int, list[int]], useful: set[int], ends: set[int], longest: int | None):
-    """Shortest route from a node to every end, the smallest list of nodes among equals; level by level."""
-    before, level, length = {start: None}, [start], 1
+def _links_to(sink: int, backwards: dict[int, list[int]], within: set[int], cleans: set[int], longest: int | None):
+    """(node, next, length, clean) for all nodes that reach a sink, by rising distance from it.
+
+    Of several next nodes at the same distance the smallest is taken, which makes the route the
+    smallest list of nodes among the shortest. A route is clean if no node on it cleans: the
+    node does not, and the rest of its route is clean.
+    """
+    known = {sink: (None, sink not in cleans)}
+    level, length = [sink], 1
     while level and (longest is None or length <= longest):
         for node in level:
-            if node in ends:
-                route, at = [], node
-                while at is not None:
-                    route.append(at)
-                    at = before[at]
-                yield route[::-1]
-        # the level is in order of its routes, so the first to reach a node gives it the smallest
-        new: list[int] = []
+            after, clean = known[node]
+            yield node, after, length, clean
+        nearer: dict[int, int] = {}
         for node in level:
-            fresh = sorted(n for n in set(following.get(node, ())) if n in useful and n not in before)
-            before.update(dict.fromkeys(fresh, node))
-            new.extend(fresh)
-        level, length = new, length + 1
+            for n in backwards.get(node, ()):
+                if n in within and n not in known:
+                    nearer[n] = min(node, nearer.get(n, node))
+        for n, after in nearer.items():
+            known[n] = after, n not in cleans and known[after][1]
+        level, length = list(nearer), length + 1
 
 
-def file_flows(events: list[dict], longest: int | None) -> dict:
-    """Tainted nodes of a file, and the routes from each to a sink without a cleaning node on them.
+def file_flows(events: list[dict], longest: int | None) -> Iterator[tuple]:
+    """(src, dst, next, length, starts): tainted nodes of a file, then the links on routes to a sink without a cleaning node.
 
-    No route is built towards nodes from which no sink can be reached.
+    ``starts`` marks links whose node is tainted: each is a finding. Only nodes that untrusted
+    data can reach are looked at. The links are as many as the findings, and those of nodes in
+    between that are not tainted themselves; one sink is looked at after the other.
     """
     assigned: dict[int, list[int]] = {}
     following: dict[int, list[int]] = {}
@@ -59,18 +74,61 @@ def file_flows(events: list[dict], longest: int | None) -> dict:
             if e[flag]:
                 group.add(e["node"])
     tainted = _reach(list(sources), assigned)
-    useful = _reach(list(sinks), backwards)
-    found = [
-        r for start in sorted(tainted & useful) for r in _routes(start, following, useful, sinks, longest)
-        if cleans.isdisjoint(r)]
-    return {"tainted": sorted(tainted), "routes": found}
+    reached = _reach(list(tainted), following)
+    for node in sorted(tainted):
+        yield node, None, None, 0, True
+    for sink in sorted(sinks & reached):
+        for node, after, length, clean in _links_to(sink, backwards, reached, cleans, longest):
+            if clean:
+                yield node, sink, after, length, node in tainted
+
+
+def flows(longest: int | None):
+    """Task from (file_id, array of EVENT) to rows of FOUND, in batches of bounded size."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def batch_of(rows):
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _FOUND, strict=True)], schema=_FOUND)
 
-def flows(events, longest: int | None):
-    """Column of FOUND from an array of EVENT structs; one Arrow batch of files at a time."""
+        rows = []
+        for batch in batches:
+            for file_id, events in zip(batch.column("file_id").to_pylist(), batch.column("events"), strict=True):
+                for found in file_flows(events.as_py(), longest):
+                    rows.append((file_id, *found))
+                    if len(rows) >= LINK_ROWS:
+                        yield batch_of(rows)
+                        rows = []
+        if rows:
+            yield batch_of(rows)
+
+    return run
+
+
+def unrolled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(file_id, dst, links to it as structs (src, next, wanted)) to (file_id, src, dst, route) of the wanted ones.
+
+    Routes go on in batches of bounded size, however many a sink has.
+    """
+    names, rows, held = ["file_id", "src", "dst", "route"], [], 0
 
-    @F.arrow_udf(FOUND)
-    def run(batch: pa.Array) -> pa.Array:
-        return pa.array([file_flows(e, longest) for e in batch.to_pylist()], _FOUND)
+    def batch_of(rows):
+        return pa.RecordBatch.from_arrays(
+            [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())), strict=True)], names)
 
-    return run(events)
+    for batch in batches:
+        for file_id, dst, links in zip(*(batch.column(c) for c in ("file_id", "dst", "links")), strict=True):
+            links = links.as_py()
+            after = {x["src"]: x["next"] for x in links}
+            for x in links:
+                if x["wanted"]:
+                    route, at = [], x["src"]
+                    while at is not None:
+                        route.append(at)
+                        at = after[at]
+                    rows.append((file_id.as_py(), x["src"], dst.as_py(), route))
+                    held += len(route)
+                    if held >= ROUTE_IDS:
+                        yield batch_of(rows)
+                        rows, held = [], 0
+    if rows:
+        yield batch_of(rows)

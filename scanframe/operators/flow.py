@@ -81,7 +81,8 @@ class FlowGraph:
     files: DataFrame  # file_id, path, project: every analysed file, clean ones too
     nodes: DataFrame  # file_id, node, variable, line, flow_type, source_type, context, operations
     edges: DataFrame  # file_id, src, dst, operation
-    findings: DataFrame
+    findings: DataFrame  # one row per tainted node and sink that it reaches uncleaned, with the length of the way
+    links: DataFrame  # file_id, src, dst, next, length, starts: the ways, see ``with_routes``
 
 
 def _node_id(seq, index) -> Column:
@@ -135,11 +136,11 @@ def _graph(bound: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def _flows(bound: DataFrame, max_length: int | None) -> DataFrame:
-    """(file_id, tainted, routes): the closure over assignments and the shortest clean routes to sinks.
+    """Rows of ``routes.FOUND``: the closure over assignments and the links on shortest clean routes to sinks.
 
     The graph of a file fits its row, as its facts did, so both come from one grouping by file
     and one pass over arrays, however long the chains are. Files without any untrusted input
-    are left out before that.
+    are left out before that. No route is built; links grow with the findings.
     """
     is_node = ~F.col("uses") | ((F.col("role") == "sink") & F.col("bound").isNotNull())
     event = F.struct(
@@ -150,7 +151,7 @@ def _flows(bound: DataFrame, max_length: int | None) -> DataFrame:
         (is_node & _mentions(F.col("context"), R.SANITIZERS)).alias("cleans"))
     hot = F.max(~F.col("uses") & (F.col("role") == "user_input"))
     files = bound.groupBy("file_id").agg(hot.alias("hot"), F.collect_list(event.cast(routes.EVENT)).alias("events")).where("hot")
-    return files.select("file_id", routes.flows(F.col("events"), max_length).alias("f")).select("file_id", "f.*")
+    return files.select("file_id", "events").mapInArrow(routes.flows(max_length), routes.FOUND)
 
 
 def vulnerability_type(context: Column) -> Column:
@@ -170,15 +171,15 @@ def risk_level(kind: Column, length: Column) -> Column:
     return F.when(kind != "Unknown", "Critical").when(length > 5, "Medium").otherwise("High")
 
 
-def _findings(paths: DataFrame, nodes: DataFrame, files: DataFrame) -> DataFrame:
+def _findings(pairs: DataFrame, nodes: DataFrame, files: DataFrame) -> DataFrame:
     about = nodes.select("file_id", "node", "line", "context", "source_type")
     sinks = about.where(_mentions(F.col("context"), R.SINKS)).select(
         "file_id", F.col("node").alias("dst"), F.col("line").alias("sink_line"), F.col("context").alias("sink_context"))
     sources = about.select(
         "file_id", F.col("node").alias("src"), F.col("line").alias("source_line"),
         F.col("context").alias("source_context"), F.col("source_type"))
-    pairs = paths.join(sinks, ["file_id", "dst"])
-    kind, size = F.col("vuln_type"), F.size("route")
+    pairs = pairs.join(sinks, ["file_id", "dst"])
+    kind, size = F.col("vuln_type"), F.col("length")
     return (
         pairs.join(sources, ["file_id", "src"])
         .withColumn("vuln_type", vulnerability_type(F.col("sink_context")))
@@ -189,7 +190,7 @@ def _findings(paths: DataFrame, nodes: DataFrame, files: DataFrame) -> DataFrame
         .join(files, "file_id")
         .select("file_id", "path", "project", "src", "dst", "vuln_type", "risk_level", "confidence", "path_length",
                 "source_line", "source_context", "sink_line", "sink_context", "description",
-                F.lit(R.FLOW_ADVICE).alias("remediation"), F.col("route").alias("flow_path")))
+                F.lit(R.FLOW_ADVICE).alias("remediation")))
 
 
 def analyze(stage: DataFrame, max_path_length: int | None = None) -> FlowGraph:
@@ -204,9 +205,8 @@ def analyze(stage: DataFrame, max_path_length: int | None = None) -> FlowGraph:
     bound = materialize(_bind(_events(stage)))
     nodes, edges = _graph(bound)
     flows = materialize(_flows(bound, max_path_length))
-    tainted = flows.select("file_id", F.explode("tainted").alias("node"))
-    paths = flows.select("file_id", F.explode("routes").alias("route")).select(
-        "file_id", F.element_at("route", 1).alias("src"), F.element_at("route", -1).alias("dst"), "route")
+    tainted = flows.where("dst is null").select("file_id", F.col("src").alias("node"))
+    links = flows.where("dst is not null")
     operations = edges.groupBy("file_id", F.col("dst").alias("node")).agg(
         F.sort_array(F.collect_list("operation")).alias("operations"))
     marked = (
@@ -217,8 +217,25 @@ def analyze(stage: DataFrame, max_path_length: int | None = None) -> FlowGraph:
             F.when(F.col("hot"), "tainted").when(F.col("role") == "sanitized", "sanitized").otherwise("unknown").alias("flow_type"),
             F.col("role").alias("source_type"), "context",
             F.coalesce("operations", F.array().cast("array<string>")).alias("operations")))
-    found = _findings(paths, marked, files)
-    return FlowGraph(files, marked, edges.dropDuplicates(["file_id", "src", "dst"]), found)
+    found = _findings(links.where("starts").select("file_id", "src", "dst", "length"), marked, files)
+    return FlowGraph(files, marked, edges.dropDuplicates(["file_id", "src", "dst"]), found, links)
+
+
+def with_routes(graph: FlowGraph, findings: DataFrame) -> DataFrame:
+    """Some of the graph's findings with ``flow_path``, the nodes from source to sink.
+
+    Only the trees of sinks among these findings are put together, and only the routes of the
+    findings are followed. Of equally short routes it is the smallest list of nodes.
+    """
+    keys = ["file_id", "src", "dst"]
+    wanted = findings.select(*keys).distinct()
+    sinks = wanted.select("file_id", "dst").distinct()
+    links = graph.links.select(*keys, "next").join(sinks, ["file_id", "dst"], "left_semi").join(
+        wanted.withColumn("wanted", F.lit(True)), keys, "left")
+    link = F.struct("src", "next", F.coalesce("wanted", F.lit(False)).alias("wanted"))
+    trees = links.groupBy("file_id", "dst").agg(F.collect_list(link).alias("links"))
+    routes_of = trees.mapInArrow(routes.unrolled, "file_id long, src long, dst long, route array<long>")
+    return findings.join(routes_of.withColumnRenamed("route", "flow_path"), keys)
 
 
 def analyze_files(files: DataFrame, names: str = "qualified", max_path_length: int | None = None) -> FlowGraph:

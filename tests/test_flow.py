@@ -212,6 +212,88 @@ def test_no_route_towards_dead_ends():
 
     # 1 -> 2 -> 9 (sink), 1 -> 3 -> 9 through a cleaning node, 1 -> 4 -> 5 leads nowhere
     events = [event(1, source=True), event(2, 1), event(3, 1), event(3, cleans=True), event(4, 1), event(5, 4), event(9, 2), event(9, 3), event(9, sink=True)]
-    got = routes.file_flows(events, None)
-    assert got == {"tainted": [1, 2, 3, 4, 5, 9], "routes": [[1, 2, 9], [2, 9], [9]]}
-    assert routes.file_flows(events, 2)["routes"] == [[2, 9], [9]]
+    def links(longest):
+        found = list(routes.file_flows(events, longest))
+        assert [src for src, dst, *_ in found if dst is None] == [1, 2, 3, 4, 5, 9]
+        return sorted((src, after, length) for src, dst, after, length, starts in found if starts and dst == 9)
+
+    assert links(None) == [(1, 2, 3), (2, 9, 2), (9, None, 1)]
+    assert links(2) == [(2, 9, 2), (9, None, 1)]
+
+
+def shortest_routes(graph, start, sinks, cleans):
+    """All smallest shortest routes from a node, level by level."""
+    best, layer = {start: [start]}, [start]
+    while layer:
+        step = {}
+        for a in layer:
+            for b in graph.get(a, ()):
+                if b not in best:
+                    step[b] = min(step.get(b, best[a] + [b]), best[a] + [b])
+        best.update(step)
+        layer = list(step)
+    return [r for t, r in best.items() if t in sinks and not cleans & set(r)]
+
+
+def test_links_give_the_routes_of_random_graphs(spark):
+    from scanframe.functions import routes
+
+    rnd = random.Random(4)
+    for _ in range(150):
+        n = rnd.randint(2, 14)
+        edges = {(a, b) for a in range(n) for b in range(a + 1, n) if rnd.random() < 0.3}
+        flags = {k: {f: rnd.random() < p for f, p in (("source", 0.3), ("sink", 0.3), ("cleans", 0.15))} for k in range(n)}
+        assigns = {e: rnd.random() < 0.7 for e in edges}
+        none = {"source": False, "sink": False, "cleans": False}
+        events = [{"node": k, "from": None, "assigns": False, **flags[k]} for k in range(n)]
+        events += [{"node": b, "from": a, "assigns": assigns[a, b], **none} for a, b in edges]
+        found = list(routes.file_flows(events, None))
+        tainted = [src for src, dst, *_ in found if dst is None]
+        links = [x for x in found if x[1] is not None]
+        graph = {}
+        for a, b in edges:
+            graph.setdefault(a, []).append(b)
+        sinks, cleans = ({k for k in range(n) if flags[k][f]} for f in ("sink", "cleans"))
+        want = sorted(r for s in tainted for r in shortest_routes(graph, s, sinks, cleans))
+        after = {(src, dst): to for src, dst, to, *_ in links}
+        got = []
+        for src, dst, _, length, starts in links:
+            if starts:
+                route, at = [], src
+                while at is not None:
+                    route.append(at)
+                    at = after[at, dst]
+                assert len(route) == length
+                got.append(route)
+        assert sorted(got) == want
+
+
+def test_routes_are_followed_where_asked_for(spark, files, monkeypatch):
+    from scanframe.functions import routes
+
+    chain = "\n".join(["a0 = request.GET('q')", *[f"a{k + 1} = f(a{k})" for k in range(40)], "query(a40)", "b = request.GET('b')", "query(b)"])
+    graph = flow.analyze_files(files(("p/a.py", chain), ("p/b.py", PAIR)))
+    for limit in (7, routes.ROUTE_IDS):
+        monkeypatch.setattr(routes, "ROUTE_IDS", limit)
+        monkeypatch.setattr(routes, "LINK_ROWS", limit)
+        rows = flow.with_routes(graph, graph.findings).collect()
+        assert len(rows) == graph.findings.count() == 43
+        assert all(len(r.flow_path) == r.path_length and (r.flow_path[0], r.flow_path[-1]) == (r.src, r.dst) for r in rows)
+        assert all(r.flow_path == sorted(r.flow_path) for r in rows)
+    some = flow.with_routes(graph, graph.findings.where("path_length = 42")).collect()
+    assert [len(r.flow_path) for r in some] == [42]
+
+
+def test_work_between_grows_with_the_findings(files):
+    """A chain that is used by a sink at its end only: as many links as findings, whatever the routes' length."""
+    from scanframe.functions import routes
+
+    for steps in (200, 4000):
+        lines = ["a0 = request.GET('q')", *[f"a{k + 1} = f(a{k})" for k in range(steps)], f"query(a{steps})"]
+        graph = flow.analyze_files(files(("p/a.py", "\n".join(lines))))
+        assert (graph.findings.count(), graph.links.count()) == (steps + 1, steps + 2)  # the sink's own node is not tainted
+    none = {"source": False, "sink": True, "cleans": False}
+    events = [{"node": 0, "from": None, "assigns": False, **none, "source": True}]
+    events += [{"node": k + 1, "from": k, "assigns": True, **none} for k in range(400)]
+    n = sum(1 for _, dst, *_ in routes.file_flows(events, None) if dst is not None)  # every step is a sink
+    assert n == 401 * 402 // 2
