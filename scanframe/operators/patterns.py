@@ -6,12 +6,16 @@ concatenated and exploded in one pass over the files.
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from scanframe.functions import regex, text
 from scanframe.functions.cluster import materialize
+from scanframe.functions.grams import GRAM, Sieve, pieces
 from scanframe.functions.rows import let, unnest
 from scanframe.operators.prepare import Candidates, with_lines, with_text
 from scanframe.rules import Rule, owasp_rules, rule_rows, rules_frame
@@ -129,19 +133,75 @@ def scan_text(
         F.col("start").alias("match_start"), F.col("end").alias("match_end"))
 
 
-ANCHOR = 4  # letters of a pattern by which it is looked up
+FOUND_ROWS = 200_000  # that a task holds before it hands them on
+TESTED = 10_000  # patterns that meet a text at a time
+SALTS = 64  # parts over which rules that match every text are spread
 
 
-def _pieces(lengths: list[int]):
-    """All different substrings of the given lengths of a text."""
+def _sieve(hashed: DataFrame, column: str, per_hash: int, least: int, most: int) -> Sieve:
+    """The hashes of a column as bits, about ``per_hash`` for each within 2^least to 2^most.
 
-    @F.arrow_udf("array<string>")
-    def run(texts: pa.Array) -> pa.Array:
-        out = []
-        for t in texts.to_pylist():
-            t = t or ""
-            out.append(list({t[i:i + n] for n in lengths for i in range(len(t) - n + 1)}))
-        return pa.array(out, pa.list_(pa.string()))
+    Bits are put together by tasks; the driver gets words of 64 bits, at most 2^(most - 6).
+    Beyond that size more of what is no member passes, and is dropped by the join that follows.
+    """
+    n = hashed.agg(F.approx_count_distinct(column)).first()[0]
+    power = min(max((n * per_hash).bit_length(), least), most)
+    slot = F.shiftrightunsigned(column, 64 - power)
+    words = hashed.groupBy(F.shiftright(slot, 6).cast("int").alias("at")).agg(
+        F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned({column}, {64 - power}) & 63 as int))")).alias("word"))
+    return Sieve(power, {r["at"]: r["word"] for r in words.collect()})
+
+
+def _counted_in(sieve: Sieve, lengths: list[int]):
+    """Texts to (slot, n): in how many texts of the task a piece of that slot occurs."""
+
+    def run(batches):
+        n = np.zeros(len(sieve.bits) * 64, np.int64)
+        for batch in batches:
+            for t in batch.column("_low"):
+                n[np.unique(sieve.slots(sieve.of(t.as_py() or "", lengths)))] += 1
+        at = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], ["slot", "n"])
+
+    return run
+
+
+def _joined(held: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held, strict=True)], ["_text_id", "_anchor"])
+
+
+def _found_in(sieve: Sieve, lengths: list[int]):
+    """Texts to (_text_id, _anchor) of the pieces that pass."""
+
+    def run(batches):
+        held, n = [], 0
+        for batch in batches:
+            for i, t in zip(batch.column("_text_id").to_pylist(), batch.column("_low"), strict=True):
+                h = sieve.of(t.as_py() or "", lengths)
+                held.append((np.full(len(h), i, np.int64), h))
+                n += len(h)
+                if n >= FOUND_ROWS:
+                    yield _joined(held)
+                    held, n = [], 0
+        if n:
+            yield _joined(held)
+
+    return run
+
+
+def _tested(joined: StructType):
+    """(path, _low, tested) to (path, rule_id, pattern) of the patterns that the text holds."""
+    paths = to_arrow_schema(joined).field("path").type
+
+    def run(batches):
+        for batch in batches:
+            for path, text, tested in zip(*(batch.column(c) for c in ("path", "_low", "tested")), strict=True):
+                rules, body = tested.values, text.as_py()
+                hits = [i for i, needle in enumerate(rules.field("needle").to_pylist()) if needle in body]
+                if hits:
+                    rules = rules.take(pa.array(hits))
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([path.as_py()] * len(hits), paths), rules.field("rule_id"), rules.field("pattern")], ["path", "rule_id", "pattern"])
 
     return run
 
@@ -149,22 +209,46 @@ def _pieces(lengths: list[int]):
 def match_rule_table(files: DataFrame, rules: DataFrame) -> DataFrame:
     """Content literal scan with a rule table of any size supplied by the user (rule_id, pattern, ...).
 
-    Every pattern is looked up by one anchor of ANCHOR letters (shorter ones by themselves) in
-    an equi-join with the different pieces of each text; what shares an anchor is then tested
-    as a whole. Texts meet rules only where an anchor occurs. Patterns that are empty match
-    every text, null ones none.
+    Every pattern is looked up by its rarest piece of six letters (shorter patterns by
+    themselves). A first pass over the texts counts in how many of them the pieces of the rules
+    occur, in slots that a task adds up before it sends them; a second one lets only pieces
+    through that are anchors. Ids of texts meet rules where an anchor occurs; a text then gets
+    what it is to be tested for, some thousand patterns at a time. Counts only choose the anchor, so that slots with several pieces
+    cannot change the result. Patterns that are empty match every text, null ones none.
     """
     texts = materialize(with_text(files).select("path", "_low").withColumn("_text_id", F.monotonically_increasing_id()))
     wanted = rules.where("kind = 'literal' and pattern is not null").select("rule_id", "pattern", F.lower("pattern").alias("_needle"))
-    size = F.least(F.length("_needle"), F.lit(ANCHOR))
-    starts = F.sequence(F.lit(1), F.length("_needle") - size + 1)
-    pieces = F.transform(starts, lambda i: F.substring(F.col("_needle"), i, size))
-    first = F.array_min(F.transform(pieces, lambda g: F.struct(F.xxhash64(g).alias("h"), g.alias("g"))))["g"]
-    wanted = wanted.withColumn("_anchor", first)
-    lengths = sorted(r[0] for r in wanted.select(size).distinct().collect())  # 0 to ANCHOR
-    grams = texts.select("_text_id", F.explode(_pieces(lengths)("_low")).alias("_anchor"))
-    maybe = grams.join(wanted.select("_anchor", "_needle", "rule_id", "pattern"), "_anchor").drop("_anchor")
-    return texts.join(maybe, "_text_id").where(F.contains("_low", "_needle")).select("path", "rule_id", "pattern")
+    everywhere = _match_everything(texts, wanted.where("_needle = ''"))
+    wanted = wanted.where("_needle <> ''").withColumn("_rule", F.monotonically_increasing_id())
+    wanted = materialize(wanted.withColumn("_pieces", F.arrow_udf(pieces, "array<bigint>")(F.col("_needle"))))
+    lengths = sorted(r[0] for r in wanted.select(F.least(F.length("_needle"), F.lit(GRAM))).distinct().collect())  # 1 to GRAM
+    if not lengths:
+        return everywhere
+    of_rules = wanted.select("_rule", F.explode("_pieces").alias("_piece"))
+    known = _sieve(of_rules, "_piece", 8, 12, 22)
+    seen = texts.select("_low").mapInArrow(_counted_in(known, lengths), "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n"))
+    counted = of_rules.withColumn("slot", F.shiftrightunsigned("_piece", int(known.shift))).join(seen, "slot", "left")
+    rarest = F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "_piece"))
+    # a pattern one of whose pieces was never seen cannot match
+    anchors = materialize(counted.groupBy("_rule").agg(rarest.alias("r")).where("r.n > 0").select("_rule", F.col("r._piece").alias("_anchor")))
+    if anchors.isEmpty():
+        return everywhere
+    passing = _sieve(anchors, "_anchor", 32, 12, 24)
+    grams = texts.select("_text_id", "_low").mapInArrow(_found_in(passing, lengths), "_text_id long, _anchor long")
+    share = F.ceil(F.lit(wanted.count()) / F.lit(TESTED)).cast("int")
+    rule = F.struct(F.col("_needle").alias("needle"), "rule_id", "pattern")
+    anchored = anchors.join(wanted, "_rule").select("_anchor", F.pmod(F.xxhash64("_rule"), share).alias("_share"), rule.alias("_tested"))
+    maybe = grams.join(anchored, "_anchor").groupBy("_text_id", "_share").agg(F.collect_list("_tested").alias("tested"))
+    joined = texts.join(maybe, "_text_id").select("path", "_low", "tested")
+    found = joined.mapInArrow(_tested(joined.schema), joined.select("path", F.explode("tested").alias("t")).select("path", "t.rule_id", "t.pattern").schema)
+    return found.unionByName(everywhere)
+
+
+def _match_everything(texts: DataFrame, rules: DataFrame) -> DataFrame:
+    """Every text with every rule, in parts by text."""
+    spread = rules.select("rule_id", "pattern", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
+    return texts.select("path", F.pmod(F.xxhash64("_text_id"), F.lit(SALTS)).cast("int").alias("_salt")).join(spread, "_salt").select(
+        "path", "rule_id", "pattern")
 
 
 def statistics(texts: DataFrame, matches: DataFrame) -> DataFrame:

@@ -101,6 +101,47 @@ def test_very_many_user_rules(files, spark):
     assert len(got) == len(want) and {tuple(r) for r in got} == want
 
 
+def test_rules_hang_on_their_rarest_piece(files, spark, monkeypatch):
+    """Patterns that begin with what every text holds are looked up by what few hold."""
+    rng = random.Random(9)
+    texts = {f"p/{k}.py": " " * 40 + "".join(rng.choice("abcdef") for _ in range(60)) for k in range(200)}
+    for k in range(0, 200, 20):
+        texts[f"p/{k}.py"] += "      xyz" + str(k)
+    words = [f"      XYZ{k}" for k in range(0, 200, 10)] + ["      q", " \U0001F600x", "a", "é" * 5]
+    table = spark.createDataFrame([(f"u{i}", "literal", w) for i, w in enumerate(words)], "rule_id string, kind string, pattern string")
+    monkeypatch.setattr(patterns, "TESTED", 7)
+    met = []
+    sieve = patterns._sieve
+    monkeypatch.setattr(patterns, "_sieve", lambda df, column, *a: met.append(df) or sieve(df, column, *a))
+    got = {(r.path, r.rule_id) for r in patterns.match_rule_table(files(*texts.items()), table).collect()}
+    assert got == {(p, f"u{i}") for p, t in texts.items() for i, w in enumerate(words) if w.lower() in t}
+    from scanframe.functions.grams import hashes
+
+    anchors = {r._anchor for r in met[1].collect()}
+    assert int(hashes("      ", 6)[0]) not in anchors and len(anchors) <= len(words)
+
+
+def test_pieces_and_sieve():
+    import numpy as np
+
+    from scanframe.functions import grams
+
+    text = "añ\U0001F600 abcabc\ud800"
+    assert grams.GRAM == 6 and len(grams.hashes(text, 4)) == len(text) - 3 and len(grams.hashes("ab", 4)) == len(grams.hashes("", 1)) == 0
+    assert grams.hashes("xabcd", 4)[1] == grams.hashes("abcde", 4)[0] != grams.hashes("abdc", 4)[0]
+    assert grams.hashes("a", 1)[0] != grams.hashes("a\0\0\0", 4)[0]
+    h = np.unique(grams.hashes("".join(map(chr, range(100, 900))), 3))
+    power = 14
+    words = {}
+    for x in h.view(np.uint64).tolist():
+        slot = x >> (64 - power)
+        words[slot >> 6] = words.get(slot >> 6, 0) | 1 << (slot & 63)
+    sieve = grams.Sieve(power, words)
+    assert (sieve.passing(h) == h).all()
+    others = grams.hashes("".join(map(chr, range(5000, 9000))), 3)
+    assert len(sieve.passing(others)) < 0.15 * len(others)
+
+
 def test_settings():
     rules = R.configure(R.owasp_rules(), {"A10_SSRF"}, {"A03_Injection": "Low"})
     assert "A10_SSRF" not in {r.category for r in rules}
