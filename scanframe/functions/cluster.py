@@ -22,7 +22,8 @@ def shared_folder(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
-def _own_folder(spark: SparkSession) -> str:
+def own_folder(spark: SparkSession) -> str:
+    """Where this application writes everything intermediate; ``release`` removes it."""
     return f"{shared_folder(spark).rstrip('/')}/scanframe-{spark.sparkContext.applicationId}"
 
 
@@ -41,7 +42,7 @@ def release(spark: SparkSession) -> None:
     """Remove the intermediate tables of this application; results built on them end with it."""
     for key in [k for k in _KEPT if k[0] == spark.sparkContext.applicationId]:
         del _KEPT[key]
-    path = spark._jvm.org.apache.hadoop.fs.Path(_own_folder(spark))
+    path = spark._jvm.org.apache.hadoop.fs.Path(own_folder(spark))
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
@@ -57,7 +58,7 @@ def materialize(df: DataFrame) -> DataFrame:
 def counted(df: DataFrame) -> tuple[DataFrame, int]:
     """``materialize`` plus the number of rows, taken from the same write."""
     spark = df.sparkSession
-    target = f"{_own_folder(spark)}/{uuid.uuid4().hex}"
+    target = f"{own_folder(spark)}/{uuid.uuid4().hex}"
     seen = Observation()
     df.observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(target)
     return spark.read.schema(df.schema).parquet(target), seen.get["rows"]

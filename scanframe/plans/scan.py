@@ -15,6 +15,7 @@ from scanframe.functions import text
 from scanframe.functions.cluster import materialize
 from scanframe.functions.rows import unnest
 from scanframe.operators import flow, patterns, prepare, syntax
+from scanframe.plans import store
 from scanframe.schemas import FINDING_COLUMNS
 from scanframe.sources.tree import TOO_LARGE
 
@@ -175,19 +176,23 @@ def scan_rows(files: DataFrame, scanned: DataFrame, options: ScanOptions, second
 
 
 def write_scan(files: DataFrame, folder: str, options: ScanOptions | None = None) -> tuple[DataFrame, DataFrame]:
-    """Run a scan now, append its findings, then its scan rows with the time it took, to the history below a folder.
+    """Run a scan now and commit its findings, counts and scan rows with the time it took to the store below a folder.
 
-    Returns the scan rows and findings of this scan as read back from the history.
+    Returns the scan rows and findings of this scan as read back. A run that is committed is not
+    repeated: its rows are returned as they are. One that failed on its way can be repeated under
+    its name, and nothing of the failed attempt shows.
     """
     from scanframe.operators import history
 
     options = options or ScanOptions()
-    begin = time.time()
-    spark = files.sparkSession
-    stamp = F.lit(datetime.fromtimestamp(begin)).cast("timestamp")
-    result = scan(files, options)
-    history.append_findings(result.findings, f"{folder}/findings", begin)
-    rows = scan_rows(files.withColumn("ts", stamp), result.files, options, time.time() - begin)
-    history.append_scans(rows, f"{folder}/scans", begin)
-    mine = F.col("scan_id").startswith(f"{options.run}_")
-    return tuple(spark.read.parquet(f"{folder}/{t}").where(mine) for t in ("scans", "findings"))
+    begin, spark = time.time(), files.sparkSession
+    if not store.is_committed(spark, folder, options.run):
+        attempt = store.new_attempt()
+        stamp = F.lit(datetime.fromtimestamp(begin)).cast("timestamp")
+        result = scan(files, options)
+        found = store.put(result.findings, folder, "findings", attempt)
+        store.put(history.counts(found), folder, "counts", attempt)
+        rows = scan_rows(files.withColumn("ts", stamp), result.files, options, time.time() - begin)
+        store.put(rows, folder, "scans", attempt)
+        store.commit(spark, folder, options.run, attempt)
+    return tuple(store.read(spark, folder, t, [options.run]) for t in ("scans", "findings"))

@@ -14,9 +14,9 @@ from pyspark.sql import functions as F
 
 from scanframe import rules as R
 from scanframe.functions import cluster, text
-from scanframe.functions.cluster import materialize, shared_folder
+from scanframe.functions.cluster import materialize
 from scanframe.operators import control, flow, history, patterns, reports, syntax
-from scanframe.plans import corpus, output, scan
+from scanframe.plans import corpus, output, scan, store
 from scanframe.sources import tree
 from scanframe.streaming import continuous
 
@@ -118,25 +118,30 @@ def src6_scan_conversations(spark, d):
 
 @query
 def src7_archive_members(spark, d):
-    @F.arrow_udf("binary")
-    def packed(html: pa.Array) -> pa.Array:
-        out = []
-        for h in html.to_pylist():
-            buffer = io.BytesIO()
-            with zipfile.ZipFile(buffer, "w") as z:
-                z.writestr("src/page.py", h)
-                z.writestr("src/page.html", h)
-                z.writestr("src/bad.py", h)
-                z.writestr("__init__.java", "")
-            data = buffer.getvalue()
-            at = data.index(b"src/bad.py") + len("src/bad.py")  # its bytes no longer fit the check sum
-            out.append(data[:at] + bytes([data[at] ^ 1]) + data[at + 1:])
-        return pa.array(out, type=pa.binary())
-
-    pages = spark.read.parquet(f"{d}/pages.parquet")
-    zips = pages.select(F.concat(F.lit("z"), F.col("page_id"), F.lit(".zip")).alias("path"), packed("html").alias("content"))
-    files = tree.decode_files(tree.expand_archives(zips), "zips")
-    return files.select("path", "lang", "problem", F.length("content").alias("n_chars"), F.md5("content").alias("content_md5"))
+    """Every page as an archive in a folder; members are listed from the directories and read one by one."""
+    root = f"{_mounted(spark)}/{uuid.uuid4().hex}/zips"
+
+    def write(batches):
+        os.makedirs(root, exist_ok=True)
+        for batch in batches:
+            for page, html in zip(batch.column("page_id").to_pylist(), batch.column("html").to_pylist(), strict=True):
+                buffer = io.BytesIO()
+                with zipfile.ZipFile(buffer, "w") as z:
+                    z.writestr("src/page.py", html)
+                    z.writestr("src/page.html", html)
+                    z.writestr("src/bad.py", html)
+                    z.writestr("__init__.java", "")
+                data = buffer.getvalue()
+                at = data.index(b"src/bad.py") + len("src/bad.py")  # its bytes no longer fit the check sum
+                with open(os.path.join(root, f"z{page}.zip"), "wb") as f:
+                    f.write(data[:at] + bytes([data[at] ^ 1]) + data[at + 1:])
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], ["n"])
+
+    pages = spark.read.parquet(f"{d}/pages.parquet").select("page_id", "html")
+    pages.mapInArrow(write, "n long").write.format("noop").mode("overwrite").save()
+    files = tree.read_tree(spark, root, archives=True)
+    name = F.substring_index("path", "/zips/", -1)
+    return files.select(name.alias("path"), "lang", "problem", F.length("content").alias("n_chars"), F.md5("content").alias("content_md5"))
 
 
 @query
@@ -172,7 +177,7 @@ def src11_newlines(spark, d):
 
 @query
 def src13_history_append(spark, d):
-    folder = f"{shared_folder(spark)}/scanframe-history-{uuid.uuid4().hex}"
+    folder = f"{cluster.own_folder(spark)}/history-{uuid.uuid4().hex}"
     scans = corpus.event_scans(spark, d)
     history.append_scans(scans.where("total_files > 1"), folder)
     history.append_scans(scans.where("total_files <= 1"), folder)
@@ -183,23 +188,29 @@ def src13_history_append(spark, d):
 @query
 def src13_two_scans_of_one_tree(spark, d):
     """The corpus scanned twice under different names, the second time with one rule set only, through the history."""
-    folder = f"{shared_folder(spark)}/scanframe-history-{uuid.uuid4().hex}"
+    folder = f"{cluster.own_folder(spark)}/history-{uuid.uuid4().hex}"
     files = _code(spark, d)
     for run, ast in (("one", True), ("two", False)):
         options = scan.ScanOptions(run=run, root="/src", enable_flow_analysis=False, enable_ast_analysis=ast)
         scan.write_scan(files.drop("ts"), folder, options)
-    scans, findings = (spark.read.parquet(f"{folder}/{t}") for t in ("scans", "findings"))
-    summaries = reports.severity_summary_of(scans.select("scan_id", "project", "ts"), findings)
+        scan.write_scan(files.drop("ts"), folder, options)  # a repeat changes nothing
+    scans, counted = (store.read(spark, folder, t) for t in ("scans", "counts"))
+    summaries = history.summaries(scans.select("scan_id", "project", "ts"), counted)
     change = history.trend(summaries).select("scan_id", "vulnerability_change")
     return summaries.join(change, "scan_id", "left").select("scan_id", "total_vulnerabilities", "critical_count", "vulnerability_change")
 
 
-def _tree(spark, d):
-    """The corpus as real files below the shared folder, written by tasks; None where that is no mounted path."""
-    folder = shared_folder(spark)
+def _mounted(spark):
+    """This application's part of the shared folder as a plain path, where it is one."""
+    folder = cluster.own_folder(spark)
     if "://" in folder and not folder.startswith("file:"):
         raise RuntimeError("this query writes plain files and needs a mounted folder")
-    root = f"{folder.removeprefix('file:').replace('//', '/')}/scanframe-tree-{uuid.uuid4().hex}/src"
+    return folder.removeprefix("file:").replace("//", "/")
+
+
+def _tree(spark, d):
+    """The corpus as real files below the shared folder, written by tasks; None where that is no mounted path."""
+    root = f"{_mounted(spark)}/{uuid.uuid4().hex}/src"
 
     def write(batches):
         for batch in batches:
@@ -730,17 +741,25 @@ def agg14_first_findings(spark, d):
         "scan_id", "n", "title", "severity", "file_path", "line_number", "code_snippet", "recommendation")
 
 
+def _event_counts(spark, d):
+    """Counts per scan, category and severity, as a store keeps them with the scans."""
+    return _stored(spark, d, "event counts", lambda: history.counts(corpus.event_findings(spark, d)))
+
+
+def _stored_event_scans(spark, d):
+    return _stored(spark, d, "event scans", lambda: corpus.event_scans(spark, d))
+
+
 @query
 def agg15_trend(spark, d):
-    summaries = reports.severity_summary_of(
-        corpus.event_scans(spark, d).select("scan_id", "project", "ts"), corpus.event_findings(spark, d))
+    summaries = history.summaries(_stored_event_scans(spark, d).select("scan_id", "project", "ts"), _event_counts(spark, d))
     return history.trend(summaries).select(
         "project", "scan_id", "vulnerability_change", "critical_change", F.round("improvement_rate", 6).alias("improvement_rate"))
 
 
 @query
 def agg16_history(spark, d):
-    return history.history(corpus.event_scans(spark, d), corpus.event_findings(spark, d)).drop("ts")
+    return history.history_of(_stored_event_scans(spark, d), _event_counts(spark, d)).drop("ts")
 
 
 @query
@@ -752,12 +771,12 @@ def agg17_find_scan(spark, d):
 
 @query
 def agg18_statistics(spark, d):
-    return history.overall_statistics(corpus.event_scans(spark, d), corpus.event_findings(spark, d))
+    return history.overall_of(_stored_event_scans(spark, d), _event_counts(spark, d))
 
 
 @query
 def agg18_distribution(spark, d):
-    return history.distribution(corpus.event_findings(spark, d))
+    return history.distribution_of(_event_counts(spark, d))
 
 
 @query
@@ -811,7 +830,7 @@ def snk4_executive_summary(spark, d):
 @query
 def snk5_written_reports(spark, d):
     """All formats written and read back: lines per scan and dataset."""
-    folder = f"{shared_folder(spark)}/scanframe-report-{uuid.uuid4().hex}"
+    folder = f"{cluster.own_folder(spark)}/report-{uuid.uuid4().hex}"
     findings = _findings(spark, d)
     out = output.write_report(_scans(spark, d), findings, folder)
     parts = [
@@ -880,7 +899,7 @@ def _stream(spark: SparkSession, d: str, table: str) -> DataFrame:
 
 
 def _run(spark: SparkSession, stream: DataFrame) -> DataFrame:
-    base = f"{shared_folder(spark)}/scanframe-stream-{uuid.uuid4().hex}"
+    base = f"{cluster.own_folder(spark)}/stream-{uuid.uuid4().hex}"
     continuous.run_available(stream, f"{base}/out", f"{base}/state")
     return spark.read.schema(stream.schema).parquet(f"{base}/out")
 
@@ -896,7 +915,7 @@ def str2_severity_windows(spark, d):
     events = _stream(spark, d, "events").withColumn(
         "severity", F.expr("CASE WHEN value >= 100 THEN 'Critical' WHEN value >= 50 THEN 'High' WHEN value >= 20 THEN 'Medium' ELSE 'Low' END")
     ).withColumn("ts", F.col("ts").cast("timestamp"))
-    base = f"{shared_folder(spark)}/scanframe-stream-{uuid.uuid4().hex}"
+    base = f"{cluster.own_folder(spark)}/stream-{uuid.uuid4().hex}"
     continuous.run_updates(continuous.severity_windows(events), f"{base}/out", f"{base}/state")
     out = continuous.current(spark.read.parquet(f"{base}/out"), ["window_start", "severity"])
     return out.select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "severity", "n")

@@ -67,8 +67,17 @@ SCANS = T.StructType([
     T.StructField("ts", T.TimestampType()),
     T.StructField("total_files", T.LongType()),
     T.StructField("lines_analyzed", T.LongType()),
+    T.StructField("skipped_files", T.LongType()),
     T.StructField("scan_duration", T.DoubleType()),
     T.StructField("coverage_percentage", T.DoubleType()),
     T.StructField("false_positive_rate", T.DoubleType()),
     T.StructField("confidence_score", T.DoubleType()),
 ])
+
+# Findings of a scan per category and severity: what histories and trends are computed from.
+COUNTS = T.StructType([
+    T.StructField("scan_id", T.StringType()),
+    T.StructField("category", T.StringType()),
+    T.StructField("severity", T.StringType()),
+    T.StructField("n", T.LongType()),
+])

@@ -41,8 +41,13 @@ def run_updates(stream: DataFrame, folder: str, checkpoint: str) -> int:
         batch.write.mode("overwrite").parquet(f"{folder}/batch={number}")
 
     query = stream.writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(keep).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return sum(s["numRowsDroppedByWatermark"] for p in query.recentProgress for s in p["stateOperators"])
+    late = {}  # by batch, as Spark itself remembers the last ones only
+    ended = False
+    while not ended:
+        ended = query.awaitTermination(0.2)
+        for p in query.recentProgress:
+            late[p["batchId"], p["timestamp"]] = sum(s["numRowsDroppedByWatermark"] for s in p["stateOperators"])
+    return sum(late.values())
 
 
 def current(updates: DataFrame, keys: list[str]) -> DataFrame:

@@ -13,7 +13,7 @@ def finding(scan_id, category, severity, path="p/a.py", line=1, kind="t"):
 
 
 def tables(spark, scans, findings):
-    rows = [(s, "p", f"/x/{s}", None, None, None, None, None, None, None) for s in scans]
+    rows = [(s, "p", f"/x/{s}", *[None] * (len(SCANS) - 3)) for s in scans]
     return spark.createDataFrame(rows, SCANS), spark.createDataFrame(findings, FINDINGS)
 
 
@@ -105,3 +105,21 @@ def test_redelivery(spark, tmp_path):
     stream = continuous.without_redelivery(continuous.read_stream(spark, str(tmp_path / "in"), src.schema))
     continuous.run_available(stream, str(tmp_path / "out"), str(tmp_path / "state"))
     assert spark.read.schema(stream.schema).parquet(str(tmp_path / "out")).count() == 2
+
+
+def test_late_rows_are_counted_over_all_batches(spark, tmp_path):
+    """More batches than Spark remembers: every one after the first brings rows that are too late."""
+    for k in range(9):
+        days = [f"2024-01-{20 + k}", *["2024-01-01"] * (3 if k else 0)]
+        rows = spark.createDataFrame([(d, "Low") for d in days], "t string, severity string").coalesce(1)
+        rows.select(F.to_timestamp("t").alias("ts"), "severity").write.mode("append").parquet(str(tmp_path / "in"))
+    schema = spark.read.parquet(str(tmp_path / "in")).schema
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    key = "spark.sql.streaming.numRecentProgressUpdates"
+    before = spark.conf.get(key, "100")
+    spark.conf.set(key, "3")
+    try:
+        late = continuous.run_updates(continuous.severity_windows(stream), str(tmp_path / "out"), str(tmp_path / "state"))
+    finally:
+        spark.conf.set(key, before)
+    assert late >= 7  # one group of a batch is dropped as a whole, after its rows were added up

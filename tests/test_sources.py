@@ -4,9 +4,10 @@ import random
 import zipfile
 
 import pytest
+from pyspark.sql import functions as F
 
 from scanframe.operators import history, reports
-from scanframe.plans import output, scan
+from scanframe.plans import output, scan, store
 from scanframe.sources import tree
 
 APP = 'import pickle\npassword = "admin"\nos.system("ls " + d)\n# TODO debug=True\n'
@@ -157,6 +158,48 @@ def test_archives(spark, tmp_path):
     assert found.count() == 7 and found.where("problem is null").count() == 4
 
 
+def test_members_of_archives_are_dealt_by_bytes(spark, tmp_path, monkeypatch):
+    rng = random.Random(2)
+    top = tmp_path / "up"
+    top.mkdir()
+    content = {}
+    with zipfile.ZipFile(top / "big.zip", "w") as z:
+        for k in range(60):
+            name = f"m{k:02}.py"
+            content[f"big.zip!{name}"] = bytes(rng.choices(b"abc\n", k=rng.choice([0, 10, 4000, 30_000])))
+            z.writestr(name, content[f"big.zip!{name}"], rng.choice([zipfile.ZIP_STORED, zipfile.ZIP_DEFLATED, zipfile.ZIP_BZIP2, zipfile.ZIP_LZMA]))
+        z.writestr("bomb.py", b" " * 3_000_000, zipfile.ZIP_DEFLATED)
+    with zipfile.ZipFile(top / "none.zip", "w"):
+        pass
+    lie = bytearray((top / "big.zip").read_bytes())
+    at = lie.rindex(b"bomb.py") - 46 + 24  # its size in the directory
+    assert int.from_bytes(lie[at:at + 4], "little") == 3_000_000
+    lie[at:at + 4] = (17).to_bytes(4, "little")
+    (top / "lie.zip").write_bytes(bytes(lie))
+    (top / "cut.zip").write_bytes(bytes(lie[:-30]))
+    (top / "a.py").write_bytes(b"x = 1")
+    asked = []
+    deal = tree.deal
+    monkeypatch.setattr(tree, "PART_BYTES", 100_000)
+    monkeypatch.setattr(tree, "deal", lambda listed, limit=None: asked.append(deal(listed, limit)) or asked[-1])
+    rows = {os.path.relpath(r.path, top): r for r in tree.read_tree(spark, str(top), max_file_bytes=100_000, archives=True).collect()}
+    want = {**content, **{k.replace("big", "lie"): v for k, v in content.items()}, "a.py": b"x = 1"}
+    assert {k: r.content.encode() for k, r in rows.items() if r.problem is None} == want
+    problems = {k: r.problem for k, r in rows.items() if r.problem}
+    assert problems == {"big.zip!bomb.py": "too large", "lie.zip!bomb.py": "damaged archive member", "cut.zip": "damaged archive member"}
+    dealt, parts = asked[-1]  # the members
+    assert parts > 8 and dealt.where("archive like '%big.zip'").select("part").distinct().count() > 4
+
+
+def test_a_member_is_unpacked_no_further_than_its_limit():
+    buffer = io.BytesIO()
+    with zipfile.ZipFile(buffer, "w") as z:
+        z.writestr("bomb.py", b" " * 50_000_000, zipfile.ZIP_DEFLATED)
+    (r,) = tree._directory(buffer, "z", (".py",))
+    assert tree._member(buffer, r, 1000) == (None, "too large")
+    assert tree._member(buffer, {**r, "at": 5}, 1000) == (None, "damaged archive member")
+
+
 def test_two_scans_of_one_project_stay_apart(spark, files, tmp_path):
     df = files(("p/a.py", APP), ("p/b.py", "x = 1")).drop("ts")
     folder = str(tmp_path / "history")
@@ -167,11 +210,66 @@ def test_two_scans_of_one_project_stay_apart(spark, files, tmp_path):
         ids.add(row.scan_id)
         assert scans.count() == 1 and row.total_files == 2 and row.scan_duration > 0
     n = findings.count()
-    scans, findings = (spark.read.parquet(f"{folder}/{t}") for t in ("scans", "findings"))
+    scans, findings, counted = (store.read(spark, folder, t) for t in ("scans", "findings", "counts"))
     assert len(ids) == 2 and findings.count() == 2 * n
     totals = reports.severity_summary_of(scans.select("scan_id", "project", "ts"), findings)
     assert {r.total_vulnerabilities for r in totals.collect()} == {n}
     assert [r.vulnerability_change for r in history.trend(totals).collect()] == [0]
+    same = lambda a, b: a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
+    assert same(history.summaries(scans, counted), reports.severity_summary_of(scans, findings))
+    assert same(history.history_of(scans, counted), history.history(scans, findings))
+    assert same(history.distribution_of(counted), history.distribution(findings))
+    assert same(history.overall_of(scans, counted), history.overall_statistics(scans, findings))
+
+
+def test_a_scan_that_fails_on_its_way_can_be_repeated(files, spark, tmp_path, monkeypatch):
+    df = files(("p/a.py", APP), ("q/b.py", "x = 1")).drop("ts")
+    folder = str(tmp_path / "store")
+    options = scan.ScanOptions(run="nightly", enable_flow_analysis=False)
+    put = store.put
+    for fails_at in ("findings", "counts", "scans", "commit"):
+        def broken(rows, at, table, attempt, fails_at=fails_at):
+            if table == fails_at:
+                raise OSError("lost")
+            return put(rows, at, table, attempt)
+
+        with monkeypatch.context() as m:
+            m.setattr(store, "put", broken)
+            if fails_at == "commit":
+                m.setattr(store, "commit", lambda *a: (_ for _ in ()).throw(OSError("lost")))
+            with pytest.raises(OSError, match="lost"):
+                scan.write_scan(df, folder, options)
+        assert all(store.read(spark, folder, t).isEmpty() for t in store.TABLES)
+    first = scan.write_scan(df, folder, options)
+    n = [t.count() for t in first]
+    assert n[0] == 2 and n[1] > 0
+    again = scan.write_scan(df, folder, options)
+    assert [t.count() for t in again] == n and [store.read(spark, folder, t).count() for t in ("scans", "findings")] == n
+    row = store.manifest(spark, folder).first()
+    assert (row.run, row.n_scans, row.n_findings) == ("nightly", *n)
+    # two attempts at the same time: the first that was committed counts
+    late = store.new_attempt()
+    for t, rows in zip(("scans", "findings"), first, strict=True):
+        put(rows.limit(1), folder, t, late)
+    store.commit(spark, folder, "nightly", late)
+    assert store.manifest(spark, folder).count() == 1 and [store.read(spark, folder, t).count() for t in ("scans", "findings")] == n
+
+
+def test_a_look_up_opens_the_files_of_one_run(files, spark, tmp_path):
+    folder = str(tmp_path / "store")
+    scans, findings = scan.write_scan(files(("p/a.py", APP)).drop("ts"), folder, scan.ScanOptions(run="r", enable_flow_analysis=False))
+    for k in range(30):
+        attempt = store.new_attempt()
+        for t, rows in (("scans", scans), ("findings", findings)):
+            store.put(rows.withColumn("scan_id", F.lit(f"r{k}_p")).coalesce(1), folder, t, attempt)
+        store.commit(spark, folder, f"r{k}", attempt)
+    for t, n in (("scans", 1), ("findings", findings.count())):
+        found = store.find(spark, folder, "r7_p", t)
+        assert found.count() == n and {r.scan_id for r in found.collect()} == {"r7_p"}
+        assert len({os.path.dirname(f) for f in found.inputFiles()}) == 1
+        assert store.find(spark, folder, "r99_p", t).isEmpty()
+    assert store.read(spark, folder, "scans").count() == 31 and store.read(spark, folder, "scans", []).isEmpty()
+    assert store.manifest(spark, str(tmp_path / "nothing")).isEmpty()
 
 
 def test_settings_of_a_scan(files):
@@ -198,8 +296,6 @@ def test_scan_without_flow_needs_no_shuffle(files):
 
 
 def test_files_are_dealt_by_bytes(spark, monkeypatch):
-    from pyspark.sql import functions as F
-
     rng = random.Random(6)
     tables = {
         "four large of forty": [400_000 if k % 10 == 3 else 9 for k in range(40)],
