@@ -225,7 +225,7 @@ def match_rule_table(files: DataFrame, rules: DataFrame) -> DataFrame:
     if not lengths:
         return everywhere
     of_rules = wanted.select("_rule", F.explode("_pieces").alias("_piece"))
-    known = _sieve(of_rules, "_piece", 8, 12, 22)
+    known = _sieve(of_rules, "_piece", 8, 16, 22)
     seen = texts.select("_low").mapInArrow(_counted_in(known, lengths), "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n"))
     counted = of_rules.withColumn("slot", F.shiftrightunsigned("_piece", int(known.shift))).join(seen, "slot", "left")
     rarest = F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "_piece"))
@@ -233,7 +233,7 @@ def match_rule_table(files: DataFrame, rules: DataFrame) -> DataFrame:
     anchors = materialize(counted.groupBy("_rule").agg(rarest.alias("r")).where("r.n > 0").select("_rule", F.col("r._piece").alias("_anchor")))
     if anchors.isEmpty():
         return everywhere
-    passing = _sieve(anchors, "_anchor", 32, 12, 24)
+    passing = _sieve(anchors, "_anchor", 32, 18, 24)
     grams = texts.select("_text_id", "_low").mapInArrow(_found_in(passing, lengths), "_text_id long, _anchor long")
     share = F.ceil(F.lit(wanted.count()) / F.lit(TESTED)).cast("int")
     rule = F.struct(F.col("_needle").alias("needle"), "rule_id", "pattern")
