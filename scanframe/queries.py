@@ -126,7 +126,7 @@ def src7_archive_members(spark, d):
         for batch in batches:
             for page, html in zip(batch.column("page_id").to_pylist(), batch.column("html").to_pylist(), strict=True):
                 buffer = io.BytesIO()
-                with zipfile.ZipFile(buffer, "w") as z:
+                with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED) as z:
                     z.writestr("src/page.py", html)
                     z.writestr("src/page.html", html)
                     z.writestr("src/bad.py", html)
