@@ -6,6 +6,8 @@ and closed forms (which snippet gives which finding) for the syntax and flow ana
 
 from __future__ import annotations
 
+from itertools import pairwise
+
 from scanframe import rules as R
 from scanframe.functions.text import SPACES
 from scanframe.operators import reports
@@ -194,6 +196,13 @@ _CALLS = [
     (45, 3, "os.popen", "os.popen", None, None, "os.popen", "r{i}"),
     (46, 1, "ValueError", "ValueError", "f{i}", None, "ValueError", "n"),
     (46, 2, "eval", "eval", "f{i}", None, "eval", "n"),
+    (47, 0, "input", "input", None, None, "input", ""),
+    (47, 1, "os.system", "os.system", None, None, "os.system", "c{i}"),
+    (48, 0, "request.GET", "request.GET", None, None, "request.GET", ""),
+    *[(48, k, "step", "step", None, None, "step", f"{v}{{i}}") for k, v in enumerate("abcdef", 1)],
+    (48, 7, "os.popen", "os.popen", None, None, "os.popen", "g{i}"),
+    (49, 1, "input", "input", None, None, "input", ""),
+    (49, 2, "eval", "eval", None, None, "eval", "t{i}"),
 ]
 # Facts other than calls: (snippet, kind, how many)
 _OTHER_FACTS = [
@@ -202,9 +211,11 @@ _OTHER_FACTS = [
     (14, "stop", 1), (15, "async_func", 1), (16, "assign", 1), (17, "assign", 2), (18, "assign", 2), (19, "assign", 1),
     (20, "control", 1), (20, "guarded", 1), (21, "control", 1), (25, "func", 1), (25, "stop", 1), (27, "assign", 1),
     (31, "assign", 1), (33, "assign", 1), (38, "control", 1), (45, "control", 2), (45, "stop", 1), (46, "func", 1),
-    (46, "stop", 1),
+    (46, "stop", 1), (47, "assign", 1), (48, "assign", 7), (49, "assign", 1), (49, "control", 1), (49, "guarded", 1),
 ]
-_CONTROL = [(20, "try"), (21, "if"), (38, "if"), (45, "for"), (45, "while")]
+_CONTROL = [(20, "try"), (21, "if"), (38, "if"), (45, "for"), (45, "while"), (49, "try")]
+# Bodies of try statements: (snippet, first line, last line)
+_GUARDED = [(20, 1, 1), (49, 1, 2)]
 # Syntax findings: (snippet, line, type, function, class, variables, chain, score)
 _SYNTAX = [
     (5, 0, "HardcodedCredentials", None, None, "password", "", 7),
@@ -218,6 +229,7 @@ _SYNTAX = [
     (15, 1, "CodeInjection", None, None, "z{i}", "exec", 9),
     (41, 0, "CodeInjection", None, None, "", "eval", 9),
     (46, 2, "CodeInjection", "f{i}", None, "n", "eval", 9),
+    (49, 2, "CodeInjection", None, None, "t{i}", "eval", 9),
 ]
 _SQL_FORMAT = [
     (3, 0, "SQLInjection", "execute", None, "k{i}", "execute", 8),
@@ -238,11 +250,21 @@ _NODES = [
     (18, 1, "w{i}", "assignment", 1, "w{i} = build_query(u{i})", "assignment"),
     (18, 1, "sink_u{i}", "sink", 0, "build_query", "sink_usage"),
     (18, 2, "sink_w{i}", "sink", 0, "cursor.execute", "sink_usage"),
+    (47, 0, "c{i}", "user_input", 1, "input", ""),
+    (47, 1, "sink_c{i}", "sink", 0, "os.system", "sink_usage"),
+    (48, 0, "a{i}", "user_input", 1, "request.GET", ""),
+    *[(48, k, f"{v}{{i}}", "assignment", 1, f"{v}{{i}} = step({u}{{i}})", "assignment") for k, (u, v) in enumerate(pairwise("abcdefg"), 1)],
+    (48, 7, "sink_g{i}", "sink", 0, "os.popen", "sink_usage"),
+    (49, 1, "t{i}", "user_input", 1, "input", ""),
+    (49, 2, "sink_t{i}", "sink", 0, "eval", "sink_usage"),
 ]
 _EDGES = [
     (16, "u{i}", 0, "sink_u{i}", 1, "sink_usage"), (17, "u{i}", 0, "v{i}", 1, "sanitization"),
     (17, "v{i}", 1, "sink_v{i}", 2, "sink_usage"), (18, "u{i}", 0, "w{i}", 1, "assignment"),
     (18, "u{i}", 0, "sink_u{i}", 1, "sink_usage"), (18, "w{i}", 1, "sink_w{i}", 2, "sink_usage"),
+    (47, "c{i}", 0, "sink_c{i}", 1, "sink_usage"), (49, "t{i}", 1, "sink_t{i}", 2, "sink_usage"),
+    *[(48, f"{u}{{i}}", k, f"{v}{{i}}", k + 1, "assignment") for k, (u, v) in enumerate(pairwise("abcdefg"))],
+    (48, "g{i}", 6, "sink_g{i}", 7, "sink_usage"),
 ]
 # Flow findings: (snippet, source line, sink line, source role, source context, sink context, length)
 _PATHS = [
@@ -252,9 +274,13 @@ _PATHS = [
     (18, 0, 2, "user_input", "request.GET", "cursor.execute", 3),
     (18, 1, 1, "assignment", "w{i} = build_query(u{i})", "w{i} = build_query(u{i})", 1),
     (18, 1, 2, "assignment", "w{i} = build_query(u{i})", "cursor.execute", 2),
+    (47, 0, 1, "user_input", "input", "os.system", 2),
+    (48, 0, 7, "user_input", "request.GET", "os.popen", 8),
+    *[(48, k, 7, "assignment", f"{v}{{i}} = step({u}{{i}})", "os.popen", 8 - k) for k, (u, v) in enumerate(pairwise("abcdefg"), 1)],
+    (49, 1, 2, "user_input", "input", "eval", 2),
 ]
 # Per-file counts with short names: (snippet, nodes, edges, tainted, findings)
-_SHORT = [(2, 1, 0, 0, 0), (8, 1, 0, 0, 0), (9, 1, 0, 0, 0), (11, 1, 0, 0, 0), (17, 2, 1, 0, 0), (18, 4, 3, 2, 5)]
+_SHORT = [(2, 1, 0, 0, 0), (8, 1, 0, 0, 0), (9, 1, 0, 0, 0), (11, 1, 0, 0, 0), (17, 2, 1, 0, 0), (18, 4, 3, 2, 5), (48, 8, 7, 7, 7)]
 
 
 def _rows(name: str, columns: list[str], rows: list[list[str]]) -> str:
@@ -285,7 +311,12 @@ PATHS = _rows(
     "paths", ["source_line", "sink_line", "source_type", "source_context", "sink_context", "path_length"],
     [[r[0], _line(r[1]), _line(r[2]), _q(r[3]), _t(r[4]), _t(r[5]), r[6]] for r in _PATHS])
 _CONF_SQL = "greatest(CAST(0.3 AS DOUBLE), CAST(1.0 AS DOUBLE) - path_length * CAST(0.1 AS DOUBLE))"
-_FLOW_TEXT = "concat('Untrusted value from ', source_type, ' reaches a sql injection sink')"
+_FLOW_TYPE = (  # by the sink's context
+    "CASE WHEN regexp_matches(lower(sink_context), 'execute|query|sql') THEN 'SQL Injection' "
+    "WHEN regexp_matches(lower(sink_context), 'exec|system|subprocess') THEN 'Command Injection' "
+    "WHEN regexp_matches(lower(sink_context), 'eval|compile') THEN 'Code Injection' ELSE 'Unknown' END")
+_FLOW_RISK = f"CASE WHEN {_FLOW_TYPE} <> 'Unknown' THEN 'Critical' WHEN path_length > 5 THEN 'Medium' ELSE 'High' END"
+_FLOW_TEXT = f"concat('Untrusted value from ', source_type, ' reaches a ', lower({_FLOW_TYPE}), ' sink')"
 
 # Java matches joined with their surroundings.
 _JAVA_RULES = R.rule_rows("java")
@@ -355,7 +386,7 @@ FINDINGS = ", ".join([
         _syntax_select("py_syntax", "complexity_score", "path", "line_number", "snippet",
                        "(SELECT * FROM sn WHERE node_type <> 'SQLInjection') s JOIN pctx USING (m)"),
         _syntax_select("java_regex", _JAVA_SCORE, "path", "line_start", "snippet", "jt JOIN jcontext USING (m)"),
-        "SELECT 'flow' AS finder, 'SQL Injection' AS type, 'Critical' AS severity, path AS file_path, source_line AS line_number, "
+        f"SELECT 'flow' AS finder, {_FLOW_TYPE} AS type, {_FLOW_RISK} AS severity, path AS file_path, source_line AS line_number, "
         f"{_FLOW_TEXT} AS description, 'A03_Injection' AS owasp_category, {_q(R.FLOW_ADVICE)} AS recommendation, "
         f"source_context AS code_snippet, {_CONF_SQL} AS confidence FROM paths",
     ]) + ")",
@@ -571,7 +602,7 @@ def _sql() -> dict[str, str]:
     q["flw10_sanitized_filter"] = (
         f"{p}, {NODES} SELECT path, count(*) AS n FROM paths WHERE path IN (SELECT path FROM nodes WHERE role = 'sanitized') GROUP BY path")
     q["flw11_14_classified"] = p + (
-        f" SELECT 'SQL Injection' AS vuln_type, 'Critical' AS risk_level, {_CONF_SQL} AS confidence, {_FLOW_TEXT} AS description, "
+        f" SELECT {_FLOW_TYPE} AS vuln_type, {_FLOW_RISK} AS risk_level, {_CONF_SQL} AS confidence, {_FLOW_TEXT} AS description, "
         "count(*) AS n FROM paths GROUP BY ALL")
     per_file = (
         "SELECT f.path, coalesce(n, 0) AS total_flow_nodes, coalesce(e, 0) AS total_flow_edges, coalesce(t, 0) AS tainted_sources, "
@@ -587,12 +618,15 @@ def _sql() -> dict[str, str]:
         "CAST(sum(t) AS BIGINT) AS t, CAST(sum(v) AS BIGINT) AS v FROM short GROUP BY path) a ON a.path = f.path")
     q["flw16_totals"] = p + (
         " SELECT (SELECT count(DISTINCT path) FROM py) AS files_analyzed, count(*) AS total_vulnerabilities, "
-        "CAST(0 AS BIGINT) AS total_control_issues, count(*) AS critical_vulnerabilities FROM paths")
+        f"CAST(0 AS BIGINT) AS total_control_issues, count(*) FILTER ({_FLOW_RISK} = 'Critical') AS critical_vulnerabilities FROM paths")
     control_rows = _rows("ctl", ["name"], [[ix, _q(k)] for ix, k in _CONTROL])
     q["flw17_control_nodes"] = f"WITH {SNIPS}, {control_rows} SELECT path, name, count(*) AS n FROM ctl GROUP BY path, name"
-    q["flw18_unreachable"] = s + " SELECT path, line, qual FROM calls WHERE qual = 'os.popen' OR (qual = 'eval' AND fn LIKE 'f%')"
+    q["flw18_unreachable"] = s + " SELECT path, line, qual FROM calls WHERE (qual = 'os.popen' AND names LIKE 'r%') OR (qual = 'eval' AND fn LIKE 'f%')"
     sinks = " OR ".join(f"contains(qual, {_q(x)})" for x in R.SINKS)
-    q["flw19_unguarded"] = s + f" SELECT path, line, qual FROM calls WHERE {sinks}"
+    guarded = _rows("guarded", ["first", "last"], [[ix, _line(a), _line(b)] for ix, a, b in _GUARDED])
+    q["flw19_unguarded"] = f"{s}, {guarded}" + (
+        f" SELECT path, line, qual FROM calls WHERE ({sinks}) AND NOT EXISTS "
+        "(SELECT 1 FROM guarded g WHERE g.path = calls.path AND calls.line BETWEEN g.first AND g.last)")
 
     # combined scan
     f = f"WITH {FINDINGS} "

@@ -61,6 +61,10 @@ PYTHON_SNIPPETS = [
     "axios.get(base + path)",
     "for r{i} in rows:\n    while r{i}:\n        break\n        os.popen(r{i})",
     "def f{i}(n):\n    raise ValueError(n)\n    eval(n)",
+    'c{i} = input("cmd")\nos.system(c{i})',
+    'a{i} = request.GET("q")\nb{i} = step(a{i})\nc{i} = step(b{i})\nd{i} = step(c{i})\ne{i} = step(d{i})\nf{i} = step(e{i})\n'
+    "g{i} = step(f{i})\nos.popen(g{i})",
+    'try:\n    t{i} = input("k")\n    eval(t{i})\nexcept Exception:\n    pass',
 ]
 JAVA_SNIPPETS = [
     "int a{i} = {p};",
