@@ -134,7 +134,7 @@ def src7_archive_members(spark, d):
                 data = buffer.getvalue()
                 at = data.index(b"src/bad.py") + len("src/bad.py")  # its bytes no longer fit the check sum
                 with open(os.path.join(root, f"z{page}.zip"), "wb") as f:
-                    f.write(data[:at] + bytes([data[at] ^ 1]) + data[at + 1:])
+                    f.write(data[:at] + bytes([data[at] ^ 6]) + data[at + 1:])
             yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], ["n"])
 
     pages = spark.read.parquet(f"{d}/pages.parquet").select("page_id", "html")
