@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from scanframe.functions.rows import let
+
 # fixed values: the marks of the template and the control strings that texts may not contain unescaped
 TURN, ROLE_END, TURN_END = "<|turn|>", "<|says|>", "<|end|>"
 _CONTROL = r"\||/?s>|/?INST\]|/?SYS>>"  # what follows "<" or "[" in <|...|>, <s>, </s>, [INST], [/INST], <<SYS>>, <</SYS>>
@@ -13,6 +15,9 @@ PARTS = "array<struct<kind string, text string, ref string, units long>>"
 #: Tokens that a placeholder stands for, per unit of its attachment (image tiles, audio seconds, document pages).
 TOKENS_PER_UNIT = {"image": 256, "audio": 25, "document": 512}
 
+#: Code points of the pieces in which a long text is read by position.
+PIECE = 1024
+
 
 def escape(text: Column) -> Column:
     """One backslash more after each "<" or "[" that begins a control string, counting those already there."""
@@ -64,19 +69,17 @@ def format_chats(turns: DataFrame) -> DataFrame:
     rows = turns.select(
         "conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), content.alias("content"), attachments.alias("attachments"))
     head = F.concat(F.lit(TURN), escape(F.col("role")), F.lit(ROLE_END))
-    rows = rows.select("conv_id", F.struct(
-        "turn", "role", "content", "attachments", head.alias("head"), F.length(head).alias("skip"),
-        F.length("content").alias("size"), (F.length(head) + F.length("content") + len(TURN_END)).alias("all")).alias("t"))
+    rows = rows.select(
+        "*", head.alias("head"), F.length(head).cast("long").alias("skip"), F.length("content").cast("long").alias("size"))
+    before = Window.partitionBy("conv_id").orderBy("turn", "role", "content", "attachments").rowsBetween(Window.unboundedPreceding, -1)
+    at = F.coalesce(F.sum(F.col("skip") + F.col("size") + len(TURN_END)).over(before), F.lit(0))
+    rows = rows.withColumn("at", at).select(
+        "conv_id", F.struct("turn", "role", "content", "attachments", "at", "head", "skip", "size").alias("t"))
     chats = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("ts"))
     body = F.array_join(F.transform("ts", lambda t: F.concat(t["head"], t["content"], F.lit(TURN_END))), "")
-    empty = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start bigint, length bigint>>").alias("spans"))
-
-    def step(state, t):
-        span = F.struct((state["at"] + t["skip"]).alias("start"), t["size"].cast("long").alias("length"))
-        spans = F.when(t["role"] == "assistant", F.concat(state["spans"], F.array(span))).otherwise(state["spans"])
-        return F.struct((state["at"] + t["all"]).alias("at"), spans.alias("spans"))
-
-    mask = F.aggregate("ts", empty, step, lambda s: s["spans"])
+    mask = F.transform(
+        F.filter("ts", lambda t: t["role"] == "assistant"),
+        lambda t: F.struct((t["at"] + t["skip"]).alias("start"), t["size"].alias("length")))
     return chats.select(
         "conv_id", F.size("ts").cast("long").alias("n_turns"), body.alias("formatted"), mask.alias("mask"),
         F.flatten(F.transform("ts", lambda t: t["attachments"])).alias("attachments"))
@@ -90,9 +93,19 @@ def parsed(formatted: Column) -> Column:
 
 
 def under_mask(formatted: Column, mask: Column) -> Column:
-    """The texts under the loss mask, unescaped, one after another."""
-    return F.array_join(F.transform(mask, lambda m: unescape(
-        F.substring(formatted, (m["start"] + 1).cast("int"), m["length"].cast("int")))), "")
+    """The texts under the loss mask, unescaped, one after another.
+
+    The text is cut into pieces of equal length once, and a range is read from the pieces it
+    touches, so that the cost stays linear however many turns there are.
+    """
+    pieces = F.regexp_extract_all(formatted, F.lit(rf"(?s).{{1,{PIECE}}}+"), F.lit(0))
+
+    def read(ps, m):
+        first, last = F.floor(m["start"] / PIECE).cast("int"), F.floor((m["start"] + m["length"]) / PIECE).cast("int")
+        near = F.array_join(F.slice(ps, first + 1, last - first + 1), "")
+        return unescape(F.substring(near, (m["start"] % PIECE + 1).cast("int"), m["length"].cast("int")))
+
+    return let(pieces, lambda ps: F.array_join(F.transform(mask, lambda m: read(ps, m)), ""))
 
 
 def text_parts(text: Column) -> Column:

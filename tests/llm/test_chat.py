@@ -1,5 +1,6 @@
 import hashlib
 import random
+import time
 
 from pyspark.sql import functions as F
 
@@ -54,3 +55,30 @@ def test_typed_parts(spark):
 
 def test_empty_table(spark):
     assert chat.chat_report(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def _long_chat(spark, n):
+    """One conversation of n turns of 3 to 400 code points, and its loss text."""
+    def text(k):
+        return f"t{k} " + "é🙂<|end|>"[k % 5:] * (k % 37)
+
+    turns = [(1, k, ("user", "assistant")[k % 2], text(k)) for k in range(n)]
+    return spark.createDataFrame(turns, "conv_id long, turn long, role string, text string"), "".join(t for _, _, r, t in turns if r == "assistant")
+
+
+def test_cost_is_linear_in_the_turns_of_one_conversation(spark):
+    took = []
+    for n in (5000, 20_000):
+        df, loss = _long_chat(spark, n)
+        start = time.monotonic()
+        r = chat.chat_report(df).collect()[0]
+        took.append(time.monotonic() - start)
+        assert (r["n_turns"], r["loss_chars"], r["loss_sha256"]) == (n, len(loss), sha(loss))
+    assert took[1] < 4 * took[0] + 1
+
+
+def test_mask_over_the_edges_of_pieces(spark):
+    sizes = [0, 1, chat.PIECE - 1, chat.PIECE, chat.PIECE + 1, 3 * chat.PIECE, 0]
+    rows = [(1, k, "assistant", "🙂é"[k % 2] * n) for k, n in enumerate(sizes)]
+    r = chat.chat_report(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()[0]
+    assert r["loss_sha256"] == sha("".join(t for *_, t in rows))
