@@ -6,20 +6,30 @@ import uuid
 
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import HashingTF
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scanframe.functions.cluster import shared_folder
+from scanframe.functions.cluster import own_folder
+from scanframe.functions.rows import let
+from scanframe.llm.common import constant_table
 
 GRAMS = (3, 4, 5)
 SLOTS = 1 << 16
-TRAINING_ROWS = 20_000  # bound of the labelled table the model is fitted to
+TRAINING_ROWS = 20_000  # bound of the labelled rows the model is fitted to
 ALLOW, BLOCK = "allow", "block"
 
 #: (verdict, host and path): the path begins at the first slash.
 RULES = [
     ("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
 
+#: Words of the hosts in the small labelled table: own examples of what a corpus keeps and of what it leaves out.
+GOOD_WORDS = """
+    library archive garden news harbour weather museum recipes physics teaching poetry maps
+    railway chess birds ocean research medicine history village bookshop orchard journal lantern"""
+BAD_WORDS = """
+    cheap pills adult video xxx casino bonus poker lottery singles replica spam
+    free money loans cams porn viagra meds warez crack betting escort winner"""
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -42,14 +52,18 @@ def fitting_rule(host: Column, path: Column, rules: list[tuple[str, str]]) -> tu
 
 
 def _grams(host: Column, path: Column) -> Column:
-    """Character n-grams of host and path, each marked with its part; the ends are marked by a space."""
-    def grams(mark: str, value: Column, n: int) -> Column:
-        padded = F.concat(F.lit(" "), value, F.lit(" "))
-        last = F.length(padded) - n + 1
-        starts = F.when(last >= 1, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
-        return F.transform(starts, lambda i: F.concat(F.lit(mark), F.substring(padded, i, F.lit(n))))
+    """Character n-grams of host and path, each marked with its part; the ends are marked by a space.
+
+    A text is split into its characters once and neighbours are joined: linear in its length.
+    """
+    def grams(mark: str, value: Column) -> Column:
+        def of(chars: Column, n: int) -> Column:
+            starts = F.when(F.size(chars) >= n, F.sequence(F.lit(0), F.size(chars) - n)).otherwise(F.array().cast("array<int>"))
+            return F.transform(starts, lambda i: F.concat(F.lit(mark), *[F.get(chars, i + k) for k in range(n)]))
+
+        return let(F.split(F.concat(F.lit(" "), value, F.lit(" ")), ""), lambda chars: F.concat(*[of(chars, n) for n in GRAMS]))
 
-    return F.concat(*[grams(mark, value, n) for mark, value in (("h", host), ("p", path)) for n in GRAMS])
+    return F.concat(grams("h", host), grams("p", path))
 
 
 def _vectors(rows: DataFrame) -> DataFrame:
@@ -57,30 +71,48 @@ def _vectors(rows: DataFrame) -> DataFrame:
     return HashingTF(numFeatures=SLOTS, binary=True, inputCol="grams", outputCol="features").transform(grams)
 
 
-def train(labelled: DataFrame) -> LogisticRegressionModel | None:
-    """Fit to a labelled URL table (host, path, verdict), of which the TRAINING_ROWS of smallest hash are used.
+def train(labelled: DataFrame, training_rows: int = TRAINING_ROWS) -> LogisticRegressionModel | None:
+    """Fit to a labelled URL table (host, path, verdict), of which the ``training_rows`` of smallest hash are used.
 
     None if the table has not both verdicts.
     """
     rows = labelled.select("host", "path", (F.col("verdict") == BLOCK).cast("double").alias("label")).distinct()
-    rows = rows.orderBy(F.xxhash64(F.lit(5), "host", "path"), "host", "path", "label").limit(TRAINING_ROWS)
+    rows = rows.orderBy(F.xxhash64(F.lit(5), "host", "path"), "host", "path", "label").limit(training_rows)
     if rows.select("label").distinct().count() < 2:
         return None
     fit = LogisticRegression(maxIter=30, regParam=0.001, standardization=False).fit(_vectors(rows).select("features", "label"))
     # written and read again: the fitted object still holds its training session, which tasks cannot be sent
-    folder = f"{shared_folder(labelled.sparkSession).rstrip('/')}/url-model-{uuid.uuid4().hex}"
+    folder = f"{own_folder(labelled.sparkSession)}/url-model-{uuid.uuid4().hex}"
     fit.write().save(folder)
     return LogisticRegressionModel.load(folder)
 
 
-def judge_pages(pages: DataFrame, rules: list[tuple[str, str]] | None = None, labelled: DataFrame | None = None) -> DataFrame:
+def labelled_urls(spark: SparkSession) -> DataFrame:
+    """The small labelled table (url, verdict) of this module: 96 hosts a verdict, each of two of its words.
+
+    Hosts, schemes and paths are formed alike for both verdicts, so that only the words differ.
+    """
+    rows = []
+    for verdict, words in ((ALLOW, GOOD_WORDS.split()), (BLOCK, BAD_WORDS.split())):
+        for i, word in enumerate(words):
+            for step in (1, 5, 7, 11):
+                k = 4 * i + step
+                name = ("www.", "m.", "blog.", "")[k % 4] + word + "-"[:k % 3] + words[(i + step) % len(words)]
+                end = ("example.net", "example.com", "net", "com")[k // 3 % 4]
+                path = ("/", f"/en/{37 * k}", f"/de/{53 * k}.html", f"/fr/{11 * k}", f"/es/{7 * k}/")[k % 5]
+                rows.append({"url": f"{('http', 'https')[k % 2]}://{name}.{end}{path}", "verdict": verdict})
+    return constant_table(spark, rows, "url string, verdict string")
+
+
+def judge_pages(
+        pages: DataFrame, rules: list[tuple[str, str]] | None = None, labelled: DataFrame | None = None,
+        training_rows: int = TRAINING_ROWS) -> DataFrame:
     """Per row: page_id, host, path, rule (that decided, else null), verdict (allow or block).
 
-    Where no rule fits, the model decides. It is trained from ``labelled`` (url, verdict); without
-    such a table from the distinct hosts and paths that the rules themselves decide, so that it
-    carries their judgement on to look-alike addresses. If there are not two verdicts to learn
-    from, the rest gets the only one, or allow. Null URLs and those without ``://`` have empty host
-    and path and are judged like any other; repeated rows each get a row.
+    Where no rule fits, the model decides. It is trained from ``labelled`` (url, verdict), by default
+    the small table ``labelled_urls``. If there are not two verdicts to learn from, the rest gets
+    the only one, or allow. Null URLs and those without ``://`` have empty host and path and are
+    judged like any other; repeated rows each get a row; the cost is linear in a URL's length.
     """
     rules = RULES if rules is None else rules
 
@@ -91,12 +123,10 @@ def judge_pages(pages: DataFrame, rules: list[tuple[str, str]] | None = None, la
         return rows.withColumns({"rule": rule, "ruled": verdict})
 
     rows = judged(pages.select("page_id", "url"))
-    if labelled is None:
-        known = rows.where("ruled is not null").select("host", "path", F.col("ruled").alias("verdict"))
-    else:
-        host, path = host_and_path(F.col("url"))
-        known = labelled.select(host.alias("host"), path.alias("path"), "verdict")
-    model = train(known)
+    host, path = host_and_path(F.col("url"))
+    labelled = labelled_urls(pages.sparkSession) if labelled is None else labelled
+    known = labelled.select(host.alias("host"), path.alias("path"), "verdict")
+    model = train(known, training_rows)
     if model is None:
         only = known.select("verdict").limit(1).collect()
         return rows.select("page_id", "host", "path", "rule", F.coalesce("ruled", F.lit(only[0][0] if only else ALLOW)).alias("verdict"))
