@@ -238,13 +238,18 @@ def _encoder(spark: SparkSession, path: str | None):
 def encode_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
     """All columns of the documents plus ``ids`` (array<int>) and ``decoded`` (the ids read back as text).
 
-    Null text encodes as empty; special token strings inside texts become their tokens;
-    columns named ids or decoded in the input are replaced. Each text is encoded whole, in its
-    own task, without a shuffle.
+    Null text encodes as empty; special token strings inside texts become their tokens. Columns
+    of the input stay as they are: where one has a new column's name (in any case of letters),
+    the new one gets underscores after it until it is unlike all others. Each text is encoded
+    whole, in its own task, without a shuffle.
     """
     make = _encoder(docs.sparkSession, path)
-    kept = docs.drop("ids", "decoded")
-    schema = kept.select("*").schema.add("ids", ArrayType(IntegerType())).add("decoded", "string")
+    taken = {c.lower() for c in docs.columns}
+
+    def free(name: str) -> str:
+        return free(name + "_") if name in taken else name
+
+    schema = docs.select("*").schema.add(free("ids"), ArrayType(IntegerType())).add(free("decoded"), "string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = make()
@@ -256,7 +261,7 @@ def encode_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
                 *batch.columns, pa.ListArray.from_arrays(offsets, pa.array(flat.astype(np.int32))),
                 pa.array([encoder.decode(x) for x in ids], pa.string())], schema.names)
 
-    return kept.mapInArrow(run, schema)
+    return docs.mapInArrow(run, schema)
 
 
 def token_digests(docs: DataFrame, path: str | None = None) -> DataFrame:

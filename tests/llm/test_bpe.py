@@ -60,6 +60,6 @@ def test_digests_columns_and_defined_cases(spark, library):
         want.append((i, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(back.encode()).hexdigest()))
     assert got == sorted(str(r) for r in spark.createDataFrame(want, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string").collect())
     full = bpe.encode_documents(df)
-    assert full.columns == ["doc_id", "text", "n_tokens", "ids", "decoded"]
-    assert all(r["decoded"] == (r["text"] or "") and r["ids"] == library.encode(r["text"] or "", add_special_tokens=False).ids for r in full.collect())
+    assert full.columns == ["doc_id", "text", "ids", "n_tokens", "ids_", "decoded"]
+    assert all(r["ids"] == "own" and r["decoded"] == (r["text"] or "") and r["ids_"] == library.encode(r["text"] or "", add_special_tokens=False).ids for r in full.collect())
     assert bpe.encode_documents(df.limit(0)).count() == 0
