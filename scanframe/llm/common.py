@@ -60,6 +60,27 @@ def replaced(df: DataFrame, **new: Column) -> DataFrame:
     return df.select(*[(new[c] if c in new else F.col("row")[c]).alias(c) for c in names])
 
 
+#: Bits of a sieve: 16 MB, whatever the number of ids.
+SIEVE_BITS = 1 << 27
+_PIECE_BITS = 1 << 15  # what ``bitmap_construct_agg`` holds
+
+
+def sieved(df: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFrame:
+    """``df`` plus ``possible``: false where the keys are surely not among those wanted, true where they may be.
+
+    The keys of ``wanted`` set bits of one table of fixed size, built where they lie and sent to
+    every task (at most 4096 pieces of 4 KB). With many more keys than bits nearly all rows are
+    possible: then the sieve saves nothing, and an exact join of the possible rows is as right as
+    ever. Null keys are possible or not like any other; an empty ``wanted`` makes no row possible.
+    """
+    place = F.xxhash64(F.lit(11), *[F.col(k).cast("string") for k in keys]).bitwiseAND(F.lit(SIEVE_BITS - 1))
+    piece, at = F.shiftright(place, 15).cast("int"), place.bitwiseAND(F.lit(_PIECE_BITS - 1)).cast("int")
+    pieces = wanted.select(piece.alias("_piece"), at.alias("_at")).groupBy("_piece").agg(F.bitmap_construct_agg(F.col("_at").cast("long")).alias("_bits"))
+    byte = F.conv(F.hex(F.substring("_bits", F.shiftright(at, 3) + 1, F.lit(1))), 16, 10).cast("long")
+    hit = F.coalesce(F.bit_get(byte, at.bitwiseAND(F.lit(7))) == 1, F.lit(False))
+    return df.withColumn("_piece", piece).join(F.broadcast(pieces), "_piece", "left").withColumn("possible", hit).drop("_piece", "_bits")
+
+
 def constant_table(spark: SparkSession, rows: list[dict], schema: str) -> DataFrame:
     """A small table from the driver as a literal, without Python on the executors."""
     parsed = F.from_json(F.lit(json.dumps(rows)), f"array<struct<{schema}>>")

@@ -15,7 +15,7 @@ from pyspark.sql.functions import arrow_udf
 from pyspark.sql.types import ArrayType, LongType
 
 from scanframe.functions.cluster import counted, materialize
-from scanframe.llm.common import blocks, components, keyed, once, replaced, small, smallest_reachable
+from scanframe.llm.common import blocks, components, keyed, replaced, sieved, smallest_reachable
 
 BITS = 4  # kept low bits of each minimum
 _LOW = 0x1111111111111111  # lowest bit of each group of four
@@ -248,8 +248,9 @@ def _links(percent: int):
 
 def _sets(wanted: DataFrame, classes: DataFrame, rows: DataFrame, like: Likeness) -> DataFrame:
     """(cid, shingles) of some classes, from the texts of their first documents."""
-    wanted, n = counted(wanted.join(classes.select("cid", "key", "mark"), "cid"))
-    texts = rows.select("key", "mark", F.col("row")["text"].alias("text")).join(small(wanted, n), ["key", "mark"])
+    wanted = materialize(wanted.join(classes.select("cid", "key", "mark"), "cid"))
+    texts = sieved(rows.select("key", "mark", F.col("row")["text"].alias("text")), wanted, ["key", "mark"]).where("possible")
+    texts = texts.select("key", "mark", "text").join(wanted, ["key", "mark"])
     return materialize(texts.select("cid", _set_bytes(like.words)("text").alias("shingles")).dropDuplicates(["cid"]))
 
 
@@ -326,11 +327,13 @@ def keep_one(docs: DataFrame, like: Likeness = Likeness()) -> DataFrame:  # noqa
     """The documents without all but the first (by doc_id, then text hash) of each group of near-duplicates.
 
     Columns stay as they are. Texts without words are linked with nothing and all stay. Rows
-    equal in doc_id and text are one document, of which one row stays.
+    equal in doc_id and text are one document, of which one row stays. Only rows that may be
+    lost or repeated are shuffled, the others are left as they lie.
     """
     rows = keyed(docs)
     found = materialize(near_classes(rows, like))
-    lost, n = counted(found.where(F.struct("key", "mark") != F.col("first")).select("key", "mark").distinct())
-    left = rows.join(small(lost, n), ["key", "mark"], "left_anti")
-    again, m = counted(found.groupBy("key", "mark").count().where("count > 1").select("key", "mark"))
-    return replaced(once(left, again, m))
+    lost = materialize(found.where(F.struct("key", "mark") != F.col("first")).select("key", "mark").distinct())
+    again = found.groupBy("key", "mark").count().where("count > 1").select("key", "mark")
+    marked = sieved(rows, materialize(lost.unionByName(again)), ["key", "mark"])
+    doubtful = marked.where("possible").join(lost, ["key", "mark"], "left_anti").dropDuplicates(["key", "mark"])
+    return replaced(marked.where("not possible").unionByName(doubtful))

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scanframe.functions.cluster import counted, materialize
-from scanframe.llm.common import keyed, small
+from scanframe.llm.common import blocks, keyed, sieved
 
 SLOTS = 1 << 20  # of each of two tables of hashed tokens; the model's size does not depend on the data
 PRIOR = 0.1  # weight of the Dirichlet prior against the counts
@@ -51,6 +51,32 @@ def slots(word: bytes) -> list[tuple[int, int]]:
     return [_slots_of(word), *[_slots_of(b"%d|%s" % (n, word[:n])) for n in PREFIXES if len(word) >= n]]
 
 
+class Slots(dict):
+    """Word to the places of its tokens, remembered for the words of a task."""
+
+    def __missing__(self, word: bytes) -> list[int]:
+        self[word] = found = [k for pair in slots(word) for k in pair]
+        return found
+
+    def of(self, text: str | None) -> np.ndarray:
+        """Distinct places of a text's tokens, ascending."""
+        if len(self) > KEPT_WORDS:
+            self.clear()
+        found = [k for w in set(words_of(text)) for k in self[w]]
+        return np.unique(np.array(found, np.uint32))
+
+
+def packed(places: np.ndarray) -> bytes:
+    """Ascending numbers as the bytes of their differences, all lowest bytes first: the others are mostly zero and compress well."""
+    return np.diff(places, prepend=np.uint32(0)).astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def unpacked(data) -> np.ndarray:
+    """The inverse of ``packed``."""
+    parts = np.frombuffer(data, np.uint8).reshape(4, -1).T
+    return np.cumsum(np.ascontiguousarray(parts).view("<u4").ravel(), dtype=np.uint32)
+
+
 class Scores(dict):
     """Word to score: the strongest evidence among its tokens, for toxicity if there is any, else against.
 
@@ -176,13 +202,21 @@ def extreme_values(scores: np.ndarray, ordinary: np.ndarray, total: float) -> tu
     return high, float(np.clip((p * s).sum() ** 2 / max(drift, 1e-9), 1e-6, 1.0))
 
 
+def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, text) to (doc_id, places): the packed places of a text's tokens, a fraction of its bytes."""
+    known = Slots()
+    for batch in blocks(batches, lambda b: b.column("text")):
+        places = [packed(known.of(t)) for t in batch.column("text").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(places, pa.binary())], ["doc_id", "places"])
+
+
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(text, toxic, fold) to numbers of texts (slot, label, fold, n), summed over a task before they are sent."""
+    """(places, toxic, fold) to numbers of texts (slot, label, fold, n), summed over a task before they are sent."""
     held: dict[tuple[int, int], np.ndarray] = {}
     for batch in batches:
-        for text, label, fold in zip(*(batch.column(c).to_pylist() for c in ("text", "toxic", "fold")), strict=True):
+        for places, label, fold in zip(batch.column("places"), *(batch.column(c).to_pylist() for c in ("toxic", "fold")), strict=True):
             into = held.setdefault((label, fold), np.zeros(2 * SLOTS, np.int32))
-            into[list({k for w in set(words_of(text)) for pair in slots(w) for k in pair})] += 1
+            into[unpacked(places.as_buffer())] += 1
     for (label, fold), n in held.items():
         at = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([
@@ -212,24 +246,31 @@ def is_held_out(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2
 
 
-def train(docs: DataFrame, labels: DataFrame) -> Model:
+def train(docs: DataFrame, labels: DataFrame, calibration_rows: int = CALIBRATION_ROWS) -> Model:
     """Fit on the labelled documents outside the held-out quarter.
 
     Token counts come from all of them and are summed in the tasks first; the log-odds are
     computed where the sums are, and the driver gets the slots with evidence only, at most
-    2 SLOTS. The calibration is fitted to about CALIBRATION_ROWS labelled documents (all if
+    2 SLOTS. The calibration is fitted to about ``calibration_rows`` labelled documents (all if
     there are fewer, else those of smallest hash of doc_id), each scored by the counts of the
     other half, so that it does not see its own text. Without any labelled row every score is a
-    constant. A document with contradicting labels counts as toxic. Texts are not shuffled as
-    long as the labelled ids are few enough to be sent to every task.
+    constant. A document with contradicting labels counts as toxic; rows that repeat a labelled
+    doc_id all count, and one of them is in the sample.
+
+    Texts are never shuffled, however many ids are labelled: a sieve of fixed size leaves out
+    what is surely unlabelled, the others send the packed places of their distinct tokens to
+    their labels, and the sample's ids, whose number is bounded, go to the texts.
     """
     spark = docs.sparkSession
     known = labels.select("doc_id", "toxic").where("toxic in (0, 1) and doc_id is not null").where(~is_held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    known, n_known = counted(known.withColumn("fold", F.xxhash64("doc_id").bitwiseAND(F.lit(1)).cast("int")))
-    texts = docs.select("doc_id", "text").join(small(known, n_known), "doc_id")
-    rows, n_rows = counted(texts.select("text", "toxic", "fold", F.shiftrightunsigned(F.xxhash64(F.lit(9), "doc_id"), 2).alias("place")))
-    sums = rows.select("text", "toxic", "fold").mapInArrow(_counts, "slot int, label int, fold int, n long")
+    known = known.withColumn("doc_id", F.col("doc_id").cast(docs.schema["doc_id"].dataType)).withColumns({
+        "fold": F.xxhash64("doc_id").bitwiseAND(F.lit(1)).cast("int"), "place": F.shiftrightunsigned(F.xxhash64(F.lit(9), "doc_id"), 2)})
+    known, n_known = counted(known)
+    texts = docs.select("doc_id", "text").where(F.col("doc_id").isNotNull()).where(~is_held_out(F.col("doc_id")))
+    sent = sieved(texts, known, ["doc_id"]).where("possible").select("doc_id", "text")
+    sent = sent.mapInArrow(_places, sent.select("doc_id").schema.add("places", "binary"))
+    sums = sent.join(known, "doc_id").select("places", "toxic", "fold").mapInArrow(_counts, "slot int, label int, fold int, n long")
 
     def part(label, *folds):
         return F.sum(F.when((F.col("label") == label) & F.col("fold").isin(*folds), F.col("n")).otherwise(0)).cast("double")
@@ -254,17 +295,21 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = [Scores(by_slot) for by_slot, _, _ in held.value]
-        for batch in batches:
+        for batch in blocks(batches, lambda b: b.column("text")):
             x = [
                 features(known[f].of(t), *held.value[f][1:])
                 for t, f in zip(batch.column("text").to_pylist(), batch.column("fold").to_pylist(), strict=True)]
             x = np.array(x).reshape(-1, _FEATURES)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("toxic"), *[pa.array(x[:, k]) for k in range(_FEATURES)]], ["toxic", "x0", "x1", "x2"])
-
-    share = int(min(1.0, CALIBRATION_ROWS / max(n_rows, 1)) * (1 << 62))
-    sample = rows.where(F.col("place") <= share).select("text", "fold", "toxic")
-    got = sample.mapInArrow(measured, "toxic int, x0 double, x1 double, x2 double").toArrow()
+                [batch.column("doc_id"), batch.column("toxic"), *[pa.array(x[:, k]) for k in range(_FEATURES)]],
+                ["doc_id", "toxic", "x0", "x1", "x2"])
+
+    share = int(min(1.0, calibration_rows / max(n_known, 1)) * (1 << 62))
+    sample = known.where(F.col("place") <= share).select("doc_id", "fold", "toxic")
+    sample = texts.join(F.broadcast(sample), "doc_id").select("doc_id", "text", "fold", "toxic")
+    schema = sample.select("doc_id").schema.add("toxic", "integer").add("x0", "double").add("x1", "double").add("x2", "double")
+    got = sample.mapInArrow(measured, schema).groupBy("doc_id").agg(F.min(F.struct("toxic", "x0", "x1", "x2")).alias("x"))
+    got = got.orderBy("doc_id").select("x.*").toArrow()
     x = np.column_stack([got.column(f"x{k}").to_numpy() for k in range(_FEATURES)])
     weights = _fitted(x, got.column("toxic").to_numpy().astype(float))
     return Model(*models["b"], weights)
@@ -284,7 +329,7 @@ def _scored(rows: DataFrame, model: Model, texts_of) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scores = Scores(held.value.scores)
-        for batch in batches:
+        for batch in blocks(batches, texts_of):
             out = [score_of(t, held.value, scores) for t in texts_of(batch).to_pylist()]
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], pa.array(out, pa.float64())], schema.names)
 

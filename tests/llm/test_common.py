@@ -1,5 +1,9 @@
 import random
 
+import pytest
+from pyspark.sql import functions as F
+
+from scanframe.llm import common
 from scanframe.llm.common import components
 
 
@@ -38,3 +42,16 @@ def test_chain_star_and_many_small_leaves_of_a_large_hub(spark):
 
 def test_no_links(spark):
     assert _found(spark, []) == {}
+
+
+@pytest.mark.parametrize("bits", [1 << 15, 1 << 27])
+def test_sieve_loses_nothing_and_leaves_out_much(spark, monkeypatch, bits):
+    monkeypatch.setattr(common, "SIEVE_BITS", bits)
+    rows = spark.range(-20_000, 20_000).withColumn("mark", F.xxhash64("id")).unionByName(spark.sql("SELECT CAST(NULL AS bigint) id, 5L mark"))
+    wanted = rows.where("id % 10 = 3 OR id IS NULL").select("id", "mark")
+    got = common.sieved(rows, wanted, ["id", "mark"])
+    assert got.columns == ["id", "mark", "possible"] and got.count() == 40_001
+    assert got.where("possible AND id % 10 = 3").count() == wanted.where("id IS NOT NULL").count()
+    extra = got.where("possible AND NOT id % 10 <=> 3 AND id IS NOT NULL").count()
+    assert extra < (40 if bits > 1 << 20 else 6000)
+    assert common.sieved(rows, wanted.limit(0), ["id", "mark"]).where("possible").count() == 0

@@ -1,11 +1,14 @@
+import math
 import os
 import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from scanframe.llm import common
 from scanframe.llm import toxicity as tx
 
 
@@ -104,3 +107,52 @@ def test_accuracy_on_the_held_out_quarter(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     got = tx.toxicity_report(docs, labels).where("held_out").join(labels, "doc_id").collect()
     assert sum(r["predicted"] == r["toxic"] for r in got) >= 0.95 * len(got)
+
+
+def test_packed_places_come_back():
+    rng = np.random.default_rng(1)
+    for n in (0, 1, 2, 5000):
+        places = np.unique(rng.integers(0, 2 * tx.SLOTS, n).astype(np.uint32))
+        assert (tx.unpacked(pa.py_buffer(tx.packed(places))) == places).all()
+    seen = tx.Slots()
+    assert seen.of(None).size == 0
+    assert seen.of("Vile vile, scum").tolist() == sorted({k for w in (b"vile", b"scum") for pair in tx.slots(w) for k in pair})
+
+
+def test_same_model_with_joins_that_shuffle_and_a_full_sieve(spark, monkeypatch):
+    docs, labels, _ = _tables(spark, 400)
+    want = tx.train(docs, labels)
+    monkeypatch.setattr(common, "SIEVE_BITS", 1 << 15)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = tx.train(docs, labels)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert (got.scores == want.scores).all() and (got.decay, got.factor) == (want.decay, want.factor)
+    assert np.allclose(got.weights, want.weights)
+
+
+def test_scores_recomputed_row_by_row(spark):
+    """Counts, log-odds and scores by plain loops over the same tables."""
+    docs, labels, rows = _tables(spark, 300)
+    model = tx.train(docs, labels)
+    known = {}
+    for i, _, toxic in labels.collect():
+        if i is not None and toxic is not None and zlib.crc32(str(i).encode()) % 4 != 2:
+            known[i] = max(known.get(i, 0), toxic)
+    counts = {}
+    for i, text, *_ in rows:
+        if i in known:
+            for k in {k for w in tx.words_of(text) for pair in tx.slots(w) for k in pair}:
+                counts.setdefault(k, [0, 0])[known[i]] += 1
+    totals = [sum(c[label] for k, c in counts.items() if k < tx.SLOTS) for label in (0, 1)]
+    for k, (plain, toxic) in counts.items():
+        prior = tx.PRIOR * (toxic + plain)
+        a, b = toxic + prior, plain + prior
+        d = math.log(a / (totals[1] + tx.PRIOR * sum(totals))) - math.log(b / (totals[0] + tx.PRIOR * sum(totals)))
+        strong = abs(d) >= max(tx.LEAST_DEVIATION * math.sqrt(1 / a + 1 / b), tx.LEAST_ODDS)
+        assert model.scores[k] == pytest.approx(min(max(d, -6), 6) if strong else 0, abs=1e-5)
+    assert np.count_nonzero(model.scores) <= len(counts)
+    for r in tx.toxicity_report(docs, labels).collect():
+        text = next(t for i, t, *_ in rows if i == r["doc_id"])
+        assert r["score"] == pytest.approx(tx.score_of(text, model, tx.Scores(model.scores)), abs=1e-9)
