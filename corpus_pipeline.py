@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scanframe.functions.cluster import shared_folder
+from scanframe.functions.cluster import own_folder
 from scanframe.llm import bpe, line_dedup, minhash, mixing, toxicity
 from scanframe.llm.common import table
 
@@ -45,7 +45,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply all stages to the documents of a folder; each result is written to the shared folder and read again."""
-    folder = f"{shared_folder(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    folder = f"{own_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
