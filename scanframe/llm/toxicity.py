@@ -270,14 +270,16 @@ def train(docs: DataFrame, labels: DataFrame, calibration_rows: int = CALIBRATIO
     texts = docs.select("doc_id", "text").where(F.col("doc_id").isNotNull()).where(~is_held_out(F.col("doc_id")))
     sent = sieved(texts, known, ["doc_id"]).where("possible").select("doc_id", "text")
     sent = sent.mapInArrow(_places, sent.select("doc_id").schema.add("places", "binary"))
-    sums = sent.join(known, "doc_id").select("places", "toxic", "fold").mapInArrow(_counts, "slot int, label int, fold int, n long")
+    # written, so that the counting tasks are cut by bytes: each sends a sum per token it has seen
+    labelled = materialize(sent.join(known, "doc_id").select("places", "toxic", "fold"))
+    sums = labelled.mapInArrow(_counts, "slot int, label int, fold int, n long")
 
-    def part(label, *folds):
-        return F.sum(F.when((F.col("label") == label) & F.col("fold").isin(*folds), F.col("n")).otherwise(0)).cast("double")
+    def part(label, fold):
+        return F.sum(F.when((F.col("label") == label) & (F.col("fold") == fold), F.col("n")).otherwise(0)).cast("double")
 
-    kinds = {"0": (0,), "1": (1,), "b": (0, 1)}  # each half, both
-    counts = materialize(sums.groupBy("slot").agg(
-        *[part(label, *folds).alias(f"{name}{k}") for k, folds in kinds.items() for name, label in (("t", 1), ("p", 0))]))
+    kinds = "01b"  # each half, both
+    halves = sums.groupBy("slot").agg(*[part(label, int(k)).alias(f"{name}{k}") for k in "01" for name, label in (("t", 1), ("p", 0))])
+    counts = materialize(halves.selectExpr("*", "t0 + t1 AS tb", "p0 + p1 AS pb"))
     names = [f"{name}{k}" for k in kinds for name in "tp"]
     totals = counts.where(F.col("slot") < SLOTS).agg(*[F.coalesce(F.sum(c), F.lit(0.0)).alias(c) for c in names]).first()
     odds = {k: log_odds(F.col(f"t{k}"), F.col(f"p{k}"), F.lit(totals[f"t{k}"]), F.lit(totals[f"p{k}"])).alias(f"d{k}") for k in kinds}
