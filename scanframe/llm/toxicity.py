@@ -16,6 +16,7 @@ from scanframe.functions.cluster import counted, materialize
 from scanframe.llm.common import blocks, keyed, sieved
 
 SLOTS = 1 << 20  # of each of two tables of hashed tokens; the model's size does not depend on the data
+BLOCK = 1 << 12  # slots whose counts make one row
 PRIOR = 0.1  # weight of the Dirichlet prior against the counts
 DRIFT = 0.02  # taken off every token's score, so that segments end where the evidence does
 LEAST_DEVIATION = 3.0  # log-odds nearer to zero than so many standard errors count as zero
@@ -210,18 +211,44 @@ def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(places, pa.binary())], ["doc_id", "places"])
 
 
+def planes(numbers: np.ndarray) -> bytes:
+    """Numbers below 2**32 as all lowest bytes, then all second ones and so on; planes of zeros at the end are left out."""
+    parts = np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T)
+    return parts[: 4 - int(np.argmax(np.append(parts.any(axis=1)[::-1], True)))].tobytes()
+
+
+def from_planes(data, size: int) -> np.ndarray:
+    """The inverse of ``planes`` for so many numbers."""
+    parts = np.frombuffer(data, np.uint8).reshape(-1, size)
+    return sum((part.astype(np.int64) << 8 * k for k, part in enumerate(parts)), np.zeros(size, np.int64))
+
+
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(places, toxic, fold) to numbers of texts (slot, label, fold, n), summed over a task before they are sent."""
-    held: dict[tuple[int, int], np.ndarray] = {}
+    """(places, toxic, fold) to numbers of texts, summed over a task: a row (block, kind, n) has those of BLOCK places."""
+    held: dict[int, np.ndarray] = {}
     for batch in batches:
         for places, label, fold in zip(batch.column("places"), *(batch.column(c).to_pylist() for c in ("toxic", "fold")), strict=True):
-            into = held.setdefault((label, fold), np.zeros(2 * SLOTS, np.int32))
+            into = held.setdefault(2 * fold + label, np.zeros(2 * SLOTS, np.uint32))
             into[unpacked(places.as_buffer())] += 1
-    for (label, fold), n in held.items():
-        at = np.flatnonzero(n)
-        yield pa.RecordBatch.from_arrays([
-            pa.array(at, pa.int32()), pa.array(np.full(len(at), label), pa.int32()),
-            pa.array(np.full(len(at), fold), pa.int32()), pa.array(n[at].astype(np.int64))], ["slot", "label", "fold", "n"])
+    for kind, n in held.items():
+        rows = n.reshape(-1, BLOCK)
+        at = np.flatnonzero(rows.any(axis=1))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(at, pa.int32()), pa.array(np.full(len(at), kind), pa.int32()), pa.array([planes(rows[k]) for k in at], pa.binary())],
+            ["block", "kind", "n"])
+
+
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of ``_counts`` to (slot, p0, t0, p1, t1); holds one sum a block, however many tasks sent one."""
+    held: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for block, kind, n in zip(*(batch.column(c).to_pylist() for c in ("block", "kind")), batch.column("n"), strict=True):
+            held.setdefault(block, np.zeros((4, BLOCK), np.int64))[kind] += from_planes(n.as_buffer(), BLOCK)
+    for block, n in held.items():
+        at = np.flatnonzero(n.any(axis=0))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(at + block * BLOCK, pa.int32()), *[pa.array(row[at], pa.float64()) for row in n.astype(np.float64)]],
+            ["slot", "p0", "t0", "p1", "t1"])
 
 
 def _fitted(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -259,7 +286,8 @@ def train(docs: DataFrame, labels: DataFrame, calibration_rows: int = CALIBRATIO
 
     Texts are never shuffled, however many ids are labelled: a sieve of fixed size leaves out
     what is surely unlabelled, the others send the packed places of their distinct tokens to
-    their labels, and the sample's ids, whose number is bounded, go to the texts.
+    their labels, and the sample's ids, whose number is bounded, go to the texts. A task sends its
+    counts packed, blocks of slots at a time, and the sums of a block are taken in one pass over them.
     """
     spark = docs.sparkSession
     known = labels.select("doc_id", "toxic").where("toxic in (0, 1) and doc_id is not null").where(~is_held_out(F.col("doc_id")))
@@ -270,15 +298,10 @@ def train(docs: DataFrame, labels: DataFrame, calibration_rows: int = CALIBRATIO
     texts = docs.select("doc_id", "text").where(F.col("doc_id").isNotNull()).where(~is_held_out(F.col("doc_id")))
     sent = sieved(texts, known, ["doc_id"]).where("possible").select("doc_id", "text")
     sent = sent.mapInArrow(_places, sent.select("doc_id").schema.add("places", "binary"))
-    # written, so that the counting tasks are cut by bytes: each sends a sum per token it has seen
-    labelled = materialize(sent.join(known, "doc_id").select("places", "toxic", "fold"))
-    sums = labelled.mapInArrow(_counts, "slot int, label int, fold int, n long")
-
-    def part(label, fold):
-        return F.sum(F.when((F.col("label") == label) & (F.col("fold") == fold), F.col("n")).otherwise(0)).cast("double")
-
+    labelled = sent.join(known, "doc_id").select("places", "toxic", "fold")
+    sums = labelled.mapInArrow(_counts, "block int, kind int, n binary").repartition("block")
+    halves = sums.mapInArrow(_summed, "slot int, p0 double, t0 double, p1 double, t1 double")
     kinds = "01b"  # each half, both
-    halves = sums.groupBy("slot").agg(*[part(label, int(k)).alias(f"{name}{k}") for k in "01" for name, label in (("t", 1), ("p", 0))])
     counts = materialize(halves.selectExpr("*", "t0 + t1 AS tb", "p0 + p1 AS pb"))
     names = [f"{name}{k}" for k in kinds for name in "tp"]
     totals = counts.where(F.col("slot") < SLOTS).agg(*[F.coalesce(F.sum(c), F.lit(0.0)).alias(c) for c in names]).first()

@@ -119,6 +119,25 @@ def test_packed_places_come_back():
     assert seen.of("Vile vile, scum").tolist() == sorted({k for w in (b"vile", b"scum") for pair in tx.slots(w) for k in pair})
 
 
+def test_planes_and_sums_of_blocks():
+    rng = np.random.default_rng(2)
+    for top in (1, 2, 256, 70_000, 1 << 32):
+        n = rng.integers(0, top, 512)
+        assert (tx.from_planes(tx.planes(n), 512) == n).all()
+    assert tx.planes(np.zeros(512)) == b"" and len(tx.planes(np.full(512, 300))) == 1024
+    texts = [(np.unique(rng.integers(0, 2 * tx.SLOTS, 300).astype(np.uint32)), k % 2, k // 2 % 2) for k in range(40)]
+    want = {}
+    for places, label, fold in texts:
+        for slot in places.tolist():
+            want.setdefault(slot, [0, 0, 0, 0])[2 * fold + label] += 1
+    sent = []
+    for task in (texts[:25], texts[25:]):
+        columns = [pa.array([tx.packed(p) for p, _, _ in task]), pa.array([t for _, t, _ in task]), pa.array([f for _, _, f in task])]
+        sent += tx._counts(iter([pa.RecordBatch.from_arrays(columns, ["places", "toxic", "fold"])]))
+    got = {r["slot"]: [r[c] for c in ("p0", "t0", "p1", "t1")] for b in tx._summed(iter(sent)) for r in b.to_pylist()}
+    assert got == want
+
+
 def test_same_model_with_joins_that_shuffle_and_a_full_sieve(spark, monkeypatch):
     docs, labels, _ = _tables(spark, 400)
     want = tx.train(docs, labels)
