@@ -9,6 +9,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -67,15 +68,25 @@ class Slots(dict):
         return np.unique(np.array(found, np.uint32))
 
 
+def planes(numbers: np.ndarray) -> bytes:
+    """Numbers below 2**32, compressed: all lowest bytes, then all second ones and so on, as the higher ones are mostly zero."""
+    return zstandard.compress(np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes())
+
+
+def from_planes(data) -> np.ndarray:
+    """The inverse of ``planes``."""
+    parts = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(4, -1).T
+    return np.ascontiguousarray(parts).view("<u4").ravel()
+
+
 def packed(places: np.ndarray) -> bytes:
-    """Ascending numbers as the bytes of their differences, all lowest bytes first: the others are mostly zero and compress well."""
-    return np.diff(places, prepend=np.uint32(0)).astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+    """Ascending numbers by their differences."""
+    return planes(np.diff(places, prepend=np.uint32(0)))
 
 
 def unpacked(data) -> np.ndarray:
     """The inverse of ``packed``."""
-    parts = np.frombuffer(data, np.uint8).reshape(4, -1).T
-    return np.cumsum(np.ascontiguousarray(parts).view("<u4").ravel(), dtype=np.uint32)
+    return np.cumsum(from_planes(data), dtype=np.uint32)
 
 
 class Scores(dict):
@@ -211,18 +222,6 @@ def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(places, pa.binary())], ["doc_id", "places"])
 
 
-def planes(numbers: np.ndarray) -> bytes:
-    """Numbers below 2**32 as all lowest bytes, then all second ones and so on; planes of zeros at the end are left out."""
-    parts = np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T)
-    return parts[: 4 - int(np.argmax(np.append(parts.any(axis=1)[::-1], True)))].tobytes()
-
-
-def from_planes(data, size: int) -> np.ndarray:
-    """The inverse of ``planes`` for so many numbers."""
-    parts = np.frombuffer(data, np.uint8).reshape(-1, size)
-    return sum((part.astype(np.int64) << 8 * k for k, part in enumerate(parts)), np.zeros(size, np.int64))
-
-
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(places, toxic, fold) to numbers of texts, summed over a task: a row (block, kind, n) has those of BLOCK places."""
     held: dict[int, np.ndarray] = {}
@@ -243,7 +242,7 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: dict[int, np.ndarray] = {}
     for batch in batches:
         for block, kind, n in zip(*(batch.column(c).to_pylist() for c in ("block", "kind")), batch.column("n"), strict=True):
-            held.setdefault(block, np.zeros((4, BLOCK), np.int64))[kind] += from_planes(n.as_buffer(), BLOCK)
+            held.setdefault(block, np.zeros((4, BLOCK), np.int64))[kind] += from_planes(n.as_buffer())
     for block, n in held.items():
         at = np.flatnonzero(n.any(axis=0))
         yield pa.RecordBatch.from_arrays(
