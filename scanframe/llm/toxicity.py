@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -22,12 +23,15 @@ PRIOR = 0.1  # weight of the Dirichlet prior against the counts
 DRIFT = 0.02  # taken off every token's score, so that segments end where the evidence does
 LEAST_DEVIATION = 3.0  # log-odds nearer to zero than so many standard errors count as zero
 LEAST_ODDS = 2.0  # and those nearer than this
+LEAST_STRENGTH = 3.0  # root of twice the log-likelihood ratio from which a token counts as weak evidence for toxicity
+LEAST_TEXTS = 2  # toxic texts that such a token was seen in
+LEAST_WEIGHT = 0.25  # of weak evidence in the calibration: more of it never lowers a score
 PREFIXES = (4, 5)  # bytes of the word beginnings that are tokens too, for languages that inflect
-KEPT_WORDS = 300_000  # words whose scores a task remembers before it starts afresh
+KEPT_WORDS = 200_000  # words whose scores a task remembers before it starts afresh
 SIGNIFICANT = 0.05  # largest expected number of equally good segments in ordinary text
 CALIBRATION_ROWS = 50_000  # size of the labelled sample to which the calibration is fitted
 THRESHOLD = 0.3
-_FEATURES = 3
+_FEATURES = 4
 
 
 @dataclass(frozen=True)
@@ -36,6 +40,7 @@ class Model:
     decay: float  # lambda of the extreme-value law of segment scores in ordinary text
     factor: float  # its K
     weights: np.ndarray  # calibration: constant and one weight per feature
+    strengths: np.ndarray | None = None  # by slot: weak evidence for toxicity
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -54,18 +59,17 @@ def slots(word: bytes) -> list[tuple[int, int]]:
 
 
 class Slots(dict):
-    """Word to the places of its tokens, remembered for the words of a task."""
+    """Word to the places of its tokens as bytes, a sixth of a list's memory, remembered for the words of a task."""
 
-    def __missing__(self, word: bytes) -> list[int]:
-        self[word] = found = [k for pair in slots(word) for k in pair]
+    def __missing__(self, word: bytes) -> bytes:
+        self[word] = found = array("I", [k for pair in slots(word) for k in pair]).tobytes()
         return found
 
     def of(self, text: str | None) -> np.ndarray:
         """Distinct places of a text's tokens, ascending."""
         if len(self) > KEPT_WORDS:
             self.clear()
-        found = [k for w in set(words_of(text)) for k in self[w]]
-        return np.unique(np.array(found, np.uint32))
+        return np.unique(np.frombuffer(b"".join([self[w] for w in set(words_of(text))]), np.uint32))
 
 
 def planes(numbers: np.ndarray) -> bytes:
@@ -93,25 +97,48 @@ class Scores(dict):
     """Word to score: the strongest evidence among its tokens, for toxicity if there is any, else against.
 
     A token has the weaker of its two tables' scores, so that a collision in one of them does
-    not give an ordinary word the score of another.
+    not give an ordinary word the score of another. ``strong`` has the words with weak evidence for
+    toxicity, the strongest of their tokens.
     """
 
     def __init__(self, by_slot: np.ndarray):
         super().__init__()
         self.by_slot = by_slot
+        self.by_strength = None
+        self.strong: dict[bytes, float] = {}
+
+    def clear(self) -> None:
+        super().clear()
+        self.strong.clear()
 
     def __missing__(self, word: bytes) -> float:
-        both = [(float(self.by_slot[i]), float(self.by_slot[j])) for i, j in slots(word)]
+        at = slots(word)
+        if self.by_strength is not None:
+            strength = max(min(float(self.by_strength[i]), float(self.by_strength[j])) for i, j in at)
+            if strength > 0:
+                self.strong[word] = strength
+        both = [(float(self.by_slot[i]), float(self.by_slot[j])) for i, j in at]
         s = [0.0 if a * b <= 0 else min(a, b, key=abs) for a, b in both]
         self[word] = best = (max(s) if max(s) > 0 else min(s)) - DRIFT
         return best
 
     def of(self, text: str | None) -> np.ndarray:
-        words = words_of(text)
+        return self._of(words_of(text))
+
+    def _of(self, words: list[bytes]) -> np.ndarray:
         if len(self) > KEPT_WORDS:
             self.clear()
         return np.fromiter(map(self.__getitem__, words), np.float64, len(words))
 
+    def with_strength(self, text: str | None, by_strength: np.ndarray | None) -> tuple[np.ndarray, float]:
+        """``of`` and the sum of strengths over the distinct words of a text."""
+        if by_strength is not self.by_strength:
+            self.clear()
+            self.by_strength = by_strength
+        words = words_of(text)
+        scores = self._of(words)
+        return scores, math.fsum(self.strong[w] for w in self.strong.keys() & words)
+
 
 def maximal_segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
     """All maximal scoring segments (begin, end, score) of a sequence, in linear time.
@@ -156,7 +183,7 @@ def features(scores: np.ndarray, decay: float, factor: float) -> np.ndarray:
     """
     n = len(scores)
     if not n:
-        return np.zeros(_FEATURES)
+        return np.zeros(3)
     segments = maximal_segments(scores)
     if not segments:
         return np.array([-1.0, 0.0, 0.0])
@@ -165,6 +192,15 @@ def features(scores: np.ndarray, decay: float, factor: float) -> np.ndarray:
     return np.array([max(normal.max(), -5.0) / 5, math.log1p(good.sum() if len(good) else 0.0), math.log1p(len(good))])
 
 
+def measures(text: str | None, scores: Scores, decay: float, factor: float, by_strength: np.ndarray | None) -> np.ndarray:
+    """``features`` of a text and the logarithm of one plus the strength of its weak evidence.
+
+    Segments need tokens that are sure to differ; where labels are few no token is, and the weak evidence alone ranks texts.
+    """
+    found, strength = scores.with_strength(text, by_strength)
+    return np.append(features(found, decay, factor), math.log1p(strength))
+
+
 def passages(text: str | None, model: Model, scores: Scores) -> list[tuple[int, int, float]]:
     """Every significant toxic passage: first word, word after the last, expected number in ordinary text."""
     s = scores.of(text)
@@ -190,6 +226,19 @@ def log_odds(toxic: Column, plain: Column, n_toxic: Column, n_plain: Column) ->
     return F.when(strong, F.greatest(F.least(d, F.lit(6.0)), F.lit(-6.0))).otherwise(0.0)
 
 
+def strength(toxic: Column, plain: Column, n_toxic: Column, n_plain: Column) -> Column:
+    """Weak evidence of a slot for toxicity: the signed root of the log-likelihood ratio above LEAST_STRENGTH, else 0.
+
+    It compares the share of toxic texts among those that hold a token with their share in all counts; unlike the error
+    of ``log_odds`` it is sound for tokens that ordinary texts never hold, at any number of texts.
+    """
+    share, n = F.try_divide(n_toxic, n_toxic + n_plain), toxic + plain
+    ratio = lambda seen, expected: F.when(seen > 0, seen * F.ln(F.try_divide(seen, expected))).otherwise(0.0)
+    root = F.sqrt(F.greatest(2 * (ratio(toxic, n * share) + ratio(plain, n * (1 - share))), F.lit(0.0)))
+    counts = (n_toxic > 0) & (n_plain > 0) & (toxic >= LEAST_TEXTS) & (toxic > n * share)
+    return F.when(counts & (root > LEAST_STRENGTH), root - LEAST_STRENGTH).otherwise(0.0)
+
+
 def extreme_values(scores: np.ndarray, ordinary: np.ndarray, total: float) -> tuple[float, float]:
     """Lambda and K of segment scores in ordinary text.
 
@@ -305,42 +354,48 @@ def train(docs: DataFrame, labels: DataFrame, calibration_rows: int = CALIBRATIO
     names = [f"{name}{k}" for k in kinds for name in "tp"]
     totals = counts.where(F.col("slot") < SLOTS).agg(*[F.coalesce(F.sum(c), F.lit(0.0)).alias(c) for c in names]).first()
     odds = {k: log_odds(F.col(f"t{k}"), F.col(f"p{k}"), F.lit(totals[f"t{k}"]), F.lit(totals[f"p{k}"])).alias(f"d{k}") for k in kinds}
-    found = counts.select("slot", *[f"p{k}" for k in kinds], *odds.values())
-    found = found.where(" or ".join(f"d{k} <> 0" for k in kinds)).toArrow()
+    weak = {k: strength(F.col(f"t{k}"), F.col(f"p{k}"), F.lit(totals[f"t{k}"]), F.lit(totals[f"p{k}"])).cast("float").alias(f"s{k}") for k in kinds}
+    found = counts.select("slot", *[f"p{k}" for k in kinds], *odds.values(), *weak.values())
+    found = found.where(" or ".join(f"d{k} <> 0 or s{k} > 0" for k in kinds)).toArrow()
     slot = found.column("slot").to_numpy()
     models = {}
     for k in kinds:
         evidence, plain = found.column(f"d{k}").to_numpy(), found.column(f"p{k}").to_numpy()
         scores = np.zeros(2 * SLOTS, np.float32)
         scores[slot] = evidence
+        strengths = np.zeros(2 * SLOTS, np.float32)
+        strengths[slot] = found.column(f"s{k}").to_numpy()
         first = (slot < SLOTS) & (evidence != 0)
-        models[k] = (scores, *extreme_values(evidence[first], plain[first], totals[f"p{k}"]))
+        models[k] = (scores, *extreme_values(evidence[first], plain[first], totals[f"p{k}"]), strengths)
     held = spark.sparkContext.broadcast([models["1"], models["0"]])  # for a document's half, what the other half says
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = [Scores(by_slot) for by_slot, _, _ in held.value]
+        known = [Scores(by_slot) for by_slot, *_ in held.value]
         for batch in blocks(batches, lambda b: b.column("text")):
             x = [
-                features(known[f].of(t), *held.value[f][1:])
+                measures(t, known[f], *held.value[f][1:])
                 for t, f in zip(batch.column("text").to_pylist(), batch.column("fold").to_pylist(), strict=True)]
             x = np.array(x).reshape(-1, _FEATURES)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("toxic"), *[pa.array(x[:, k]) for k in range(_FEATURES)]],
-                ["doc_id", "toxic", "x0", "x1", "x2"])
+                schema.names)
 
     share = int(min(1.0, calibration_rows / max(n_known, 1)) * (1 << 62))
     sample = known.where(F.col("place") <= share).select("doc_id", "fold", "toxic")
     sample = texts.join(F.broadcast(sample), "doc_id").select("doc_id", "text", "fold", "toxic")
-    schema = sample.select("doc_id").schema.add("toxic", "integer").add("x0", "double").add("x1", "double").add("x2", "double")
-    got = sample.mapInArrow(measured, schema).groupBy("doc_id").agg(F.min(F.struct("toxic", "x0", "x1", "x2")).alias("x"))
+    schema = sample.select("doc_id").schema.add("toxic", "integer")
+    for k in range(_FEATURES):
+        schema = schema.add(f"x{k}", "double")
+    got = sample.mapInArrow(measured, schema).groupBy("doc_id").agg(F.min(F.struct(*schema.names[1:])).alias("x"))
     got = got.orderBy("doc_id").select("x.*").toArrow()
     x = np.column_stack([got.column(f"x{k}").to_numpy() for k in range(_FEATURES)])
     weights = _fitted(x, got.column("toxic").to_numpy().astype(float))
-    return Model(*models["b"], weights)
+    weights[-1] = max(weights[-1], LEAST_WEIGHT)
+    return Model(*models["b"][:3], weights, models["b"][3])
 
 
 def score_of(text: str | None, model: Model, scores: Scores) -> float:
-    x = features(scores.of(text), model.decay, model.factor)
+    x = measures(text, scores, model.decay, model.factor, model.strengths)
     z = model.weights[0] + float(model.weights[1:] @ x)
     return 1 / (1 + math.exp(-min(max(z, -30.0), 30.0)))
 

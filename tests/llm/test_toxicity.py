@@ -175,3 +175,29 @@ def test_scores_recomputed_row_by_row(spark):
     for r in tx.toxicity_report(docs, labels).collect():
         text = next(t for i, t, *_ in rows if i == r["doc_id"])
         assert r["score"] == pytest.approx(tx.score_of(text, model, tx.Scores(model.scores)), abs=1e-9)
+
+
+def test_few_labels_still_rank(spark):
+    """With so few toxic texts no token differs by three standard errors; the held-out ones rank above the others all the same."""
+    rng = random.Random(3)
+    bad = ["idiotik", "scumly", "vileness", "rotten", "vermin", "filthy"]
+    docs, labels = [], []
+    for i in range(90):
+        words = [f"w{rng.randrange(2000)}" for _ in range(60)] + [f"c{k}" for k in range(20)]
+        toxic = i % 8 == 2
+        words += [rng.choice(bad) for _ in range(4 if toxic else 0)]
+        docs.append((i, " ".join(words)))
+        labels.append((i, int(toxic)))
+    got = tx.toxicity_report(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    held = [(r["score"], r["doc_id"] % 8 == 2) for r in got.collect() if r["held_out"]]
+    high, low = ([s for s, t in held if t is kind] for kind in (True, False))
+    assert len(high) >= 2 and len(low) >= 10
+    assert sum((a > b) + (a == b) / 2 for a in high for b in low) >= 0.9 * len(high) * len(low)
+
+
+def test_strength(spark):
+    rows = spark.createDataFrame([(4.0, 0.0), (1.0, 0.0), (3.0, 4.0), (0.0, 30.0), (0.0, 0.0)], "t double, p double")
+    got = [r[0] for r in rows.select(tx.strength(F.col("t"), F.col("p"), F.lit(1000.0), F.lit(6000.0))).collect()]
+    assert got[0] == pytest.approx(math.sqrt(8 * math.log(7)) - tx.LEAST_STRENGTH) and got[1:] == [0, 0, 0, 0]
+    for n_toxic, n_plain in ((0.0, 0.0), (5.0, 0.0), (0.0, 5.0)):
+        assert {r[0] for r in rows.select(tx.strength(F.col("t"), F.col("p"), F.lit(n_toxic), F.lit(n_plain))).collect()} == {0.0}
