@@ -22,6 +22,24 @@ def rows(df):
     return sorted(map(str, df.collect()))
 
 
+def test_trees_in_parts(spark, folder, monkeypatch):
+    names = ("src1_source_tree", "src5_single_file", "src12_unreadable")
+    want = [rows(Q.QUERIES[name](spark, folder)) for name in names]
+    assert [len(w) for w in want] == [262, 1, 2]
+    most, write = [], Q._write_tree
+
+    def counted(files, root):
+        write(files, root)
+        most.append(sum(len(names) for _, _, names in os.walk(root)))
+
+    monkeypatch.setattr(Q, "TREE_FILES", 160)
+    monkeypatch.setattr(Q, "_write_tree", counted)
+    assert [rows(Q.QUERIES[name](spark, folder)) for name in names] == want
+    assert len(most) == 6 and max(most) < 220 and sum(most) == 3 * 300
+    left = [f for _, _, names in os.walk(Q._mounted(spark)) for f in names if f.startswith(".f_") and not f.endswith(".crc")]
+    assert left == []
+
+
 def test_files_are_dealt_by_number(spark, folder, monkeypatch):
     want = rows(corpus.code_files(spark, folder))
     monkeypatch.setattr(corpus, "FILES_PER_TASK", 40)
