@@ -48,3 +48,18 @@ def test_files_are_dealt_by_number(spark, folder, monkeypatch):
     parts = [rows(corpus.files_of(p)) for p in corpus.order_parts(spark, folder, 100)]
     assert len(parts) == 4 and sorted(sum(parts, [])) == want
     assert not {p for a in parts[:2] for p in a} & {p for b in parts[2:] for p in b}
+
+
+def test_a_scan_is_computed_once_before_it_is_sorted(spark, folder, tmp_path, monkeypatch):
+    """The range partitioner samples what it sorts, which must not be the scan itself."""
+    seen, put = [], store.put
+
+    def watched(df, *args):
+        seen.append((args[1], df._jdf.queryExecution().optimizedPlan().toString()))
+        return put(df, *args)
+
+    monkeypatch.setattr(store, "put", watched)
+    options = scan.ScanOptions(run="one", enable_flow_analysis=False)
+    scan.write_scan(corpus.code_files(spark, folder).drop("ts"), str(tmp_path / "store"), options)
+    plan = dict(seen)["findings"]
+    assert plan.strip().startswith("Relation") and cluster.own_folder(spark)
