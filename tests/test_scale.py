@@ -63,3 +63,13 @@ def test_a_scan_is_computed_once_before_it_is_sorted(spark, folder, tmp_path, mo
     scan.write_scan(corpus.code_files(spark, folder).drop("ts"), str(tmp_path / "store"), options)
     plan = dict(seen)["findings"]
     assert plan.strip().startswith("Relation") and cluster.own_folder(spark)
+
+
+def test_reports_are_written_compressed(spark, folder, tmp_path):
+    from scanframe.plans import output
+
+    findings, scans = Q._findings(spark, folder), Q._scans(spark, folder)
+    out = output.write_report(scans, findings, str(tmp_path / "report"))
+    files = [f for top in set(out.values()) for _, _, names in os.walk(top) for f in names if f.startswith("part-")]
+    assert files and all(f.endswith(".gz") for f in files)
+    assert spark.read.json(out["json"] + "/vulnerabilities").count() == findings.count()
