@@ -68,7 +68,7 @@ def test_flow_findings_join_neither_taint_nor_operations(files):
 
 
 def test_names_of_java_lines(files):
-    body = "class A {\npublic void go(String s) {\nFile f = new File(\"/d/\" + s);\n}\nclass B\u00e9 {\nvoid z\u00e9 (int x) {\nFile g = new File(\"/d/\" + x);\n"
+    body = "class A {\npublic void go(String s) {\nf = Paths.get(\"/d/\" + s);\n}\nclass B\u00e9 {\nvoid z\u00e9 (int x) {\ng = Paths.get(\"/d/\" + x);\n"
     got = syntax.scan_java(files(("p/A.java", body))).orderBy("line_number").select("line_number", "function_name", "class_name").collect()
     assert [tuple(r) for r in got] == [(3, "go", None), (7, "z\u00e9", "B\u00e9")]
 
