@@ -22,13 +22,13 @@ BROADCAST_IDS = 500_000
 BLOCK_BYTES = 4 << 20
 
 
-def blocks(batches, texts_of):
-    """Arrow batches cut so that none has more text than BLOCK_BYTES, unless a single text has."""
+def blocks(batches, texts_of, most=BLOCK_BYTES):
+    """Arrow batches cut so that none has more bytes of text than ``most``, unless a single text has."""
     for batch in batches:
         sizes = pc.fill_null(pc.binary_length(texts_of(batch)), 0).to_pylist()
         begin = held = 0
         for k, size in enumerate(sizes):
-            if held and held + size > BLOCK_BYTES:
+            if held and held + size > most:
                 yield batch.slice(begin, k - begin)
                 begin, held = k, 0
             held += size

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import math
-from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame
@@ -26,8 +27,9 @@ LEAST_ODDS = 2.0  # and those nearer than this
 LEAST_STRENGTH = 3.0  # root of twice the log-likelihood ratio from which a token counts as weak evidence for toxicity
 LEAST_TEXTS = 2  # toxic texts that such a token was seen in
 LEAST_WEIGHT = 0.25  # of weak evidence in the calibration: more of it never lowers a score
+PUNCTUATION = ".,;:!?\"'()[]"  # around a word
 PREFIXES = (4, 5)  # bytes of the word beginnings that are tokens too, for languages that inflect
-KEPT_WORDS = 200_000  # words whose scores a task remembers before it starts afresh
+LOOKED_UP_BYTES = 2 << 20  # of text whose words are looked up together; nothing is kept from one such block to the next
 SIGNIFICANT = 0.05  # largest expected number of equally good segments in ordinary text
 CALIBRATION_ROWS = 50_000  # size of the labelled sample to which the calibration is fitted
 THRESHOLD = 0.3
@@ -45,31 +47,62 @@ class Model:
 
 def words_of(text: str | None) -> list[bytes]:
     """ASCII-lower-cased words of a text without surrounding punctuation."""
-    return [w.strip(b".,;:!?\"'()[]") for w in text.encode().lower().split()] if text else []
+    return [w.strip(PUNCTUATION.encode()) for w in text.encode().lower().split()] if text else []
 
 
-def _slots_of(token: bytes) -> tuple[int, int]:
-    h = xxhash.xxh3_64_intdigest(token)
-    return h >> 44, SLOTS + (h >> 24 & SLOTS - 1)
+def split_words(texts: pa.Array) -> tuple[pa.Array, list[np.ndarray]]:
+    """``words_of`` for many texts at a time: the distinct words, and for each text the numbers of its words in order."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    flat, parent = lists.flatten(), pc.list_parent_indices(lists).to_numpy()
+    some = pc.not_equal(pc.binary_length(flat), 0)
+    ends = np.cumsum(np.bincount(parent[some.to_numpy(zero_copy_only=False)], minlength=len(texts))).tolist()
+    raw = flat.filter(some).dictionary_encode()
+    words = pc.ascii_trim(raw.dictionary, characters=PUNCTUATION).dictionary_encode()
+    numbers = words.indices.to_numpy()[raw.indices.to_numpy()]
+    return words.dictionary.cast(pa.binary()), [numbers[begin:end] for begin, end in pairwise([0, *ends])]
+
+
+def places_of(words: pa.Array) -> np.ndarray:
+    """A row per word: the places of its tokens, itself and its beginnings, in both tables; one too short repeats its own."""
+
+    def pairs(tokens: pa.Array) -> np.ndarray:
+        h = np.fromiter(map(xxhash.xxh3_64_intdigest, tokens.to_numpy(zero_copy_only=False)), np.uint64, len(tokens))
+        return np.column_stack([h >> 44, SLOTS + (h >> 24 & SLOTS - 1)]).astype(np.uint32)
+
+    places = np.tile(pairs(words), 1 + len(PREFIXES))
+    size = pc.binary_length(words).to_numpy()
+    for k, n in enumerate(PREFIXES, 1):
+        long = np.flatnonzero(size >= n)
+        begins = pc.binary_slice(words.take(pa.array(long)), 0, n).dictionary_encode()
+        tokens = pc.binary_join_element_wise(b"%d" % n, begins.dictionary, b"|")
+        places[long, 2 * k:2 * k + 2] = pairs(tokens)[begins.indices.to_numpy()]
+    return places
 
 
 def slots(word: bytes) -> list[tuple[int, int]]:
-    """Places of a word's tokens, itself and its beginnings, in both tables."""
-    return [_slots_of(word), *[_slots_of(b"%d|%s" % (n, word[:n])) for n in PREFIXES if len(word) >= n]]
+    """Places of a word's tokens in both tables."""
+    return [tuple(pair) for pair in places_of(pa.array([word], pa.binary())).reshape(-1, 2).tolist()]
+
 
+def distinct(numbers: np.ndarray) -> np.ndarray:
+    """Like ``np.unique``, faster on short arrays."""
+    numbers = np.sort(numbers, axis=None)
+    new = np.ones(len(numbers), bool)
+    np.not_equal(numbers[1:], numbers[:-1], out=new[1:])
+    return numbers[new]
 
-class Slots(dict):
-    """Word to the places of its tokens as bytes, a sixth of a list's memory, remembered for the words of a task."""
 
-    def __missing__(self, word: bytes) -> bytes:
-        self[word] = found = array("I", [k for pair in slots(word) for k in pair]).tobytes()
-        return found
+class Slots:
+    """Distinct places of texts' tokens, ascending. Nothing is remembered from one block of texts to the next."""
 
     def of(self, text: str | None) -> np.ndarray:
-        """Distinct places of a text's tokens, ascending."""
-        if len(self) > KEPT_WORDS:
-            self.clear()
-        return np.unique(np.frombuffer(b"".join([self[w] for w in set(words_of(text))]), np.uint32))
+        return next(self.of_all(pa.array([text], pa.string())))
+
+    def of_all(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        words, numbers = split_words(texts)
+        places = places_of(words)
+        for at in numbers:
+            yield distinct(places[distinct(at)])
 
 
 def planes(numbers: np.ndarray) -> bytes:
@@ -93,51 +126,33 @@ def unpacked(data) -> np.ndarray:
     return np.cumsum(from_planes(data), dtype=np.uint32)
 
 
-class Scores(dict):
-    """Word to score: the strongest evidence among its tokens, for toxicity if there is any, else against.
+class Scores:
+    """Score of a word: the strongest evidence among its tokens, for toxicity if there is any, else against.
 
     A token has the weaker of its two tables' scores, so that a collision in one of them does
-    not give an ordinary word the score of another. ``strong`` has the words with weak evidence for
-    toxicity, the strongest of their tokens.
+    not give an ordinary word the score of another.
     """
 
     def __init__(self, by_slot: np.ndarray):
-        super().__init__()
         self.by_slot = by_slot
-        self.by_strength = None
-        self.strong: dict[bytes, float] = {}
-
-    def clear(self) -> None:
-        super().clear()
-        self.strong.clear()
-
-    def __missing__(self, word: bytes) -> float:
-        at = slots(word)
-        if self.by_strength is not None:
-            strength = max(min(float(self.by_strength[i]), float(self.by_strength[j])) for i, j in at)
-            if strength > 0:
-                self.strong[word] = strength
-        both = [(float(self.by_slot[i]), float(self.by_slot[j])) for i, j in at]
-        s = [0.0 if a * b <= 0 else min(a, b, key=abs) for a, b in both]
-        self[word] = best = (max(s) if max(s) > 0 else min(s)) - DRIFT
-        return best
 
     def of(self, text: str | None) -> np.ndarray:
-        return self._of(words_of(text))
+        words, [numbers] = split_words(pa.array([text], pa.string()))
+        return self.of_words(places_of(words))[numbers]
+
+    def of_words(self, places: np.ndarray) -> np.ndarray:
+        """A score for each row of ``places_of``."""
+        a, b = (self.by_slot[places[:, k::2]].astype(np.float64) for k in (0, 1))
+        s = np.where(a * b <= 0, 0.0, np.where(np.abs(a) <= np.abs(b), a, b))
+        top = s.max(axis=1)
+        return np.where(top > 0, top, s.min(axis=1)) - DRIFT
 
-    def _of(self, words: list[bytes]) -> np.ndarray:
-        if len(self) > KEPT_WORDS:
-            self.clear()
-        return np.fromiter(map(self.__getitem__, words), np.float64, len(words))
 
-    def with_strength(self, text: str | None, by_strength: np.ndarray | None) -> tuple[np.ndarray, float]:
-        """``of`` and the sum of strengths over the distinct words of a text."""
-        if by_strength is not self.by_strength:
-            self.clear()
-            self.by_strength = by_strength
-        words = words_of(text)
-        scores = self._of(words)
-        return scores, math.fsum(self.strong[w] for w in self.strong.keys() & words)
+def strength_of_words(places: np.ndarray, by_strength: np.ndarray | None) -> np.ndarray:
+    """Weak evidence for toxicity of each row of ``places_of``: the strongest of its tokens, each the weaker of its two tables'."""
+    if by_strength is None:
+        return np.zeros(len(places))
+    return np.minimum(by_strength[places[:, ::2]], by_strength[places[:, 1::2]]).max(axis=1).astype(np.float64)
 
 
 def maximal_segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
@@ -192,13 +207,25 @@ def features(scores: np.ndarray, decay: float, factor: float) -> np.ndarray:
     return np.array([max(normal.max(), -5.0) / 5, math.log1p(good.sum() if len(good) else 0.0), math.log1p(len(good))])
 
 
-def measures(text: str | None, scores: Scores, decay: float, factor: float, by_strength: np.ndarray | None) -> np.ndarray:
-    """``features`` of a text and the logarithm of one plus the strength of its weak evidence.
+def measures(texts: pa.Array, models: list[tuple], which: list[int] | None = None) -> np.ndarray:
+    """A row per text: ``features`` and the logarithm of one plus the strength of its distinct words' weak evidence.
 
     Segments need tokens that are sure to differ; where labels are few no token is, and the weak evidence alone ranks texts.
+    ``models`` are (scores by slot, decay, factor, strengths by slot), ``which`` says by number whose evidence a text
+    gets. Words are looked up once for all texts, so these should be a block of bounded size.
     """
-    found, strength = scores.with_strength(text, by_strength)
-    return np.append(features(found, decay, factor), math.log1p(strength))
+    words, numbers = split_words(texts)
+    places = places_of(words)
+    known = [
+        (Scores(by_slot).of_words(places), decay, factor, strength_of_words(places, by_strength))
+        for by_slot, decay, factor, by_strength in models]
+    x = np.zeros((len(texts), _FEATURES))
+    for k, at in enumerate(numbers):
+        scores, decay, factor, strengths = known[which[k] if which else 0]
+        x[k, :-1] = features(scores[at], decay, factor)
+        weak = at[strengths[at] > 0]
+        x[k, -1] = math.log1p(math.fsum(strengths[distinct(weak)])) if len(weak) else 0.0
+    return x
 
 
 def passages(text: str | None, model: Model, scores: Scores) -> list[tuple[int, int, float]]:
@@ -265,9 +292,8 @@ def extreme_values(scores: np.ndarray, ordinary: np.ndarray, total: float) -> tu
 
 def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc_id, text) to (doc_id, places): the packed places of a text's tokens, a fraction of its bytes."""
-    known = Slots()
-    for batch in blocks(batches, lambda b: b.column("text")):
-        places = [packed(known.of(t)) for t in batch.column("text").to_pylist()]
+    for batch in blocks(batches, lambda b: b.column("text"), LOOKED_UP_BYTES):
+        places = [packed(p) for p in Slots().of_all(batch.column("text"))]
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(places, pa.binary())], ["doc_id", "places"])
 
 
@@ -367,15 +393,12 @@ def train(docs: DataFrame, labels: DataFrame, calibration_rows: int = CALIBRATIO
         strengths[slot] = found.column(f"s{k}").to_numpy()
         first = (slot < SLOTS) & (evidence != 0)
         models[k] = (scores, *extreme_values(evidence[first], plain[first], totals[f"p{k}"]), strengths)
-    held = spark.sparkContext.broadcast([models["1"], models["0"]])  # for a document's half, what the other half says
+    held = spark.sparkContext.broadcast([_sparse(models[k]) for k in "10"])  # for a document's half, what the other half says
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = [Scores(by_slot) for by_slot, *_ in held.value]
-        for batch in blocks(batches, lambda b: b.column("text")):
-            x = [
-                measures(t, known[f], *held.value[f][1:])
-                for t, f in zip(batch.column("text").to_pylist(), batch.column("fold").to_pylist(), strict=True)]
-            x = np.array(x).reshape(-1, _FEATURES)
+        known = [_dense(m) for m in held.value]
+        for batch in blocks(batches, lambda b: b.column("text"), LOOKED_UP_BYTES):
+            x = measures(batch.column("text"), known, batch.column("fold").to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("toxic"), *[pa.array(x[:, k]) for k in range(_FEATURES)]],
                 schema.names)
@@ -394,22 +417,42 @@ def train(docs: DataFrame, labels: DataFrame, calibration_rows: int = CALIBRATIO
     return Model(*models["b"][:3], weights, models["b"][3])
 
 
-def score_of(text: str | None, model: Model, scores: Scores) -> float:
-    x = measures(text, scores, model.decay, model.factor, model.strengths)
-    z = model.weights[0] + float(model.weights[1:] @ x)
+def _sparse(model: tuple) -> tuple:
+    """The arrays by slot of a model as places and values, as few slots have evidence."""
+    return tuple((np.flatnonzero(m).astype(np.uint32), m[m != 0]) if isinstance(m, np.ndarray) else m for m in model)
+
+
+def _dense(model: tuple) -> tuple:
+    """The inverse of ``_sparse``."""
+
+    def whole(at: np.ndarray, values: np.ndarray) -> np.ndarray:
+        out = np.zeros(2 * SLOTS, np.float32)
+        out[at] = values
+        return out
+
+    return tuple(whole(*m) if isinstance(m, tuple) else m for m in model)
+
+
+def _probability(weights: np.ndarray, x: np.ndarray) -> float:
+    z = weights[0] + float(weights[1:] @ x)
     return 1 / (1 + math.exp(-min(max(z, -30.0), 30.0)))
 
 
+def score_of(text: str | None, model: Model, scores: Scores) -> float:
+    x = measures(pa.array([text], pa.string()), [(scores.by_slot, model.decay, model.factor, model.strengths)])
+    return _probability(model.weights, x[0])
+
+
 def _scored(rows: DataFrame, model: Model, texts_of) -> DataFrame:
     """The columns that ``texts_of`` keeps of a batch, and ``score`` of the texts it gives; whole texts, no shuffle."""
-    held = rows.sparkSession.sparkContext.broadcast(model)
+    held = rows.sparkSession.sparkContext.broadcast((_sparse((model.scores, model.decay, model.factor, model.strengths)), model.weights))
     kept = [c for c in rows.columns if c != "text"]
     schema = rows.select(*kept).schema.add("score", "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scores = Scores(held.value.scores)
-        for batch in blocks(batches, texts_of):
-            out = [score_of(t, held.value, scores) for t in texts_of(batch).to_pylist()]
+        known, weights = [_dense(held.value[0])], held.value[1]
+        for batch in blocks(batches, texts_of, LOOKED_UP_BYTES):
+            out = [_probability(weights, x) for x in measures(texts_of(batch), known)]
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], pa.array(out, pa.float64())], schema.names)
 
     return rows.mapInArrow(run, schema)

@@ -6,6 +6,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from scanframe.llm import common
@@ -201,3 +202,51 @@ def test_strength(spark):
     assert got[0] == pytest.approx(math.sqrt(8 * math.log(7)) - tx.LEAST_STRENGTH) and got[1:] == [0, 0, 0, 0]
     for n_toxic, n_plain in ((0.0, 0.0), (5.0, 0.0), (0.0, 5.0)):
         assert {r[0] for r in rows.select(tx.strength(F.col("t"), F.col("p"), F.lit(n_toxic), F.lit(n_plain))).collect()} == {0.0}
+
+
+def test_words_of_a_block_as_text_by_text():
+    """Words, places and scores of many texts at a time equal those by plain loops, and nothing is remembered between blocks."""
+    rng = random.Random(6)
+    letters = [*map(chr, range(128)), *" \u00a0\u2003\u0085\u00e9\u0130", *" " * 20, *"abcdAB" * 10]
+    texts = [None, "", " ", "...", "a. b\n", *["".join(rng.choice(letters) for _ in range(rng.randrange(90))) for _ in range(400)]]
+    words, numbers = tx.split_words(pa.array(texts, pa.string()))
+    names = words.to_pylist()
+    assert len(set(names)) == len(names)
+    assert [[names[k] for k in at] for at in numbers] == [tx.words_of(t) for t in texts]
+
+    def pair(token):
+        h = xxhash.xxh3_64_intdigest(token)
+        return h >> 44, tx.SLOTS + (h >> 24 & tx.SLOTS - 1)
+
+    def tokens(word):
+        return [word, *[b"%d|%s" % (n, word[:n]) for n in tx.PREFIXES if len(word) >= n]]
+
+    seen = tx.Slots()
+    for t, places in zip(texts, seen.of_all(pa.array(texts, pa.string())), strict=True):
+        assert places.tolist() == sorted({k for w in tx.words_of(t) for x in tokens(w) for k in pair(x)})
+    assert not vars(seen)
+    draw = np.random.default_rng(7)
+    scores, strengths = (np.where(draw.random(2 * tx.SLOTS) < 0.8, draw.normal(size=2 * tx.SLOTS) * s, 0).astype(np.float32) for s in (4, 1))
+
+    def score(word):
+        both = [(float(scores[i]), float(scores[j])) for i, j in map(pair, tokens(word))]
+        s = [0.0 if a * b <= 0 else min(a, b, key=abs) for a, b in both]
+        return (max(s) if max(s) > 0 else min(s)) - tx.DRIFT
+
+    def strength(word):
+        return max(0.0, *[min(float(strengths[i]), float(strengths[j])) for i, j in map(pair, tokens(word))])
+
+    models = [(scores, 0.7, 0.05, strengths), tx._dense(tx._sparse((scores * 2, 0.5, 0.1, None)))]
+    got = tx.measures(pa.array(texts, pa.string()), models, [k % 2 for k in range(len(texts))])
+    known = tx.Scores(scores)
+    for k, t in enumerate(texts):
+        words = tx.words_of(t)
+        own = np.array([score(w) for w in words])
+        assert (known.of(t) == own).all()
+        if k % 2:
+            want = [*tx.features((own + tx.DRIFT) * 2 - tx.DRIFT, 0.5, 0.1), 0.0]
+        else:
+            want = [*tx.features(own, 0.7, 0.05), math.log1p(math.fsum(strength(w) for w in set(words)))]
+        assert got[k] == pytest.approx(want, abs=1e-9)
+    none = pa.array([], pa.string())
+    assert tx.split_words(none)[1] == [] == list(seen.of_all(none)) and tx.measures(none, models).shape == (0, 4)
