@@ -250,3 +250,14 @@ def test_words_of_a_block_as_text_by_text():
         assert got[k] == pytest.approx(want, abs=1e-9)
     none = pa.array([], pa.string())
     assert tx.split_words(none)[1] == [] == list(seen.of_all(none)) and tx.measures(none, models).shape == (0, 4)
+
+
+def test_one_python_process_a_task(spark):
+    """However few the labels, places and their sums are made in different stages."""
+    docs, labels, _ = _tables(spark, 40)
+    known = labels.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where("doc_id is not null").withColumn("fold", F.lit(0))
+    got = tx.labelled_places(docs.select("doc_id", "text"), known).mapInArrow(tx._counts, "block int, kind int, n binary")
+    assert sum(r["kind"] in (0, 1) for r in got.collect()) > 0
+    plan = got._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    between = plan[plan.index("MapInArrow") + 1:plan.rindex("MapInArrow")]
+    assert plan.count("MapInArrow") == 2 and "Exchange" in between and "SortMergeJoin" in between
