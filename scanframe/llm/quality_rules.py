@@ -68,7 +68,7 @@ def repeated_words(hashes: Column) -> Column:
             F.sequence(F.lit(0), F.size(words) - REPEAT_WINDOW), lambda i: F.xxhash64(*[F.get(words, i + k) for k in range(REPEAT_WINDOW)])))
 
     def repeated(windows):
-        placed = F.array_sort(F.transform(windows, lambda w, i: F.struct(w.alias("w"), i.alias("i"))))
+        placed = F.sort_array(F.transform(windows, lambda w, i: F.struct(w.alias("w"), i.alias("i"))))
 
         def hits(s):
             def equal(j):
@@ -76,7 +76,7 @@ def repeated_words(hashes: Column) -> Column:
 
             return F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda j: F.when(j > 0, equal(j - 1)).otherwise(False) | equal(j))
 
-        starts = let(placed, lambda s: F.array_sort(F.transform(hits(s), lambda j: F.get(s, j)["i"])))
+        starts = let(placed, lambda s: F.sort_array(F.transform(hits(s), lambda j: F.get(s, j)["i"])))
         return let(starts, lambda p: F.aggregate(
             F.transform(p, lambda x, j: F.least(F.coalesce(F.get(p, j + 1) - x, F.lit(REPEAT_WINDOW)), F.lit(REPEAT_WINDOW))),
             F.lit(0), lambda a, x: a + x))
@@ -130,7 +130,7 @@ def references(docs: DataFrame, rules: Rules) -> DataFrame:
     counts = words.groupBy("language", F.xxhash64("word").alias("word")).agg(F.count(F.lit(1)).alias("n"))
     ranked = counts.withColumn("place", F.row_number().over(Window.partitionBy("language").orderBy(F.desc("n"), "word")))
     top = ranked.where(F.col("place") <= rules.common_words).groupBy("language").agg(
-        F.array_sort(F.collect_list(F.struct("place", "word", "n"))).alias("top"))
+        F.sort_array(F.collect_list(F.struct("place", "word", "n"))).alias("top"))
     known = totals.join(top, "language")
     shares = F.transform("top", lambda t: t["n"] / F.col("n_words"))
     rest = F.col("n_words") - F.aggregate("top", F.lit(0).cast("long"), lambda a, t: a + t["n"])
@@ -166,7 +166,7 @@ def word_distance(hashes: Column, common: Column, shares: Column, others: Column
     The text's common words are sorted, so that each is a run whose length is its count; a
     common word that is missing adds half its share.
     """
-    seen = F.array_sort(F.filter(hashes, lambda h: F.array_contains(F.get(buckets, h.bitwiseAND(F.lit(_BUCKETS - 1)).cast("int")), h)))
+    seen = F.sort_array(F.filter(hashes, lambda h: F.array_contains(F.get(buckets, h.bitwiseAND(F.lit(_BUCKETS - 1)).cast("int")), h)))
 
     def divergence(s):
         def begins(j):

@@ -133,3 +133,10 @@ def test_labels_of_the_small_corpus(spark):
     got = qr.quality_report(docs).where("not base_failed").join(quality, "doc_id").groupBy("quality", "kept").count().collect()
     n = {(r["quality"], r["kept"]): r["count"] for r in got}
     assert n.get((1, False), 0) <= 0.01 * n[1, True] and n.get((0, True), 0) <= 0.1 * n[0, False]
+
+
+def test_sorts_without_a_lambda_per_comparison(spark):
+    """``array_sort`` compares by an interpreted lambda, ``sort_array`` by Spark's own code; the arrays hold no nulls."""
+    docs = spark.createDataFrame([(k, " ".join(prose(random.Random(k), 300)), "en", "x", 1, "y", 2) for k in range(5)], DOCS)
+    plan = qr.judge_documents(docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert "sort_array" in plan and "array_sort" not in plan and "lambdafunction(if" not in plan
