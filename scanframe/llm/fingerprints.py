@@ -12,6 +12,7 @@ from scanframe.operators.numbering import number_rows
 SAMPLES = 32
 _STEPS = float(1 << 24)  # resolution of the logarithm that is minimised
 _LOW32 = 0xFFFFFFFF
+_AT_ONCE = 8  # samples whose minima are taken in one aggregation
 
 
 def _uniform(h: Column, shift: int, bits: int) -> Column:
@@ -20,16 +21,16 @@ def _uniform(h: Column, shift: int, bits: int) -> Column:
     return (part + 0.5) * F.lit(2.0 ** -bits)
 
 
-def sample(term: Column, log_weight: Column, k: int) -> Column:
-    """One term's bid for sample k, as a long whose minimum over the terms is the sample.
+def sample(term: Column, log_weight: Column, k: Column) -> Column:
+    """One term's bid for sample k (int), as a long whose minimum over the terms is the sample.
 
     r and c are Gamma(2, 1) and b is uniform, all fixed by term and k; t = floor(ln w / r + b) and
     ln a = ln c - r (t - b + 1). The long holds ln a above and 32 bits that name (term, t) below. Two
     documents have the same minimum with the generalised Jaccard likeness of their weights,
     sum of minima over sum of maxima, as its chance.
     """
-    h = F.xxhash64(term, F.lit(2 * k))
-    g = F.xxhash64(term, F.lit(2 * k + 1))
+    h = F.xxhash64(term, k * 2)
+    g = F.xxhash64(term, k * 2 + 1)
     r = -F.ln(_uniform(h, 0, 32) * _uniform(h, 32, 32))
     ln_c = F.ln(-F.ln(_uniform(g, 0, 24) * _uniform(g, 24, 24)))
     b = _uniform(g, 48, 16)
@@ -39,18 +40,28 @@ def sample(term: Column, log_weight: Column, k: int) -> Column:
     return F.shiftleft(F.floor(ln_a * _STEPS), 32).bitwiseOR(name)
 
 
-def fingerprints(texts: DataFrame, keys: list[str], text: str, samples: int = SAMPLES) -> DataFrame:
-    """(keys, fingerprint): 8 hex digits per sample over the words of a text, weighted by how often they occur.
+def fingerprints(texts: DataFrame, keys: list[str], columns: list[str], samples: int = SAMPLES) -> DataFrame:
+    """(keys, one fingerprint a column, under its name): 8 hex digits per sample over the words of a text, weighted by how often they occur.
 
-    A text without words has no row. Texts partitioned by some of the keys are not shuffled
-    again: words are counted and minima taken where the text is.
+    ``keys`` name one row each. A text without words has null; without a word in any of its
+    texts a row is left out. Texts partitioned by some of the keys are not shuffled again: words
+    are counted and minima taken where the texts are. What a sample draws for a term is drawn
+    once for all texts of the row that hold the term, and a few samples at a time, so that the
+    code that Spark makes for them stays small.
     """
-    words = texts.select(*keys, F.explode(F.split(text, WORD_SPACE)).alias("word")).where("word <> ''")
-    terms = words.select(*keys, F.xxhash64("word").alias("term")).groupBy(*keys, "term").agg(
-        F.ln(F.count("*").cast("double")).alias("w"))
-    least = [F.min(sample(F.col("term"), F.col("w"), k)).alias(f"s{k}") for k in range(samples)]
-    names = [F.lpad(F.lower(F.hex(F.col(f"s{k}").bitwiseAND(F.lit(_LOW32)))), 8, "0") for k in range(samples)]
-    return terms.groupBy(*keys).agg(*least).select(*keys, F.concat(*names).alias("fingerprint"))
+    sides = F.explode(F.array(*[F.struct(F.lit(i).alias("side"), F.col(c).alias("body")) for i, c in enumerate(columns)]))
+    words = texts.select(*keys, sides.alias("s")).select(*keys, "s.side", F.explode(F.split("s.body", WORD_SPACE)).alias("word")).where("word <> ''")
+    n = [F.count_if(F.col("side") == i).cast("double") for i in range(len(columns))]
+    terms = words.select(*keys, "side", F.xxhash64("word").alias("term")).groupBy(*keys, "term").agg(
+        *[F.ln(c).alias(f"w{i}") for i, c in enumerate(n)])  # null where the text has no such term
+    parts = range(0, samples, _AT_ONCE)
+    dealt = terms.withColumn("first", F.explode(F.array(*[F.lit(k) for k in parts])))
+    both = [(i, j) for i in range(len(columns)) for j in range(min(_AT_ONCE, samples))]
+    least = dealt.groupBy(*keys, "first").agg(*[F.min(sample(F.col("term"), F.col(f"w{i}"), F.col("first") + j)).alias(f"s{i}_{j}") for i, j in both])
+    digits = {(i, j): F.lpad(F.lower(F.hex(F.col(f"s{i}_{j}").bitwiseAND(F.lit(_LOW32)))), 8, "0") for i, j in both}
+    return least.groupBy(*keys).agg(*[
+        F.concat(*[F.max(F.when(F.col("first") == k, F.concat(*[digits[i, j] for j in range(min(_AT_ONCE, samples - k))]))) for k in parts]).alias(c)
+        for i, c in enumerate(columns)])
 
 
 def likeness(a: Column, b: Column, samples: int = SAMPLES) -> Column:
@@ -102,12 +113,8 @@ def fingerprint_documents(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
     kept = "substring(text, 1, length(text) - int(floor(length(text) / 3)))"
     both = bodies.join(heads, ["key", "mark"]).select("key", "mark", "text", F.expr(f"concat({kept}, head)").alias("edited"))
 
-    sides = F.explode(F.array(
-        F.struct(F.lit(0).alias("side"), F.col("text").alias("body")), F.struct(F.lit(1).alias("side"), F.col("edited").alias("body"))))
-    prints = fingerprints(both.select("key", "mark", sides.alias("s")).select("key", "mark", "s.*"), ["key", "mark", "side"], "body", samples)
-    prints = prints.groupBy("key", "mark").agg(
-        F.max(F.when(F.col("side") == 0, F.col("fingerprint"))).alias("fingerprint"),
-        F.max(F.when(F.col("side") == 1, F.col("fingerprint"))).alias("edited_fingerprint"))
+    prints = fingerprints(both.select("key", "mark", F.col("text").alias("fingerprint"), F.col("edited").alias("edited_fingerprint")),
+                          ["key", "mark"], ["fingerprint", "edited_fingerprint"], samples)
     none = F.lit("0" * 8 * samples)
     done = both.select("key", "mark", F.sha2("edited", 256).alias("edited_sha256")).join(prints, ["key", "mark"], "left").select(
         "key", "mark", "edited_sha256", F.coalesce("fingerprint", none).alias("fingerprint"),

@@ -1,4 +1,6 @@
+import contextlib
 import hashlib
+import io
 import random
 from collections import Counter
 
@@ -57,3 +59,31 @@ def test_one_document_and_empty_table(spark):
     one = fp.fingerprint_documents(spark.createDataFrame([(1, "abcdef", "x", 1)], SCHEMA)).collect()[0]
     assert one["edited_sha256"] == hashlib.sha256(b"abcdab").hexdigest() and one["near_next"] == 1.0
     assert fp.fingerprint_documents(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_fingerprints_of_several_texts_are_those_of_each_alone(spark):
+    rows = [(1, "a b a c", "a b d"), (2, "x", None), (3, "", "y y y"), (4, " ", ""), (5, "a b a c", "a b a c")]
+    df = spark.createDataFrame(rows, "k long, a string, b string")
+    got = {r["k"]: r for r in fp.fingerprints(df, ["k"], ["a", "b"]).collect()}
+    assert sorted(got) == [1, 2, 3, 5] and got[2]["b"] is None and got[3]["a"] is None
+    assert got[5]["a"] == got[5]["b"] == got[1]["a"] != got[1]["b"] and len(got[1]["a"]) == 256
+    for c in "ab":
+        alone = {r["k"]: r[c] for r in fp.fingerprints(df, ["k"], [c]).collect()}
+        few = {r["k"]: r[c] for r in fp.fingerprints(df, ["k"], [c], 12).collect()}  # not a multiple of what is taken at once
+        for k, r in got.items():
+            assert r[c] == alone.get(k) and (r[c] and r[c][:96]) == few.get(k)
+    kept = fp.fingerprints(spark.createDataFrame([(1, "b a b")], "k long, a string"), ["k"], ["a"]).collect()[0]["a"]
+    assert kept[:48] == "1484e7d3b2bc61841484e7d31484e7d3b2bc6184adf7b0cc"  # fingerprints stay what they were
+
+
+def test_code_of_the_samples_stays_small(spark):
+    """32 samples of both texts in one piece of generated code are three logarithms each; eight that share what they draw are 24 in all, weights aside."""
+    df = spark.createDataFrame([(1, "a b", "a c")], "k long, a string, b string")
+    shown = io.StringIO()
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        with contextlib.redirect_stdout(shown):
+            fp.fingerprints(df.repartition(2, "k"), ["k"], ["a", "b"]).explain("codegen")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert 24 <= shown.getvalue().count("StrictMath.log(") <= 40
