@@ -8,6 +8,7 @@ import pytest
 from scanframe import queries as Q
 from scanframe.functions import cluster
 from scanframe.plans import corpus, scan, store
+from scanframe.sources import tree
 
 
 @pytest.fixture
@@ -40,6 +41,42 @@ def test_trees_in_parts(spark, folder, monkeypatch):
     assert left == []
 
 
+def test_trees_side_by_side(spark, folder, monkeypatch):
+    """Some trees lie on disk at a time, never more than TREES; one that fails ends the query."""
+    want = rows(Q.src12_unreadable(spark, folder))
+    write, remove, lying, most = Q._write_tree, Q._remove_tree, [], []
+
+    def written(files, root):
+        lying.append(root)
+        most.append(len(lying))
+        write(files, root)
+
+    def removed(spark, root):
+        remove(spark, root)
+        lying.remove(root)
+
+    monkeypatch.setattr(Q, "TREE_FILES", 40)
+    monkeypatch.setattr(Q, "_write_tree", written)
+    monkeypatch.setattr(Q, "_remove_tree", removed)
+    assert rows(Q.src12_unreadable(spark, folder)) == want
+    assert len(most) == 8 and 1 < max(most) <= Q.TREES and lying == []
+
+    def broken(files, root):
+        raise OSError("no space")
+
+    monkeypatch.setattr(Q, "_write_tree", broken)
+    with pytest.raises(OSError, match="no space"):
+        Q.src12_unreadable(spark, folder)
+
+
+def test_a_level_of_folders_is_listed_and_counted_in_one_write(spark, tmp_path, monkeypatch):
+    (tmp_path / "a" / "b").mkdir(parents=True)
+    (tmp_path / "a" / "b" / "x.py").write_text("x")
+    writes, write = [], cluster.counted
+    monkeypatch.setattr(cluster, "counted", lambda df: writes.append(1) or write(df))
+    assert tree.list_tree(spark, str(tmp_path)).count() == 1 and len(writes) == 3
+
+
 def test_files_are_dealt_by_number(spark, folder, monkeypatch):
     want = rows(corpus.code_files(spark, folder))
     monkeypatch.setattr(corpus, "FILES_PER_TASK", 40)
