@@ -147,3 +147,15 @@ def test_flow_findings_need_no_shuffle_and_are_the_links_that_start(files):
         links = graph.links.where("starts").join(sources, ["file_id", "src"]).join(sinks, ["file_id", "dst"])
         want = sorted(tuple(r) for r in links.select(*keys, "length", "source_line", "source_context", "sink_line", "sink_context").collect())
         assert got == want and len(want) > 50
+
+
+def test_expressions_for_lower_case_find_the_same():
+    text = "\n".join([*ODD, *TEXTS]).encode("ascii", "ignore").decode() + " Q S _ ^ SHA-1 Ab12 AB"
+    cheap = 0
+    patterns_ = [(r.pattern, r.flags) for r in R.owasp_rules(kind="regex") + R.rule_rows("java")]
+    for pattern, flags in [*patterns_, (r"\S+ \D", "i"), ("[A-z]+", "i"), ("[!-Z]+", "i"), (r"(?P<Ab>B)", "i"), (r"\x41b", "i"), ("[A-Z]b", ""), ("[^A-Z]b", "i"), (r"(a)\1", "i")]:
+        blind = re.compile(pattern, (re.I if "i" in flags else 0) | (re.S if "s" in flags else 0))
+        quick = plainscan.for_lower_case(pattern, flags)
+        cheap += not quick.flags & re.I
+        assert [m.span() for m in quick.finditer(text.lower() if "i" in flags else text)] == [m.span() for m in blind.finditer(text)], pattern
+    assert cheap >= len(patterns_)
